@@ -65,7 +65,7 @@ def hashed_bitmap(hashes: DataFrame, column: str, words: int = BITMAP_WORDS) ->
     bits = words * 64
     h = F.col(column)
     slots = hashes.where(h.isNotNull()).select(F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits)))).alias("slot"))
-    parts = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    parts = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
     table = parts.toArrow()
     out = np.zeros(words, dtype=np.uint64)
     if table.num_rows:
