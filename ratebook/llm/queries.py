@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op7_benchmark_decontamination
 from .language_id import op1_language_id
 from .line_dedup import op10_line_dedup
+from .sentence_pieces import op4_sentence_pieces
 from .simhash import op9_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op4_sentence_pieces": op4_sentence_pieces,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
