@@ -11,9 +11,11 @@ from .language_id import op1_language_id
 from .line_dedup import op10_line_dedup
 from .sentence_pieces import op4_sentence_pieces
 from .simhash import op9_simhash_near_dedup
+from .token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_token_files": op2_token_files,
     "op4_sentence_pieces": op4_sentence_pieces,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
