@@ -6,20 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP5_SQL, op5_chat
 from .decontaminate import op7_benchmark_decontamination
 from .language_id import op1_language_id
 from .line_dedup import op10_line_dedup
 from .sentence_pieces import op4_sentence_pieces
 from .simhash import op9_simhash_near_dedup
 from .token_files import op2_token_files
+from .warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
+    "op3_warc": op3_warc,
     "op4_sentence_pieces": op4_sentence_pieces,
+    "op5_chat": op5_chat,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": OP3_SQL,
+    "op5_chat": OP5_SQL,
+}
