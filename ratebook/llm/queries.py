@@ -10,9 +10,11 @@ from .chat import OP5_SQL, op5_chat
 from .decontaminate import op7_benchmark_decontamination
 from .language_id import op1_language_id
 from .line_dedup import op10_line_dedup
+from .media import op8_media
 from .sentence_pieces import op4_sentence_pieces
 from .simhash import op9_simhash_near_dedup
 from .token_files import op2_token_files
+from .toxicity import op6_toxicity
 from .warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,7 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_media": op8_media,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
