@@ -164,6 +164,18 @@ def _describe(item: Column) -> Column:
     return F.array_join(F.transform(item["any_of"], lambda c: F.concat_ws(" ", c["fact"], c["op"], F.array_join(c["value"], ", "))), " or ")
 
 
+def _with_lists(candidates: DataFrame, rule: Column) -> DataFrame:
+    """candidates with __lists, all condition lists of the rule (of exemptions, each item of applies_when alone, cases without a price, priced components, adjustments), the components of both kinds, and how many there are of each."""
+    exemptions, items, adjustments = F.coalesce(rule["exemptions"], F.array()), F.coalesce(rule["applies_when"], F.array()), F.coalesce(rule["adjustments"], F.array())
+    split = candidates.withColumns({"__unpriced": F.filter(rule["components"], lambda c: c["kind"] == "unpriced"), "__priced": F.filter(rule["components"], lambda c: c["kind"] != "unpriced")})
+
+    def whens(rows: Column) -> Column:
+        return F.transform(rows, lambda r: r["when"])
+
+    lists = F.concat(whens(exemptions), F.transform(items, lambda i: F.array(i)), whens(F.col("__unpriced")), whens(F.col("__priced")), whens(adjustments))
+    return split.withColumns({"__lists": lists, "__n0": F.size(exemptions), "__n1": F.size(items), "__n2": F.size("__unpriced"), "__n3": F.size("__priced")})
+
+
 def rate(candidates: DataFrame) -> DataFrame:
     """(call_id, charge_id, status, amount, currency, reason, formula, assumptions, adjustments, citations, error) of each candidate.
 
@@ -174,17 +186,18 @@ def rate(candidates: DataFrame) -> DataFrame:
     row = _Row()
     rule = row.rule
     extra = [c for c in candidates.columns if c not in ("rule", "quantities", "assumptions", "facts")]
-    no_items = F.array()
-
-    # gates, each as text: null (go on), "reason|..." decided by position
-    first_exemption = F.try_element_at(
-        F.filter(F.transform(F.coalesce(rule["exemptions"], F.array()), lambda x: F.struct(row.all_hold(x["when"]).alias("state"), x["description"].alias("description"), x["citation"].alias("citation"))), lambda s: s["state"] != FALSE),
-        F.lit(1),
-    )
-    first_unmet = F.try_element_at(F.filter(F.transform(F.coalesce(rule["applies_when"], no_items), lambda i: F.struct(row.item(i).alias("state"), _describe(i).alias("text"))), lambda s: s["state"] != TRUE), F.lit(1))
-    unpriced = F.filter(rule["components"], lambda c: c["kind"] == "unpriced")
-    first_unpriced = F.try_element_at(F.filter(F.transform(unpriced, lambda c: F.struct(row.all_hold(c["when"]).alias("state"), c["label"].alias("label"))), lambda s: s["state"] != FALSE), F.lit(1))
-    gated = candidates.withColumns({"__x": first_exemption, "__u": first_unmet, "__n": first_unpriced})
+    # every condition list of the rule is evaluated in one expression; parts of the result are told apart by their place
+    parts = _with_lists(candidates, rule)
+    nx, na, nn, nc = (F.col(f"__n{i}") for i in range(4))
+    states = F.col("__states")
+    exemptions = F.transform(F.coalesce(rule["exemptions"], F.array()), lambda x, i: F.struct(F.get(states, i).alias("state"), x["description"].alias("description"), x["citation"].alias("citation")))
+    unmet = F.transform(F.coalesce(rule["applies_when"], F.array()), lambda item, i: F.struct(F.get(states, nx + i).alias("state"), _describe(item).alias("text")))
+    unpriced = F.transform(F.col("__unpriced"), lambda c, i: F.struct(F.get(states, nx + na + i).alias("state"), c["label"].alias("label")))
+    gated = parts.withColumn("__states", F.transform("__lists", row.all_hold)).withColumns({
+        "__x": F.try_element_at(F.filter(exemptions, lambda s: s["state"] != FALSE), F.lit(1)),
+        "__u": F.try_element_at(F.filter(unmet, lambda s: s["state"] != TRUE), F.lit(1)),
+        "__n": F.try_element_at(F.filter(unpriced, lambda s: s["state"] != FALSE), F.lit(1)),
+    })
     plain = rule["status"].isNull() | (rule["status"] == "priced")
     notes = F.nullif(F.array_join(F.coalesce(rule["notes"], F.array().cast("array<string>")), " "), F.lit(""))
     default_reason = F.when(rule["status"] == "not_applicable_at_port", _text("Not charged at ", rule["port_key"], "."))
@@ -214,15 +227,15 @@ def rate(candidates: DataFrame) -> DataFrame:
     decided = gated.withColumn("__d", decided)
     going = F.col("__d").isNull()
 
-    def applied(c: Column) -> Column:
+    def applied(c: Column, i: Column) -> Column:
         def by_state(state: Column) -> Column:
             unmet = F.struct(c["id"].alias("id"), F.lit(None).cast(AMOUNT).alias("amount"), F.lit(None).cast("string").alias("error"), _text(c["label"], ": not applicable to this call").alias("step"))
             wrong = F.struct(c["id"].alias("id"), F.lit(None).cast(AMOUNT).alias("amount"), F.substring(state, len(ERROR) + 1, F.length(state)).alias("error"), F.lit(None).cast("string").alias("step"))
             return F.when(state == FALSE, unmet).when(state == TRUE, row.component(c)).otherwise(wrong)
 
-        return let(row.all_hold(c["when"]), by_state)
+        return let(F.get(states, nx + na + nn + i), by_state)
 
-    priced = decided.withColumn("__c", F.when(going, F.transform(F.filter(rule["components"], lambda c: c["kind"] != "unpriced"), applied)))
+    priced = decided.withColumn("__c", F.when(going, F.transform(F.col("__priced"), applied)))
     first_error = F.try_element_at(F.filter(F.transform("__c", lambda c: c["error"]), lambda e: e.isNotNull()), F.lit(1))
     amounts = F.filter("__c", lambda c: c["amount"].isNotNull())
     subtotal = F.aggregate(F.transform(F.col("__a"), lambda c: c["amount"]), F.lit(0).cast(AMOUNT), lambda s, a: (s + a).cast(AMOUNT))
@@ -240,8 +253,8 @@ def rate(candidates: DataFrame) -> DataFrame:
         share = (F.when(whole, F.col("__b")).otherwise(part) * a["percent"] / F.lit(100).cast("decimal(3,0)")).try_cast(AMOUNT)
         return F.struct(a["id"].alias("id"), a["kind"].alias("kind"), a["percent"].alias("percent"), a["exclusive_group"].alias("exclusive_group"), F.when(a["kind"] == "reduction", -share).otherwise(share).alias("effect"))
 
-    states = F.transform(F.coalesce(rule["adjustments"], F.array()), lambda a: F.struct(row.all_hold(a["when"]).alias("state"), effect(a).alias("a")))
-    priced = priced.withColumn("__t", F.when(going, states))
+    adjusted = F.transform(F.coalesce(rule["adjustments"], F.array()), lambda a, i: F.struct(F.get(states, nx + na + nn + nc + i).alias("state"), effect(a).alias("a")))
+    priced = priced.withColumn("__t", F.when(going, adjusted))
     adjust_error = F.try_element_at(F.filter(F.transform("__t", lambda s: s["state"]), _is_error), F.lit(1))
     holding = F.transform(F.filter("__t", lambda s: s["state"] == TRUE), lambda s: s["a"])
     priced = priced.withColumns({"__te": adjust_error, "__h": holding})
