@@ -27,7 +27,7 @@ RANK_STEP = 512
 TOKENS_PER_FILE = 4_000_000
 END_ID = 0
 #: Words of which a worker keeps the ids at most; it starts anew beyond that.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
@@ -129,21 +129,22 @@ class TextEncoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words, of which those without blanks inside are joined by newlines, whose id no other word has."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids, as bytes, of words, of which those without blanks inside are joined by newlines, whose id no other word has."""
+        found: dict[str, bytes] = {}
         plain = [w for w in words if not self._any_blank.search(w, 1)]
-        found: dict[str, np.ndarray] = {}
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = self._whole(["\n".join(part)])[0]
-            cuts = np.flatnonzero(ids == self.newline[0]) if self.newline.size == 1 else np.empty(0)
-            if len(cuts) == len(part) - 1:
-                pieces = np.split(ids, cuts)
-                found.update(zip(part, [pieces[0], *(p[1:] for p in pieces[1:])], strict=True))
+        if self.newline.size == 1:
+            for i in range(0, len(plain), 4000):
+                part = plain[i : i + 4000]
+                ids = self._whole(["\n".join(part)])[0]
+                cuts = np.flatnonzero(ids == self.newline[0])
+                if len(cuts) == len(part) - 1:
+                    data, ends = ids.tobytes(), (4 * cuts).tolist()
+                    found.update(zip(part, [data[x:y] for x, y in zip([0, *[e + 4 for e in ends]], [*ends, len(data)], strict=True)], strict=True))
         rest = [w for w in words if w not in found]
         for i in range(0, len(rest), 2000):
-            found.update(zip(rest[i : i + 2000], self._whole(rest[i : i + 2000]), strict=True))
-        return [found[w] for w in words]
+            found.update(zip(rest[i : i + 2000], [a.tobytes() for a in self._whole(rest[i : i + 2000])], strict=True))
+        return list(map(found.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.by_word and not self._blank_run.search(t) and not any(a in t for a in self.added) for t in texts]
@@ -154,9 +155,8 @@ class TextEncoder:
         new_first = list({p[0] for p in parts if p} - first.keys())
         for w, ids in zip(new_first, self._whole(new_first), strict=True):
             first[w] = ids.tobytes()
-        new = list({w for p in parts if p for w in p[1:] if w not in inner})
-        for w, ids in zip(new, self._words([" " + w for w in new]), strict=True):
-            inner[w] = ids.tobytes()
+        new = list(set().union(*[p[1:] for p in parts if p]).difference(inner))
+        inner.update(zip(new, self._words([" " + w for w in new]), strict=True))
         out = []
         for text, words in zip(texts, parts, strict=True):
             if words is None:
