@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import call_queries, rating_queries
+from . import call_queries, corpus_queries, rating_queries
 
-_MODULES = [rating_queries, call_queries]
+_MODULES = [rating_queries, call_queries, corpus_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
