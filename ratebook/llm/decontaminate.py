@@ -101,6 +101,8 @@ def greedy_tiles(ipos: np.ndarray, pos: np.ndarray, k: int) -> list[tuple[int, i
     match; the longest match is marked first (ties: the smaller item place, then document place), and what marks leave of
     a match goes back in line if it still has k words.
     """
+    if not pos.size:
+        return []
     diagonal = pos.astype(np.int64) - ipos
     order = np.lexsort((ipos, diagonal))
     d, i = diagonal[order], ipos[order].astype(np.int64)
