@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="ratebook-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        spark.sparkContext.setCheckpointDir(root)
+    if ":/" not in root:  # Spark reads such a path by its default file system, other readers don't know that
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", root.rstrip("/"))
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
