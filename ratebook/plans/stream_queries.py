@@ -17,7 +17,7 @@ __all__ = ["ORACLES", "QUERIES"]
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ratebook-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="ratebook-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
