@@ -198,3 +198,26 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines before and after, and the text that stays."""
     return dedupe_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
+OP10_SQL = """
+WITH raw AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS part FROM documents),
+lines AS (SELECT doc_id, n, part, trim(part, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM raw),
+firsts AS (SELECT line, length(line) AS size, min(doc_id * 1000000 + n) AS pos FROM lines WHERE line <> '' GROUP BY line),
+halves AS (
+  SELECT line, size, pos, m, side, CASE WHEN side = 0 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS half
+  FROM (SELECT *, unnest([size, size - 1]) AS m FROM firsts WHERE size >= 20), (VALUES (0), (1)) AS s(side)
+),
+pairs AS (SELECT DISTINCT a.line AS a, b.line AS b, b.pos FROM halves AS a JOIN halves AS b USING (m, side, half) WHERE a.pos < b.pos AND abs(a.size - b.size) <= 1),
+near AS (
+  SELECT DISTINCT pos FROM pairs
+  WHERE len(list_filter(range(1, greatest(length(a), length(b)) + 1), lambda p:
+    CASE WHEN length(a) = length(b) THEN left(a, p - 1) || substr(a, p + 1) = left(b, p - 1) || substr(b, p + 1)
+         WHEN length(a) > length(b) THEN left(a, p - 1) || substr(a, p + 1) = b ELSE left(b, p - 1) || substr(b, p + 1) = a END)) > 0
+),
+kept AS (SELECT pos FROM firsts WHERE pos NOT IN (SELECT pos FROM near)),
+marked AS (SELECT *, doc_id * 1000000 + n IN (SELECT pos FROM kept) AND line <> '' AS stays FROM lines)
+SELECT d.doc_id, CAST(count(*) FILTER (line <> '') AS INTEGER) AS n_lines, CAST(count(*) FILTER (stays) AS INTEGER) AS n_kept,
+       CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(part, chr(10) ORDER BY n) FILTER (stays OR line = ''), '') END AS text
+FROM documents AS d LEFT JOIN marked AS m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP5_SQL, op5_chat
 from .decontaminate import op7_benchmark_decontamination
 from .language_id import op1_language_id
-from .line_dedup import op10_line_dedup
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op8_media
 from .sentence_pieces import op4_sentence_pieces
 from .simhash import op9_simhash_near_dedup
@@ -33,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op5_chat": OP5_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
