@@ -26,8 +26,8 @@ RANK_STEP = 512
 #: A file is closed once it holds so many ids.
 TOKENS_PER_FILE = 4_000_000
 END_ID = 0
-#: Words of which a worker keeps the ids at most; it starts anew beyond that.
-CACHE_WORDS = 500_000
+#: Words after which a worker begins a new set of known ones; it keeps the set before, of which words in use come back.
+CACHE_WORDS = 400_000
 
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
@@ -125,6 +125,7 @@ class TextEncoder:
         self.newline = self._whole(["\n"])[0]
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -150,13 +151,16 @@ class TextEncoder:
         cut = [self.by_word and not self._blank_run.search(t) and not any(a in t for a in self.added) for t in texts]
         parts = [t.split(" ") if c else None for t, c in zip(texts, cut, strict=True)]
         if len(self.inner) + len(self.first) > CACHE_WORDS:
-            self.inner, self.first = {}, {}
+            self.older, self.inner, self.first = self.inner, {}, {}
         inner, first = self.inner, self.first
         new_first = list({p[0] for p in parts if p} - first.keys())
         for w, ids in zip(new_first, self._whole(new_first), strict=True):
             first[w] = ids.tobytes()
-        new = list(set().union(*[p[1:] for p in parts if p]).difference(inner))
-        inner.update(zip(new, self._words([" " + w for w in new]), strict=True))
+        new = set().union(*[p[1:] for p in parts if p]).difference(inner)
+        older = self.older
+        inner.update([(w, older[w]) for w in new if w in older] if older else [])
+        fresh = [w for w in new if w not in older]
+        inner.update(zip(fresh, self._words([" " + w for w in fresh]), strict=True))
         out = []
         for text, words in zip(texts, parts, strict=True):
             if words is None:
@@ -201,7 +205,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_column: s
 
         for batch in batches:
             keys = batch.column("id").to_pylist()
-            for start, texts in text_batches(batch, "text"):
+            for start, texts in text_batches(batch, "text", 700_000):
                 for i, a in enumerate(encoder.encode(texts), start):
                     doc_ids.append(NULL_ID if keys[i] is None else keys[i])
                     ids.append(np.concatenate((a, end)))
