@@ -38,6 +38,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("document_id", "page", (F.col("i") + 1).alias("line_no"), "text", F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(300.0).alias("y"), F.lit(600.0).alias("page_height"), F.lit(False).alias("is_table"))
 
 
+def document_lines(spark: SparkSession, sf_dir: str, page_lines: int = 40) -> DataFrame:
+    """Every document for itself: document = doc_id, with a page for each page_lines of its lines."""
+    return lines(spark, sf_dir).withColumns({"document_id": F.col("page"), "page": F.ceil(F.col("line_no") / page_lines).cast("int")})
+
+
 @query(f"""WITH {LINES_SQL}, k AS (SELECT document_id, page, {KEY_SQL} AS key FROM lines), p AS (SELECT document_id, count(DISTINCT page) AS pages FROM k GROUP BY 1),
 s AS (SELECT document_id, key, count(DISTINCT page) AS n_pages FROM k WHERE key <> '' AND NOT regexp_full_match(key, '[0-9]{{1,4}}') GROUP BY ALL) SELECT document_id, key, n_pages FROM s JOIN p USING (document_id) WHERE n_pages >= greatest(3, pages * 0.05)""")
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,7 @@ def heading_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-5, W-10, W-11, W-12: the section tree of each document, whose lines get headings from their places; tested on fixtures."""
     heading = F.when(F.col("line_no") % 7 == 1, F.concat(((F.col("page") % 9) + 1).cast("string"), F.lit("."), F.col("line_no").cast("string"), F.lit(" "), F.substring("text", 1, 40))).otherwise(F.col("text"))
-    own = lines(spark, sf_dir).withColumns({"text": heading, "bold": F.col("line_no") % 7 == 1, "size": F.when(F.col("line_no") % 7 == 1, 12.0).otherwise(10.0)})
+    own = document_lines(spark, sf_dir).withColumns({"text": heading, "bold": F.col("line_no") % 7 == 1, "size": F.when(F.col("line_no") % 7 == 1, 12.0).otherwise(10.0)})
     sections = K.section_tree(own)
     return sections.join(K.breadcrumbs(sections), ["document_id", "ordinal"]).select("document_id", "ordinal", "ref", "level", "parent_ordinal", "kind", "path")
 
@@ -230,7 +235,7 @@ def section_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordinal = F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).cast("int")
     chunks = docs.select(F.col("source").alias("document_id"), ordinal.alias("section_ordinal"), F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
     sections = docs.select(F.col("source").alias("document_id"), ordinal.alias("ordinal"), F.col("lang").alias("ref"), F.col("lang").alias("title"), F.lit(None).cast("int").alias("parent_ordinal")).distinct()
-    out = S.read_sections(sections.select("document_id", "ref"), sections, chunks)
+    out = S.read_sections(sections.select("document_id", "ref"), sections, chunks, bodies=False)
     return out.select("document_id", "ref", F.size("chunk_ids").cast("long").alias("n_chunks"), F.get("chunk_ids", F.lit(0)).alias("first_chunk"))
 
 
