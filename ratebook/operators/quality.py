@@ -99,14 +99,16 @@ def _citations(rules: DataFrame) -> DataFrame:
 def grounding_issues(rules: DataFrame, chunks: DataFrame) -> DataFrame:
     """(rule_id, path, issue): cited chunks that don't exist, quotes that aren't in theirs, numbers that no cited text prints.
 
-    Cited chunks are read once each; rule numbers and printed numbers meet by (rule, value), an anti-join keeps the rest.
+    Numbers are extracted once from each cited chunk; rule numbers and printed numbers meet by (rule, value), an anti-join keeps the rest.
+    Printed numbers that no rule's type can hold match none.
     """
     cited = _citations(rules).join(chunks.select("chunk_id", "content", F.lit(True).alias("there")), "chunk_id", "left")
     path = F.concat(F.lit("citations."), F.col("pos").cast("string"))
     missing = cited.where("there is null").select("rule_id", path.alias("path"), F.lit("no such chunk").alias("issue"))
-    quotes = cited.where(F.col("there") & ~T.quote_in(F.col("quote"), F.col("content"))).select("rule_id", path.alias("path"), F.lit("quote not in the chunk").alias("issue"))
-    texts = cited.where("there").select("rule_id", "chunk_id", "content").dropDuplicates(["rule_id", "chunk_id"])
-    printed = texts.select("rule_id", F.explode(extract_numbers(F.col("content"))).alias("value")).select("rule_id", F.col("value").cast(RATE).alias("value")).distinct()
+    quotes = cited.where(F.col("there") & ~F.coalesce(T.quote_in(F.col("quote"), F.col("content")), F.lit(False))).select("rule_id", path.alias("path"), F.lit("quote not in the chunk").alias("issue"))
+    pairs = _citations(rules).select("rule_id", "chunk_id").distinct()
+    held = chunks.join(pairs.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.explode(F.array_distinct(extract_numbers(F.col("content")))).alias("value"))
+    printed = pairs.join(held, "chunk_id").select("rule_id", F.col("value").try_cast(RATE).alias("value")).where("value is not null").distinct()
     numbers = rule_numbers(rules).join(printed, ["rule_id", "value"], "left_anti").select("rule_id", "path", F.lit("number not in the cited text").alias("issue"))
     return missing.unionByName(quotes).unionByName(numbers)
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.schemas import RATE
 from ..operators import corpus as K
 from ..operators import quality as Q
 from ..operators import search as S
-from .standins import rule_frame, table
+from .standins import RULES, rule_frame, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -288,9 +289,26 @@ def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.evidence(l.where("l_returnflag = 'A'"), l.where("l_returnflag = 'N'"), l.where("l_returnflag = 'R'"))
 
 
+def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule_id, rule): a rule for each document, of the literal shapes in turn, whose minimum is the document's n_chars.
+
+    It cites its own document by that one's first eight words, and the next document (by id) by the text of a benchmark item.
+    """
+    shapes = spark.createDataFrame(list(enumerate(RULES)), "n int, charge_id string").join(rule_frame(spark), "charge_id").select("n", "rule")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("passage"))
+    n_items = (items.agg(F.max("item")).first()[0] or 0) + 1
+    key = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring_index(F.trim(F.coalesce("text", F.lit(""))), " ", 8).alias("opening"), F.pmod(key, F.lit(len(RULES))).cast("int").alias("n"), F.pmod(key, F.lit(n_items)).alias("item"))
+
+    def cited(chunk: Column, quote: str) -> Column:
+        return F.struct(chunk.cast("long").alias("chunk_id"), F.lit("1").alias("section_ref"), F.lit(1).alias("page"), F.col(quote).alias("quote"))
+
+    rule = F.col("rule").withField("minimum", F.col("n_chars").cast(RATE)).withField("citations", F.array(cited(key, "opening"), cited(key + 1, "passage")))
+    return docs.join(F.broadcast(shapes), "n").join(items, "item", "left").select(key.alias("rule_id"), rule.alias("rule"))
+
+
 @query()
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V-4, V-5, U-2: numbers of the literal rules that documents, as their cited texts, don't print; tested on fixtures."""
+    """V-4, V-5, U-2: quotes and numbers of every document's rule that the cited documents don't hold; tested by brute force."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    rules = rule_frame(spark).withColumn("rule", F.col("rule").withField("citations", F.array(F.struct(F.lit(1).cast("long").alias("chunk_id"), F.lit("1").alias("section_ref"), F.lit(1).alias("page"), F.lit("no such words").alias("quote"))))).withColumn("rule_id", F.col("charge_id"))
-    return Q.grounding_issues(rules, docs)
+    return Q.grounding_issues(document_rules(spark, sf_dir), docs)
