@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 __all__ = [
-    "best_revision", "cache_lookup", "candidates_with_rules", "compile_report", "export_rulebooks", "import_decisions", "rebuild", "request_key", "rules_in_use", "section_order",
+    "best_revision", "cache_lookup", "candidates_with_rules", "compile_report", "export_rulebooks", "import_decisions", "numbered", "rebuild", "request_key", "rules_in_use", "section_order",
     "unknown_ids", "unique_ids",
 ]
 
@@ -73,6 +74,29 @@ def section_order(refs: Column) -> Column:
     return F.transform(F.split(first, "\\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """rows with their position, from 1, among all rows in the order of the columns, which tell the rows apart.
+
+    Split points from a sample of bounded size deal the rows out by ranges of the order; each range is numbered for itself
+    and begins after the number of rows in those before. Only the sample and a count for each range reach the driver.
+    """
+    spark, key = rows.sparkSession, F.struct(*order)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.count()
+    sample = rows.select(key.alias("k")).sample(min(1.0, 50 * parts / max(total, 1)), seed=1).orderBy("k")
+    keys = [r.k for r in sample.collect()]
+    splits = [keys[i * len(keys) // parts] for i in range(1, parts)] if keys else []
+    points = spark.createDataFrame([(splits,)], StructType([StructField("splits", ArrayType(sample.schema["k"].dataType))]))
+    dealt = rows.crossJoin(F.broadcast(points)).withColumn("__part", F.size(F.filter("splits", lambda s: s <= key))).drop("splits")
+    before, offsets = 0, []
+    for part, n in sorted(map(tuple, dealt.groupBy("__part").count().collect())):
+        offsets.append((part, before))
+        before += n
+    starts = spark.createDataFrame(offsets, "__part int, __before long")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
 def unique_ids(rows: DataFrame, by: str, order: str, id_column: str = "charge_id") -> DataFrame:
     """rows with repeated ids of a group renamed: the second gets _2, the third _3, skipping ids that stand earlier in the group.
 

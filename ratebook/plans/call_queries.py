@@ -257,11 +257,18 @@ def compile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey % 7, p_partkey) AS pos FROM part WHERE p_size > 45""")
 def section_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-1: charges of the last sections in section order: "10.2" after "9.10"."""
-    from pyspark.sql import Window
+    return _section_positions(table(spark, sf_dir, "part").where("p_size > 45"))
 
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey % 7, p_partkey) AS pos FROM part""")
+def section_sorted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-1: the charges of all sections in section order."""
+    return _section_positions(table(spark, sf_dir, "part"))
+
+
+def _section_positions(part: DataFrame) -> DataFrame:
     refs = F.array(F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string")))
-    rows = table(spark, sf_dir, "part").where("p_size > 45").select("p_partkey", "p_size", RB.section_order(refs).alias("k"))
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("k", "p_partkey"))).select("p_partkey", "pos")
+    return RB.numbered(part.select("p_partkey", RB.section_order(refs).alias("k")), "k", "p_partkey").select("p_partkey", "pos")
 
 
 @query("""SELECT s_nationkey, s_suppkey, CASE WHEN r = 1 THEN id ELSE id || '_' || r END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey, id ORDER BY s_suppkey) AS r FROM (SELECT s_nationkey, s_suppkey, 'c' || s_suppkey % 2 AS id FROM supplier))""")
