@@ -19,6 +19,8 @@ BLANKS = " \t\r\x0b\x0c"
 #: Lines of fewer characters repeat only when they are equal: one edit makes another line of them ("3." and "4.").
 NEAR_MIN_CHARS = 20
 LAST = (1 << 63) - 1
+#: What tells the lines of all rows apart.
+PLACE = ["id", "copy", "line"]
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -39,15 +41,16 @@ def _half_keys(line: str) -> tuple[int, int, int, int]:
 
 
 def _lines(docs: DataFrame, near_min_chars: int) -> DataFrame:
-    """(id, line, h1, h2, k0..k3) for every line that isn't blank: its place, a 128-bit hash of it, and the keys of its halves."""
+    """(id, copy, line, h1, h2, k0..k3) for every line that isn't blank: its place, a 128-bit hash of it, and the keys of its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, digests, keys, has = [], [], [], [], []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            ids, copies, numbers, digests, keys, has = [], [], [], [], [], []
+            for doc, copy, text in zip(batch.column("id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text"), strict=True):
                 for number, line in enumerate((text.as_py() or "").split("\n")):
                     if line := line.strip(BLANKS):
                         ids.append(doc)
+                        copies.append(copy)
                         numbers.append(number)
                         digests.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
                         near = len(line) >= near_min_chars
@@ -56,15 +59,15 @@ def _lines(docs: DataFrame, near_min_chars: int) -> DataFrame:
             h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             k = np.array(keys, dtype=np.uint64).reshape(-1, 4).view(np.int64)
             none = ~np.array(has, dtype=bool)
-            columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])]
+            columns = [pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])]
             columns += [pa.array(np.ascontiguousarray(k[:, i]), mask=none) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "h1", "h2", "k0", "k1", "k2", "k3"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*PLACE, "h1", "h2", "k0", "k1", "k2", "k3"])
 
-    return docs.mapInArrow(run, "id long, line int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
+    return docs.mapInArrow(run, "id long, copy long, line int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line, content) of the lines whose places are in wanted (id, line, h1): a second pass over the documents.
+    """(id, copy, line, content) of the lines whose places are in wanted (id, copy, line, h1): a second pass over the documents.
 
     A bitmap of fixed size of the wanted hashes keeps most other lines from leaving the pass; the join is exact.
     """
@@ -72,30 +75,31 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, found, digests = [], [], [], []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            ids, copies, numbers, found, digests = [], [], [], [], []
+            for doc, copy, text in zip(batch.column("id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text"), strict=True):
                 for number, line in enumerate((text.as_py() or "").split("\n")):
                     if line := line.strip(BLANKS):
                         ids.append(doc)
+                        copies.append(copy)
                         numbers.append(number)
                         found.append(line)
                         digests.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))[:8])
             take = np.flatnonzero(bitmap_has(bitmap.value, np.frombuffer(b"".join(digests), dtype=np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in take], pa.int64()), pa.array([numbers[i] for i in take], pa.int32()), pa.array([found[i] for i in take], pa.string())],
-                names=["id", "line", "content"],
+                [pa.array([ids[i] for i in take], pa.int64()), pa.array([copies[i] for i in take], pa.int64()), pa.array([numbers[i] for i in take], pa.int32()), pa.array([found[i] for i in take], pa.string())],
+                names=[*PLACE, "content"],
             )
 
-    return docs.mapInArrow(run, "id long, line int, content string").dropDuplicates(["id", "line"]).join(wanted.select("id", "line"), ["id", "line"])
+    return docs.mapInArrow(run, "id long, copy long, line int, content string").dropDuplicates(PLACE).join(wanted.select(PLACE), PLACE)
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """(id, line, h, at): hashes of the line itself (at -1) and of the line without the character at each place."""
+    """(id, copy, line, h, at): hashes of the line itself (at -1) and of the line without the character at each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                for doc, number, line in zip(*(batch.column(c).to_pylist() for c in ("id", "line", "content")), strict=True):
+                for doc, copy, number, line in zip(*(batch.column(c).to_pylist() for c in (*PLACE, "content")), strict=True):
                     c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
                     c *= np.uint64(0xBF58476D1CE4E5B9)
                     c ^= c >> np.uint64(29)
@@ -104,15 +108,15 @@ def _variants(texts: DataFrame) -> DataFrame:
                     without = upto[:-1] + (upto[-1] - upto[1:]) * np.uint64(_BASE_INVERSE)
                     h = np.concatenate((upto[-1:], without)) ^ np.concatenate(([np.uint64(c.size)], np.full(c.size, c.size - 1, dtype=np.uint64)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(h.size, doc, dtype=np.int64)), pa.array(np.full(h.size, number, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(np.arange(-1, c.size, dtype=np.int32))],
-                        names=["id", "line", "h", "at"],
+                        [pa.array(np.full(h.size, doc, dtype=np.int64)), pa.array(np.full(h.size, copy, dtype=np.int64)), pa.array(np.full(h.size, number, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(np.arange(-1, c.size, dtype=np.int32))],
+                        names=[*PLACE, "h", "at"],
                     )
 
-    return texts.mapInArrow(run, "id long, line int, h long, at int")
+    return texts.mapInArrow(run, "id long, copy long, line int, h long, at int")
 
 
 def _near_repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, line) of first occurrences that have an earlier line, of other wording, within one edit.
+    """(id, copy, line) of first occurrences that have an earlier line, of other wording, within one edit.
 
     Lines that share a half with another line are candidates. Their deletion variants meet by hash. All lines of a variant
     and place differ by one substitution at most, and all lines of which one deletion gives a line are one edit from that line;
@@ -122,9 +126,9 @@ def _near_repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
     keys = classes.where(F.col("k0").isNotNull()).select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     shared = keys.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
     candidates = keys.join(shared, "k", "left_semi").select("h1").distinct()
-    wanted = stored(classes.select("id", "line", "h1").join(candidates, "h1", "left_semi"), "candidates")
+    wanted = stored(classes.select(*PLACE, "h1").join(candidates, "h1", "left_semi"), "candidates")
     texts = stored(_texts_of(docs, wanted), "candidate-lines")
-    place = F.struct("id", "line")
+    place = F.struct(*PLACE)
     by_hash, by_place = Window.partitionBy("h"), Window.partitionBy("h", "at")
     met = _variants(texts).withColumns({
         "twin": F.min(place).over(by_place),
@@ -132,34 +136,36 @@ def _near_repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
         "longer": F.min(F.when(F.col("at") >= 0, place)).over(by_hash),
     })
     witness = F.explode(F.array_compact(F.array(F.when(F.col("at") >= 0, F.col("twin")), F.when(F.col("at") >= 0, F.col("shorter")), F.when(F.col("at") < 0, F.col("longer")))))
-    pairs = met.where((F.col("twin") < place) | (F.col("shorter") < place) | (F.col("longer") < place)).select("id", "line", witness.alias("w")).where(F.col("w") < place).distinct()
-    first = texts.select(F.col("id").alias("w_id"), F.col("line").alias("w_line"), F.col("content").alias("w_content"))
-    checked = pairs.select("id", "line", F.col("w.id").alias("w_id"), F.col("w.line").alias("w_line")).join(first, ["w_id", "w_line"]).join(texts, ["id", "line"])
-    return checked.where(F.levenshtein("content", "w_content", 1) >= 0).select("id", "line").distinct()
+    pairs = met.where((F.col("twin") < place) | (F.col("shorter") < place) | (F.col("longer") < place)).select(*PLACE, witness.alias("w")).where(F.col("w") < place).distinct()
+    first = texts.select(*[F.col(c).alias(f"w_{c}") for c in PLACE], F.col("content").alias("w_content"))
+    checked = pairs.select(*PLACE, *[F.col(f"w.{c}").alias(f"w_{c}") for c in PLACE]).join(first, [f"w_{c}" for c in PLACE]).join(texts, PLACE)
+    return checked.where(F.levenshtein("content", "w_content", 1) >= 0).select(PLACE).distinct()
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text_column).cast("string").alias("text"))
+def _key(id_column: str, text_column: str) -> list[Column]:
+    """id, LAST for null, and copy, which tells rows of one id and different texts apart."""
+    return [F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("copy")]
 
 
 def kept_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = 1, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
-    """(id, kept): the numbers, from 0, of the lines of each document that stay and aren't blank; documents without any are absent.
+    """(id, copy, kept): the numbers, from 0, of the lines of each document that stay and aren't blank; documents without any are absent.
 
     A line goes if it equals an earlier one or, with max_edits 1 and near_min_chars characters or more, is one edit from an
-    earlier one; earlier means a smaller id, then a smaller line number. Lines are compared without BLANKS at their ends.
-    Rows that repeat an id count as one document; a null id comes last. max_edits is 0 or 1.
+    earlier one; earlier means a smaller id, then a smaller copy (the hash of the text), then a smaller line number. Lines are compared
+    without BLANKS at their ends. Rows that repeat an id and its text count as one document; a null id comes last. max_edits
+    is 0 or 1.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    source = _keyed(docs, id_column, text_column)
+    source = docs.select(*_key(id_column, text_column), F.col(text_column).cast("string").alias("text"))
     lines = _lines(source, near_min_chars)
-    first = F.min(F.struct("id", "line"))
+    first = F.min(F.struct(*PLACE))
     classes = lines.groupBy("h1", "h2").agg(first.alias("first"), *[F.min(k).alias(k) for k in ("k0", "k1", "k2", "k3")])
-    classes = stored(classes.select("first.id", "first.line", "h1", "h2", "k0", "k1", "k2", "k3"), "line-classes")
-    staying = classes.select("id", "line")
+    classes = stored(classes.select("first.*", "h1", "h2", "k0", "k1", "k2", "k3"), "line-classes")
+    staying = classes.select(PLACE)
     if max_edits:
-        staying = staying.join(_near_repeats(source, classes), ["id", "line"], "left_anti")
-    return staying.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("kept"))
+        staying = staying.join(_near_repeats(source, classes), PLACE, "left_anti")
+    return staying.groupBy("id", "copy").agg(F.array_sort(F.collect_list("line")).alias("kept"))
 
 
 def dedupe_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = 1, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
@@ -167,8 +173,9 @@ def dedupe_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Blank lines stay where they are; a null text stays null with 0 lines. Columns of docs by the names n_lines and n_kept are replaced.
     """
-    kept = kept_lines(docs, id_column, text_column, max_edits, near_min_chars).select(F.col("id").alias("__id"), F.col("kept").alias("__kept"))
-    joined = docs.drop("n_lines", "n_kept").join(kept, F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)) == F.col("__id"), "left")
+    kept = kept_lines(docs, id_column, text_column, max_edits, near_min_chars).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("kept").alias("__kept"))
+    own_id, own_copy = _key(id_column, text_column)
+    joined = docs.drop("n_lines", "n_kept").join(kept, (own_id == F.col("__id")) & (own_copy == F.col("__copy")), "left")
 
     def blank(line: Column) -> Column:
         return F.btrim(line, F.lit(BLANKS)) == ""
@@ -183,7 +190,7 @@ def dedupe_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         "n_kept": F.when(F.col(text_column).isNull(), 0).otherwise(F.coalesce(F.size("__kept"), F.lit(0))),
         text_column: F.array_join(F.transform(numbers, lambda i: F.get("__lines", i)), "\n"),
     })
-    return out.drop("__id", "__kept", "__lines")
+    return out.drop("__id", "__copy", "__kept", "__lines")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
