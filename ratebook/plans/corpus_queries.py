@@ -88,7 +88,7 @@ def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-5, W-10, W-11, W-12: the section tree of each document, whose lines get headings from their places; tested on fixtures."""
     heading = F.when(F.col("line_no") % 7 == 1, F.concat(((F.col("page") % 9) + 1).cast("string"), F.lit("."), F.col("line_no").cast("string"), F.lit(" "), F.substring("text", 1, 40))).otherwise(F.col("text"))
     own = document_lines(spark, sf_dir).withColumns({"text": heading, "bold": F.col("line_no") % 7 == 1, "size": F.when(F.col("line_no") % 7 == 1, 12.0).otherwise(10.0)})
-    sections = K.section_tree(own)
+    sections = K.held(K.section_tree(own))
     return sections.join(K.breadcrumbs(sections), ["document_id", "ordinal"]).select("document_id", "ordinal", "ref", "level", "parent_ordinal", "kind", "path")
 
 
