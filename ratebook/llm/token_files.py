@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ TOKENS_PER_FILE = 4_000_000
 END_ID = 0
 #: Words after which a worker begins a new set of known ones; it keeps the set before, of which words in use come back.
 CACHE_WORDS = 400_000
+#: Characters of the longest word that is kept, and words that are encoded as one text.
+WORD_CHARS, WORDS_AT_ONCE = 64, 200
 
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
@@ -88,6 +91,25 @@ class TokenFile:
             i = int(ranks[block]) + int(np.unpackbits(bitmap[first // 8 : i // 8 + 1], bitorder="little")[: i - first].sum())
         return value
 
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        """The ids at many places at once, each by way of the rank directories; no block is decoded."""
+        value, alive, at, shift = np.zeros(places.size, dtype=np.uint32), np.arange(places.size), places.astype(np.int64), 0
+        for width, chunks, bitmap, ranks in self.levels:
+            if not alive.size:
+                break
+            value[alive] |= chunks[at].astype(np.uint32) << np.uint32(shift)
+            shift += width
+            more = (bitmap[at >> 3] >> (at & 7) & 1).astype(bool)
+            alive, at = alive[more], at[more]
+            block, rank = at // RANK_STEP, np.empty(at.size, dtype=np.int64)
+            for i in range(0, at.size, 4096):
+                part, first = at[i : i + 4096], block[i : i + 4096] * RANK_STEP
+                byte = np.minimum((first >> 3)[:, None] + np.arange(RANK_STEP // 8), bitmap.size - 1)
+                bits = np.unpackbits(bitmap[byte], axis=1, bitorder="little")
+                rank[i : i + 4096] = ranks[block[i : i + 4096]] + (bits & (np.arange(RANK_STEP) < (part - first)[:, None])).sum(axis=1)
+            at = rank
+        return value
+
     def all_ids(self) -> np.ndarray:
         """Every id of the file, level by level."""
         value, at, shift = np.zeros(self.n_ids, dtype=np.uint32), slice(None), 0
@@ -104,11 +126,13 @@ class TokenFile:
 class TextEncoder:
     """Ids of whole texts by a tokenizers file, without special tokens.
 
-    With a byte-level pre-tokenizer, a blank that nothing blank follows always begins a new word, so texts are cut there and
-    each different word is encoded once; other texts and other tokenizers are encoded whole.
+    With a byte-level pre-tokenizer, a blank that nothing blank follows always begins a new word, and a newline between two
+    characters that aren't blank is a word of its own. Texts are cut there, Arrow finds the different words of a batch, and
+    only those that aren't known yet are encoded. Other texts and other tokenizers are encoded whole.
     """
 
     _blank_run = re.compile(r" \s")
+    _newline_run = re.compile(r"\n(?:(?=\s|\Z)|(?<=\s\n)|(?<=\A\n))")
     _any_blank = re.compile(r"\s")
 
     def __init__(self, path: str) -> None:
@@ -122,53 +146,77 @@ class TextEncoder:
         before = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.newline = self._whole(["\n"])[0]
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.newline = np.array(self._ids(["\n"])[0], dtype=np.uint32)
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids, as bytes, of words, of which those without blanks inside are joined by newlines, whose id no other word has."""
-        found: dict[str, bytes] = {}
-        plain = [w for w in words if not self._any_blank.search(w, 1)]
-        if self.newline.size == 1:
-            for i in range(0, len(plain), 4000):
-                part = plain[i : i + 4000]
-                ids = self._whole(["\n".join(part)])[0]
-                cuts = np.flatnonzero(ids == self.newline[0])
-                if len(cuts) == len(part) - 1:
-                    data, ends = ids.tobytes(), (4 * cuts).tolist()
-                    found.update(zip(part, [data[x:y] for x, y in zip([0, *[e + 4 for e in ends]], [*ends, len(data)], strict=True)], strict=True))
-        rest = [w for w in words if w not in found]
-        for i in range(0, len(rest), 2000):
-            found.update(zip(rest[i : i + 2000], [a.tobytes() for a in self._whole(rest[i : i + 2000])], strict=True))
-        return list(map(found.__getitem__, words))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.by_word and not self._blank_run.search(t) and not any(a in t for a in self.added) for t in texts]
-        parts = [t.split(" ") if c else None for t, c in zip(texts, cut, strict=True)]
-        if len(self.inner) + len(self.first) > CACHE_WORDS:
-            self.older, self.inner, self.first = self.inner, {}, {}
-        inner, first = self.inner, self.first
-        new_first = list({p[0] for p in parts if p} - first.keys())
-        for w, ids in zip(new_first, self._whole(new_first), strict=True):
-            first[w] = ids.tobytes()
-        new = set().union(*[p[1:] for p in parts if p]).difference(inner)
-        older = self.older
-        inner.update([(w, older[w]) for w in new if w in older] if older else [])
-        fresh = [w for w in new if w not in older]
-        inner.update(zip(fresh, self._words([" " + w for w in fresh]), strict=True))
-        out = []
-        for text, words in zip(texts, parts, strict=True):
-            if words is None:
-                out.append(self._whole([text])[0])
-            else:
-                out.append(np.frombuffer(first[words[0]] + b"".join(map(inner.__getitem__, words[1:])), dtype=np.uint32))
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids, as bytes, of words: those without blanks but the one in front are joined by newlines, whose id no other word has."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 64 * WORDS_AT_ONCE):
+            groups = [words[j : j + WORDS_AT_ONCE] for j in range(i, min(i + 64 * WORDS_AT_ONCE, len(words)), WORDS_AT_ONCE)]
+            joined = ["\n".join(g) for g in groups]
+            for part, text, ids in zip(groups, joined, self._ids(joined), strict=True):
+                flat = np.array(ids, dtype=np.uint32)
+                cuts = np.flatnonzero(flat == self.newline[0])
+                if self.newline.size == 1 and len(cuts) == len(part) - 1 and len(text.split()) == len(part) and all(map(str.strip, part)):
+                    data, ends = flat.tobytes(), (4 * cuts).tolist()
+                    out += [data[x:y] for x, y in zip([0, *[e + 4 for e in ends]], [*ends, len(data)], strict=True)]
+                else:
+                    out += [np.array(x, dtype=np.uint32).tobytes() for x in self._ids(part)]
         return out
 
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of words, of which those of WORD_CHARS or fewer are kept for later batches."""
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = [words[i] for i in missing]
+        kept = list(map(older.get, new)) if older else [None] * len(new)
+        fresh = iter(self._encode_words([w for w, ids in zip(new, kept, strict=True) if ids is None]))
+        for i, w, ids in zip(missing, new, kept, strict=True):
+            found[i] = ids = next(fresh) if ids is None else ids
+            if len(w) <= WORD_CHARS:
+                known[w] = ids
+        return found
+
+    def encode(self, texts: list[str], end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in a row, each with end behind it; how many each has)."""
+        cut = [self.by_word and not self._blank_run.search(t) and not any(a in t for a in self.added) for t in texts]
+        by_line = [c and not self._newline_run.search(t) for t, c in zip(texts, cut, strict=True)]
+        column = pa.array([t.replace("\n", " \n") if n else t if c else "" for t, c, n in zip(texts, cut, by_line, strict=True)], pa.large_string())
+        parts = pc.split_pattern(column, " ")
+        offsets = parts.offsets.to_numpy()
+        words = parts.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # a word behind a newline has no blank before it; so has the first of a text
+        spelt = [w[1:] if w[:1] == "\n" else " " + w for w in different]
+        firsts = [None if not c else t.split(" ", 1)[0].split("\n", 1)[0] if n else t.split(" ", 1)[0] for t, c, n in zip(texts, cut, by_line, strict=True)]
+        entries = self._lookup(spelt + [f or "" for f in firsts])
+        newline = self.newline.tobytes()
+        for i in [i for i, w in enumerate(different) if w[:1] == "\n"]:
+            entries[i] = newline + entries[i]
+        for i, ids in zip([i for i, f in enumerate(firsts, len(different)) if f is None], self._ids([t for t, c in zip(texts, cut, strict=True) if not c]), strict=True):
+            entries[i] = np.array(ids, dtype=np.uint32).tobytes()
+        entries.append(end.tobytes())
+        sizes = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
+        flat, starts = np.frombuffer(b"".join(entries), dtype=np.uint32), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        n = len(texts)
+        counts = np.diff(offsets)
+        places = np.full(len(words) + n, len(entries) - 1, dtype=np.int64)
+        places[np.arange(len(words)) + np.repeat(np.arange(n), counts)] = words.indices.to_numpy()
+        places[offsets[:-1] + np.arange(n)] = len(different) + np.arange(n)
+        lengths = sizes[places]
+        ends = np.cumsum(lengths)
+        out = flat[np.repeat(starts[places] - (ends - lengths), lengths) + np.arange(ends[-1] if ends.size else 0)]
+        upto = ends[offsets[1:] + np.arange(n)]
+        return out, np.diff(upto, prepend=0)
+
 
 _encoders: dict[str, TextEncoder] = {}
 
@@ -191,28 +239,32 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
-        doc_ids: list[int] = []
-        ids: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal doc_ids, ids, size, seq
+            nonlocal held, size, seq
             name = f"part-{part:07d}-{seq:06d}.dac"
-            write_file(f"{folder}/{name}", pack(np.array(doc_ids, dtype=np.int64), np.array([a.size for a in ids]), np.concatenate(ids)))
-            row = [[name], [part], [seq], [len(ids)], [size]]
-            doc_ids, ids, size, seq = [], [], 0, seq + 1
+            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            write_file(f"{folder}/{name}", pack(doc_ids, lengths, ids))
+            row = [[name], [part], [seq], [doc_ids.size], [ids.size]]
+            held, size, seq = [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["file", "part", "seq", "n_docs", "n_ids"])
 
         for batch in batches:
-            keys = batch.column("id").to_pylist()
-            for start, texts in text_batches(batch, "text", 700_000):
-                for i, a in enumerate(encoder.encode(texts), start):
-                    doc_ids.append(NULL_ID if keys[i] is None else keys[i])
-                    ids.append(np.concatenate((a, end)))
-                    size += ids[-1].size
+            keys = batch.column("id").fill_null(NULL_ID).to_numpy()
+            for start, texts in text_batches(batch, "text", 3_000_000):
+                ids, lengths = encoder.encode(texts, end)
+                own, upto, done = keys[start : start + len(texts)], np.cumsum(lengths), 0
+                while done < len(texts):
+                    before = int(upto[done - 1]) if done else 0
+                    stop = min(len(texts), int(np.searchsorted(upto, before + tokens_per_file - size)) + 1)
+                    held.append((own[done:stop], lengths[done:stop], ids[before : int(upto[stop - 1])]))
+                    size += int(upto[stop - 1]) - before
+                    done = stop
                     if size >= tokens_per_file:
                         yield close()
-        if ids:
+        if held:
             yield close()
 
     dealt = picked.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
@@ -234,6 +286,9 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 f = TokenFile(content.as_buffer())
                 ids = f.all_ids().astype("<u4")
+                last = f.starts[1:][np.diff(f.starts) > 0] - 1
+                if not np.array_equal(f.ids_at(last), ids[last]):
+                    raise ValueError("a rank directory leads elsewhere than its levels")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(f.starts[:-1].tolist(), f.starts[1:].tolist(), strict=True)]
                 n = f.n_docs
                 columns = [

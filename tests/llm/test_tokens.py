@@ -69,6 +69,28 @@ def test_random_access():
     assert empty.all_ids().size == 0
 
 
+def test_many_places_by_rank_directories():
+    ids = np.random.default_rng(4).integers(0, 1 << 20, 20_000).astype(np.uint32)
+    f = token_files.TokenFile(token_files.pack(np.array([1]), np.array([ids.size]), ids))
+    places = np.random.default_rng(5).integers(0, ids.size, 9_000)
+    assert (f.ids_at(places) == ids[places]).all() and f.ids_at(np.empty(0, dtype=np.int64)).size == 0
+
+
+def test_words_are_cut_where_the_pretokenizer_cuts():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(1)
+    whole, encoder, end = Tokenizer.from_file(path), token_files.TextEncoder(path), np.array([0], dtype=np.uint32)
+    parts = ["a", "b'", "'s", "1", ",", ".", " ", "\n", "\t", "é", "日", "\r", " w", " 's", "\x1c", "\x85", "_", "<|endoftext|>"]
+    texts = [*TEXTS, "\n", "\n\n", "a\n", "\na b", " ", "a\n\nb c", *("".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(1500))]
+    for _ in range(2):  # the second time from known words
+        ids, lengths = encoder.encode(texts, end)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def test_token_files(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
