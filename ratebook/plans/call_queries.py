@@ -11,7 +11,7 @@ from ..operators import calls as C
 from ..operators import facts as FA
 from ..operators import ports as P
 from ..operators import rulebook as RB
-from .standins import CALLS_SQL, DOCUMENT, calls, rule_frame, table
+from .standins import CALLS_SQL, DOCUMENT, calls, rule_frame, spread, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -136,14 +136,14 @@ def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N-1, P-6: printed numbers of several styles read back."""
     price, q = F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), F.col("l_quantity").cast("int").cast("string")
     forms = {"grouped": price, "european": F.translate(price, ",.", ".,"), "spaced": F.replace(price, F.lit(","), F.lit(" ")), "percent": F.concat(q, F.lit(" %")), "words": F.concat(q, F.lit(" tons")), "thousands": F.concat(q, F.lit(",000"))}
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[parse_number(v).cast("double").alias(k) for k, v in forms.items()])
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")).select("l_orderkey", "l_linenumber", *[parse_number(v).cast("double").alias(k) for k, v in forms.items()])
 
 
 @query("""SELECT l_orderkey, l_linenumber, v AS value FROM (SELECT l_orderkey, l_linenumber, unnest(list_distinct([CAST(l_quantity AS DOUBLE), l_quantity * 1000.0, 0.0, 0.75, 20.0, 4.0, 24.0, 5.0, 2.0, 100.0, 200.0])) AS v FROM lineitem)""")
 def extract_all_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N-2, N-3: every reading of spaced digits, and numbers in words."""
     text = F.concat(F.lit("Up to "), F.col("l_quantity").cast("int").cast("string"), F.lit(" 000 units at 0.75\ntwenty-four hours, the fifth day, two hundred"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(extract_numbers(text)).alias("v")).select("l_orderkey", "l_linenumber", F.col("v").cast("double").alias("value"))
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", F.explode(extract_numbers(text)).alias("v")).select("l_orderkey", "l_linenumber", F.col("v").cast("double").alias("value"))
 
 
 @query("""SELECT o_orderkey, format('{:,.2f}', cents / 100.0) AS money, CASE WHEN cents % 100 = 0 THEN format('{:,}', cents // 100) WHEN cents % 10 = 0 THEN format('{:,.1f}', cents / 100.0) ELSE format('{:,.2f}', cents / 100.0) END AS plain,

@@ -36,7 +36,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.call_totals(_items(spark, sf_dir))
+    out = R.call_totals(R.rate(candidates(spark, sf_dir, by_call=True)))
     return out.select("call_id", F.col("total").cast("double").alias("total"), "n_charged", "n_not_applicable", "n_on_application", "n_not_priced_in_document", "n_failed", "currency", "status")
 
 
@@ -53,13 +53,13 @@ def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REASONS_SQL = f"""WITH {CALLS_SQL}, w AS (
-  SELECT 'exempted' AS charge_id, CASE WHEN lower(prio) = '5-low' AND (st = 'O' OR loa < 120) THEN 'Exempt: low priority' WHEN gt < 1000 THEN 'Not applicable: requires gross_tonnage ge 1000' END AS why, 'not_applicable' AS s FROM calls
+  SELECT 'exempted' AS charge_id, CASE WHEN lower(prio) = '5-low' AND (st = 'O' OR loa < 120) THEN 'Exempt: low priority' WHEN gt < 1000 THEN 'Not applicable: requires gross_tonnage ≥ 1000' END AS why, 'not_applicable' AS s FROM calls
   UNION ALL SELECT 'conditional_parts', CASE WHEN NOT (loa > 150 OR gt > 30000) THEN 'No pricing component of this charge applies to the vessel call' END, 'not_applicable' FROM calls
   UNION ALL SELECT 'unpriced_case', CASE WHEN gt > 45000 THEN 'Giants: the document gives no rate for this case.' WHEN gt < 5 THEN 'Computes to zero for this call.' END, CASE WHEN gt > 45000 THEN 'not_priced_in_document' ELSE 'not_applicable' END FROM calls
   UNION ALL SELECT 'quoted', 'Quoted on application.', 'on_application' FROM calls
   UNION ALL SELECT 'unpriced', 'See the annex.', 'not_priced_in_document' FROM calls
   UNION ALL SELECT 'missing_quantity', CASE WHEN dwt IS NULL THEN 'no value for quantity deadweight' END, 'failed' FROM calls
-  UNION ALL SELECT 'missing_fact', CASE WHEN loa >= 200 THEN 'Not applicable: requires loa_m lt 200' ELSE 'no value for draught_limit' END, CASE WHEN loa >= 200 THEN 'not_applicable' ELSE 'failed' END FROM calls
+  UNION ALL SELECT 'missing_fact', CASE WHEN loa >= 200 THEN 'Not applicable: requires loa_m < 200' ELSE 'no value for draught_limit' END, CASE WHEN loa >= 200 THEN 'not_applicable' ELSE 'failed' END FROM calls
   UNION ALL SELECT 'reduced_away', CASE WHEN st = 'O' THEN 'Computes to zero for this call.' END, 'not_applicable' FROM calls
 ) SELECT charge_id, CASE WHEN why IS NULL THEN 'charged' ELSE s END AS status, why, count(*) AS n FROM w GROUP BY ALL"""
 
@@ -69,15 +69,16 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir, ["by_service"]).select("call_id", F.array_join("formula", "; ").alias("formula"), F.array_join("assumptions", "; ").alias("assumptions"))
 
 
-TRACES_SQL = f"""WITH {CALLS_SQL}, f AS (SELECT *, (gt + 99) // 100 AS u, 10005 + 972 * ((gt + 99) // 100) AS c FROM calls),
-g AS (SELECT *, CAST(u * 972 AS DECIMAL(18,0)) AS p, c * services AS t FROM f)
-SELECT call_id, 'Base: 100.05; Extra: ' || format('{{:,}}', u) || ' × 9.72 = ' || regexp_replace(format('{{:,}}', CAST(p AS BIGINT) // 100) || '.' || lpad(CAST(CAST(p AS BIGINT) % 100 AS VARCHAR), 2, '0'), '\\.?0+$', CASE WHEN p % 100 = 0 THEN '' ELSE '' END)
-  || '; Subtotal: ' || regexp_replace(format('{{:,}}', c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0'), '\\.00$|(\\.[0-9])0$', '\\1')
-  || '; × ' || services || ' (num_services) = ' || regexp_replace(format('{{:,}}', t // 100) || '.' || lpad(CAST(t % 100 AS VARCHAR), 2, '0'), '\\.00$|(\\.[0-9])0$', '\\1')
+def _grouped(cents: str) -> str:
+    """SQL that prints whole cents as an amount: grouped, without trailing zeros."""
+    return f"regexp_replace(format('{{{{:,}}}}', ({cents}) // 100) || '.' || lpad(CAST(({cents}) % 100 AS VARCHAR), 2, '0'), '\\.00$|(\\.[0-9])0$', '\\1')".replace("{{:,}}", "{:,}")
+
+
+TRACES_SQL = f"""WITH {CALLS_SQL}, f AS (SELECT *, (gt + 99) // 100 AS u FROM calls), g AS (SELECT *, u * 985 AS p, 10005 + 985 * u AS c, (10005 + 985 * u) * services AS t FROM f)
+SELECT call_id, 'Base: 100.05; Extra: ' || {_grouped('u * 100')} || ' × 9.85 = ' || {_grouped('p')} || '; Subtotal: ' || {_grouped('c')} || '; × ' || services || ' (num_services) = ' || {_grouped('t')}
   || '; Amount (rounded to cents): ' || format('{{:,}}', t // 100) || '.' || lpad(CAST(t % 100 AS VARCHAR), 2, '0') AS formula,
   CASE WHEN call_id NOT IN (SELECT l_orderkey FROM lineitem) THEN '2 marine-service movements assumed (entering and leaving).' ELSE '' END AS assumptions
 FROM g"""
-TRACES_SQL = TRACES_SQL.replace("""regexp_replace(format('{:,}', CAST(p AS BIGINT) // 100) || '.' || lpad(CAST(CAST(p AS BIGINT) % 100 AS VARCHAR), 2, '0'), '\\.?0+$', CASE WHEN p % 100 = 0 THEN '' ELSE '' END)""", """regexp_replace(format('{:,}', CAST(p AS BIGINT) // 100) || '.' || lpad(CAST(CAST(p AS BIGINT) % 100 AS VARCHAR), 2, '0'), '\\.00$|(\\.[0-9])0$', '\\1')""")
 
 
 def applied_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:

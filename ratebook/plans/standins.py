@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.schemas import QUANTITY, RULE
 from ..operators import calls as C
-from ..operators.rating import with_tier_ends
+from ..operators.rating import prepared
 
-__all__ = ["CALLS_SQL", "DOCUMENT", "RULES", "calls", "candidates", "rule_frame", "table", "values"]
+__all__ = ["CALLS_SQL", "DOCUMENT", "RULES", "calls", "candidates", "rule_frame", "spread", "table", "values"]
 
 DOCUMENT = "tariff"
 
@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files give fewer splits than there are cores, as rating a row costs more than moving it.
+
+    It is a matter of layout only: inputs with enough splits aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def values(spark: SparkSession, sql: str) -> DataFrame:
     """A small literal table by a VALUES list that Spark and DuckDB both read."""
     return spark.sql(sql)
@@ -37,7 +46,7 @@ calls AS (
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """call_id, arrival, departure, quantities, assumptions, and facts of the order's priority and status."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("num_services"))
     key = F.col("o_orderkey")
     raw = orders.join(lines, F.col("l_orderkey") == key, "left").select(
@@ -77,7 +86,7 @@ HUNDREDS = _units("gross_tonnage", "100", "ceil")
 #: The literal rulebook by charge: the rule, and SQL over the calls CTE for (status, cents).
 RULES: dict[str, tuple[dict, str, str]] = {
     "fixed_fee": (_rule("fixed_fee", [_part("fixed", amount="125.50")]), "'charged'", "12550"),
-    "per_unit": (_rule("per_unit", [_part("per_unit", rate="117.08", units=HUNDREDS)]), "'charged'", "((gt + 99) // 100) * 11708"),
+    "per_unit": (_rule("per_unit", [_part("per_unit", rate="118.40", units=HUNDREDS)]), "'charged'", "((gt + 99) // 100) * 11840"),
     "unit_and_time": (
         _rule("unit_and_time", [_part("per_unit", "base", rate="19.25", units=HUNDREDS), _part("per_unit", "stay", rate="5.75", units=HUNDREDS, per_time=_units("time_in_port_hours", "24", "ceil"))]),
         "'charged'", "((gt + 99) // 100) * (1925 + 575 * ((hours + 23) // 24))",
@@ -98,7 +107,7 @@ RULES: dict[str, tuple[dict, str, str]] = {
     ),
     "bounded_tier": (_rule("bounded_tier", [_part("tiered", basis="loa_m", tiers=[{"up_to": "100", "rate": "2", "unit_size": "10", "rounding": "ceil"}, {"up_to": "250", "rate": "3", "unit_size": "10", "rounding": "floor"}])]), "'charged'", "200 * ((least(loa, 100) + 9) // 10) + 300 * ((greatest(least(loa, 250) - 100, 0)) // 10)"),
     "clamped": (_rule("clamped", [_part("fixed", "base", amount="100"), _part("per_unit", "extra", rate="0.02", units=_units("gross_tonnage"))], minimum="250", maximum="900"), "'charged'", "least(greatest(10000 + 2 * gt, 25000), 90000)"),
-    "by_service": (_rule("by_service", [_part("fixed", "base", amount="100.05"), _part("per_unit", "extra", rate="9.72", units=HUNDREDS)], multiplier=_units("num_services")), "'charged'", "(10005 + 972 * ((gt + 99) // 100)) * services"),
+    "by_service": (_rule("by_service", [_part("fixed", "base", amount="100.05"), _part("per_unit", "extra", rate="9.85", units=HUNDREDS)], multiplier=_units("num_services")), "'charged'", "(10005 + 985 * ((gt + 99) // 100)) * services"),
     "adjusted": (
         _rule("adjusted", [_part("fixed", "base", amount="200"), _part("per_unit", "extra", rate="1", units=HUNDREDS)], adjustments=[
             {"id": "urgent", "kind": "surcharge", "percent": "25", "applies_to": ["all"], "when": [_if(("priority", "eq", ["1-URGENT"]))]},
@@ -139,13 +148,17 @@ RULES: dict[str, tuple[dict, str, str]] = {
 
 
 def rule_frame(spark: SparkSession, charges: list[str] | None = None) -> DataFrame:
-    """(document_id, charge_id, rule) of the literal rulebook, tier ends fixed."""
+    """(document_id, charge_id, rule, plan) of the literal rulebook, prepared for rating."""
     rows = [(DOCUMENT, c, json.dumps(RULES[c][0])) for c in charges or RULES]
     parsed = spark.createDataFrame(rows, "document_id string, charge_id string, json string").select("document_id", "charge_id", F.from_json("json", RULE).alias("rule"))
-    return with_tier_ends(parsed)
+    return prepared(parsed)
+
 
+def candidates(spark: SparkSession, sf_dir: str, charges: list[str] | None = None, by_call: bool = False) -> DataFrame:
+    """Calls joined to the rules of their document; the rule side is the literal book, a fixed few rows.
 
-def candidates(spark: SparkSession, sf_dir: str, charges: list[str] | None = None) -> DataFrame:
-    """Calls joined to the rules of their document; the rule side is the literal book, a fixed few rows."""
+    by_call deals the calls by call_id before they are joined, so that totals by call need no shuffle of the many items.
+    """
     own = calls(spark, sf_dir).withColumn("document_id", F.lit(DOCUMENT))
-    return own.join(F.broadcast(rule_frame(spark, charges)), "document_id").select("call_id", "charge_id", "rule", "quantities", "assumptions", "facts")
+    own = own.repartition("call_id") if by_call else own
+    return own.join(F.broadcast(rule_frame(spark, charges)), "document_id").select("call_id", "charge_id", "rule", "plan", "quantities", "assumptions", "facts")

@@ -63,7 +63,7 @@ def exported_rulebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"stream_prices": stream_prices, "stream_intake": stream_intake, "exported_rulebooks": exported_rulebooks}
 ORACLES = {
-    "stream_prices": """WITH c AS (SELECT event_id AS call_id, user_id * 10 + 7 AS gt, user_id % 300 AS loa FROM events) SELECT call_id, 'per_unit' AS charge_id, 'charged' AS status, ((gt + 99) // 100) * 11708 / 100.0 AS amount FROM c
+    "stream_prices": """WITH c AS (SELECT event_id AS call_id, user_id * 10 + 7 AS gt, user_id % 300 AS loa FROM events) SELECT call_id, 'per_unit' AS charge_id, 'charged' AS status, ((gt + 99) // 100) * 11840 / 100.0 AS amount FROM c
 UNION ALL SELECT call_id, 'no_band', CASE WHEN loa BETWEEN 100 AND 200 THEN 'charged' ELSE 'failed' END, CASE WHEN loa BETWEEN 100 AND 200 THEN 75.0 END FROM c""",
     "stream_intake": "SELECT DISTINCT sha256(coalesce(text, '')) AS checksum, 'ready' AS status FROM documents",
     "exported_rulebooks": "SELECT sha256(p_brand) AS checksum, p_brand AS title, count(*) AS n_charges, count(*) FILTER (p_size > 25) AS n_rules FROM part GROUP BY p_brand",

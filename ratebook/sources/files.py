@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schemas import RULE
-from ..operators.rating import with_tier_ends
+from ..operators.rating import prepared
 
 __all__ = ["append_history", "find_rulebook", "read_binary_documents", "read_profiles", "read_rules", "write_report", "write_rulebooks", "write_rules"]
 
@@ -18,12 +18,12 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(file, charge_id, rule) of a folder of rule JSON files, tier ends fixed; an empty folder is an error."""
+    """(file, charge_id, rule, plan) of a folder of rule JSON files, prepared for rating; an empty folder is an error."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path)
     rules = files.select(F.col("_metadata.file_name").alias("file"), F.from_json("value", RULE).alias("rule"))
     if rules.isEmpty():
         raise FileNotFoundError(f"no rules in {path}")
-    return with_tier_ends(rules.select("file", F.col("rule.charge_id").alias("charge_id"), "rule"))
+    return prepared(rules.select("file", F.col("rule.charge_id").alias("charge_id"), "rule"))
 
 
 def read_binary_documents(spark: SparkSession, path: str, suffix: str = "pdf") -> DataFrame:

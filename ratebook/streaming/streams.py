@@ -18,10 +18,10 @@ __all__ = ["cache_stream", "intake", "intake_stream", "price_stream", "priced"]
 def priced(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """Calls (call_id, document_id, facts and the fields of quantities) priced by the rules of their document; a batch or a stream.
 
-    rules (document_id, charge_id, rule) are the current rulebook, the static side.
+    rules (document_id, charge_id, rule, and plan if they are prepared) are the current rulebook, the static side.
     """
     own = quantities(calls).select("call_id", "document_id", "facts", "quantities", "assumptions")
-    return rate(own.join(rules.select("document_id", "charge_id", "rule"), "document_id").drop("document_id"))
+    return rate(own.join(rules, "document_id").drop("document_id"))
 
 
 def price_stream(calls: DataFrame, rules: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -32,7 +32,7 @@ def rule(*components, **more):
 
 def price(spark, rules, quantities, facts=None, assumptions=None):
     rows = [(name, json.dumps(r)) for name, r in rules.items()]
-    book = R.with_tier_ends(spark.createDataFrame(rows, "charge_id string, j string").select("charge_id", F.from_json("j", RULE).alias("rule")))
+    book = R.prepared(spark.createDataFrame(rows, "charge_id string, j string").select("charge_id", F.from_json("j", RULE).alias("rule")))
     call = spark.createDataFrame([(1, {k: Decimal(v) for k, v in quantities.items()}, assumptions or {}, facts or {})], "call_id int, quantities map<string,decimal(20,6)>, assumptions map<string,string>, facts map<string,string>")
     return {r.charge_id: r for r in R.rate(book.crossJoin(call)).collect()}
 
@@ -82,7 +82,7 @@ def test_boundaries(spark):
     assert got["no_band"].status == got["missing"].status == got["reached"].status == got["wrong_op"].status == "failed"
     assert got["missing"].error == "no value for quantity deadweight" and got["reached"].error == "no value for nothing"
     assert got["unreached"].status == "not_applicable" and got["all_free"].reason == R.COMPUTES_TO_ZERO
-    assert got["default_fact"].assumptions == ["Assumed flag is no"]
+    assert got["default_fact"].assumptions == ["flag: assumed no."]
 
 
 def test_adjustments(spark):
@@ -128,3 +128,51 @@ def test_null_rule_fails(spark, width):
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     out = R.rate(rows.withColumns({"quantities": F.lit(None).cast("map<string,decimal(20,6)>"), "assumptions": empty, "facts": empty})).collect()
     assert [r.status for r in out] == ["failed"] * width
+
+
+def test_ceil_and_floor_are_exact(spark):
+    def by(rounding):
+        return rule(part("per_unit", rate="7", units=units("gross_tonnage", "100000", rounding)))
+
+    got = price(spark, {"up": by("ceil"), "down": by("floor"), "tier": rule(part("tiered", basis="gross_tonnage", tiers=[{"rate": "7", "unit_size": "100000", "rounding": "ceil"}]))}, {"gross_tonnage": "100000.000001"})
+    assert {k: str(r.amount) for k, r in got.items()} == {"up": "14.00", "down": "7.00", "tier": "14.00"}
+    got = price(spark, {"down": by("floor"), "up": by("ceil")}, {"gross_tonnage": "199999.999999"})
+    assert {k: str(r.amount) for k, r in got.items()} == {"down": "7.00", "up": "14.00"}
+
+
+def test_a_fact_may_be_deducted(spark):
+    facts = [{"name": "free", "type": "number", "default_value": "40"}]
+    rules = {"less": rule(part("per_unit", rate="1", units=units("loa_m", less="free")), facts=facts)}
+    assert str(price(spark, rules, {"loa_m": "100"})["less"].amount) == "60.00"
+    assert str(price(spark, rules, {"loa_m": "100"}, {"free": "1 0"})["less"].amount) == "90.00"
+
+
+def test_assumptions_follow_the_evaluated_path(spark):
+    flag = [{"name": "flag", "type": "bool", "description": "Flag flown", "default_value": "no"}]
+    several = {"id": "x", "kind": "surcharge", "percent": "10", "applies_to": ["all"], "when": [test_if("num_services", "gt", "1")]}
+    bands = [{"lower": "0", "base_fee": "1", "inc_rate": "1", "inc_units": units("time_in_port_hours", "24", "ceil")}]
+    rules = {
+        "skipped": rule(part("fixed", "a", amount="5"), part("per_unit", "b", rate="1", units=units("num_services"), when=[test_if("loa_m", "gt", "500")])),
+        "adjusted": rule(part("fixed", amount="5"), adjustments=[several]),
+        "banded": rule(part("banded", basis="loa_m", bands=bands)),
+        "not_met": rule(part("fixed", amount="5"), applies_when=[test_if("flag", "eq", "yes"), test_if("num_services", "gt", "1")], facts=flag),
+        "either": rule(part("fixed", amount="5"), applies_when=[{"any_of": [test_if("loa_m", "gt", "1")["any_of"][0], test_if("num_services", "gt", "1")["any_of"][0]]}]),
+    }
+    texts = {"num_services": "two assumed", "time_in_port_hours": "from the window"}
+    got = price(spark, rules, {"loa_m": "100", "num_services": "2", "time_in_port_hours": "30"}, assumptions=texts)
+    assert {k: r.assumptions for k, r in got.items()} == {"skipped": [], "adjusted": ["two assumed"], "banded": ["from the window"], "not_met": ["Flag flown: assumed no."], "either": []}
+    assert got["not_met"].reason == "Not applicable: requires Flag flown = yes"
+
+
+def test_filters_stay_above_what_rows_are_made_of(spark):
+    from ratebook.plans.standins import candidates
+
+    items = R.rate(candidates(spark, "/root/testdata/sf0.001", ["fixed_fee", "no_band", "exempted"]))
+    tests = ["status = 'charged'", "amount > 60", "error is not null", "reason like 'Exempt%'", "size(formula) > 1", "size(assumptions) = 0", "currency = 'EUR'"]
+    whole = items.collect()
+    kept = [
+        lambda r: r.status == "charged", lambda r: r.amount is not None and r.amount > 60, lambda r: r.error is not None, lambda r: (r.reason or "").startswith("Exempt"),
+        lambda r: r.formula is not None and len(r.formula) > 1, lambda r: r.assumptions is not None and not r.assumptions, lambda r: r.currency == "EUR",
+    ]
+    for test, keep in zip(tests, kept, strict=True):
+        assert items.where(test).count() == sum(map(keep, whole))
