@@ -16,8 +16,8 @@ __all__ = ["dedupe_lines", "drop_repeated_lines", "kept_lines", "op10_line_dedup
 
 #: Characters that are cut from a line's ends before lines are compared.
 BLANKS = " \t\r\x0b\x0c"
-#: Lines of fewer characters repeat only when they are equal: one edit makes another line of them ("3." and "4.").
-NEAR_MIN_CHARS = 20
+#: Characters of a line whose variants are made at a time.
+VARIANT_CHARS = 1 << 16
 LAST = (1 << 63) - 1
 #: What tells the lines of all rows apart.
 PLACE = ["id", "copy", "line"]
@@ -40,12 +40,12 @@ def _half_keys(line: str) -> tuple[int, int, int, int]:
     return tuple(out)
 
 
-def _lines(docs: DataFrame, near_min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """(id, copy, line, h1, h2, k0..k3) for every line that isn't blank: its place, a 128-bit hash of it, and the keys of its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies, numbers, digests, keys, has = [], [], [], [], [], []
+            ids, copies, numbers, digests, keys = [], [], [], [], []
             for doc, copy, text in zip(batch.column("id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text"), strict=True):
                 for number, line in enumerate((text.as_py() or "").split("\n")):
                     if line := line.strip(BLANKS):
@@ -53,14 +53,11 @@ def _lines(docs: DataFrame, near_min_chars: int) -> DataFrame:
                         copies.append(copy)
                         numbers.append(number)
                         digests.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
-                        near = len(line) >= near_min_chars
-                        has.append(near)
-                        keys.append(_half_keys(line) if near else (0, 0, 0, 0))
+                        keys.append(_half_keys(line))
             h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             k = np.array(keys, dtype=np.uint64).reshape(-1, 4).view(np.int64)
-            none = ~np.array(has, dtype=bool)
             columns = [pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])]
-            columns += [pa.array(np.ascontiguousarray(k[:, i]), mask=none) for i in range(4)]
+            columns += [pa.array(np.ascontiguousarray(k[:, i])) for i in range(4)]
             yield pa.RecordBatch.from_arrays(columns, names=[*PLACE, "h1", "h2", "k0", "k1", "k2", "k3"])
 
     return docs.mapInArrow(run, "id long, copy long, line int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
@@ -93,24 +90,51 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, copy long, line int, content string").dropDuplicates(PLACE).join(wanted.select(PLACE), PLACE)
 
 
+def _variant_hashes(line: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, hashes) of a line's variants, VARIANT_CHARS places at a time: at -1 of the whole line, then without the character at each place."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n, block = codes.size, VARIANT_CHARS
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(min(block, n) - 1, _BASE, dtype=np.uint64))), dtype=np.uint64)
+
+    def upto(start: int) -> np.ndarray:
+        """Sums of the terms of this block, the last one over all of it."""
+        c = codes[start : start + block].astype(np.uint64) + np.uint64(1)
+        c *= np.uint64(0xBF58476D1CE4E5B9)
+        c ^= c >> np.uint64(29)
+        return np.concatenate(([np.uint64(0)], np.cumsum(c * powers[: c.size] * np.uint64(pow(_BASE, start, 1 << 64)), dtype=np.uint64)))
+
+    sums = [upto(start)[-1] for start in range(0, n, block)]
+    before = np.concatenate(([np.uint64(0)], np.cumsum(np.array(sums, dtype=np.uint64), dtype=np.uint64)))
+    whole = before[-1]
+    yield -1, np.array([whole ^ np.uint64(n)], dtype=np.uint64)
+    for i, start in enumerate(range(0, n, block)):
+        own = before[i] + upto(start)
+        yield start, (own[:-1] + (whole - own[1:]) * np.uint64(_BASE_INVERSE)) ^ np.uint64(n - 1)
+
+
 def _variants(texts: DataFrame) -> DataFrame:
     """(id, copy, line, h, at): hashes of the line itself (at -1) and of the line without the character at each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                for doc, copy, number, line in zip(*(batch.column(c).to_pylist() for c in (*PLACE, "content")), strict=True):
-                    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-                    c *= np.uint64(0xBF58476D1CE4E5B9)
-                    c ^= c >> np.uint64(29)
-                    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(c.size - 1, _BASE, dtype=np.uint64))), dtype=np.uint64)
-                    upto = np.concatenate(([np.uint64(0)], np.cumsum(c * powers, dtype=np.uint64)))
-                    without = upto[:-1] + (upto[-1] - upto[1:]) * np.uint64(_BASE_INVERSE)
-                    h = np.concatenate((upto[-1:], without)) ^ np.concatenate(([np.uint64(c.size)], np.full(c.size, c.size - 1, dtype=np.uint64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(h.size, doc, dtype=np.int64)), pa.array(np.full(h.size, copy, dtype=np.int64)), pa.array(np.full(h.size, number, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(np.arange(-1, c.size, dtype=np.int32))],
-                        names=[*PLACE, "h", "at"],
-                    )
+                held, size = [], 0
+
+                def made() -> pa.RecordBatch:
+                    sizes = [h.size for *_, h in held]
+                    columns = [np.repeat(np.array([x[i] for x in held], dtype=kind), sizes) for i, kind in enumerate((np.int64, np.int64, np.int32))]
+                    columns += [np.concatenate([h for *_, h in held]).view(np.int64), np.concatenate([np.arange(x[3], x[3] + n, dtype=np.int32) for x, n in zip(held, sizes, strict=True)])]
+                    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*PLACE, "h", "at"])
+
+                for doc, copy, number, line in zip(*(batch.column(c) for c in (*PLACE, "content")), strict=True):
+                    for at, h in _variant_hashes(line.as_py()):
+                        held.append((doc.as_py(), copy.as_py(), number.as_py(), at, h))
+                        size += h.size
+                        if size >= 4 * VARIANT_CHARS:
+                            yield made()
+                            held, size = [], 0
+                if held:
+                    yield made()
 
     return texts.mapInArrow(run, "id long, copy long, line int, h long, at int")
 
@@ -123,7 +147,7 @@ def _near_repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
     so the earliest of such a group stands for the others, and no pairs within it are made. Each line's witnesses are
     then verified by edit distance.
     """
-    keys = classes.where(F.col("k0").isNotNull()).select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    keys = classes.select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     shared = keys.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
     candidates = keys.join(shared, "k", "left_semi").select("h1").distinct()
     wanted = stored(classes.select(*PLACE, "h1").join(candidates, "h1", "left_semi"), "candidates")
@@ -147,18 +171,17 @@ def _key(id_column: str, text_column: str) -> list[Column]:
     return [F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("copy")]
 
 
-def kept_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = 1, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = 1) -> DataFrame:
     """(id, copy, kept): the numbers, from 0, of the lines of each document that stay and aren't blank; documents without any are absent.
 
-    A line goes if it equals an earlier one or, with max_edits 1 and near_min_chars characters or more, is one edit from an
-    earlier one; earlier means a smaller id, then a smaller copy (the hash of the text), then a smaller line number. Lines are compared
+    A line of any length goes if it equals an earlier one or, with max_edits 1, is one edit from an earlier one; earlier means a smaller id, then a smaller copy (the hash of the text), then a smaller line number. Lines are compared
     without BLANKS at their ends. Rows that repeat an id and its text count as one document; a null id comes last. max_edits
     is 0 or 1.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     source = docs.select(*_key(id_column, text_column), F.col(text_column).cast("string").alias("text"))
-    lines = _lines(source, near_min_chars)
+    lines = _lines(source)
     first = F.min(F.struct(*PLACE))
     classes = lines.groupBy("h1", "h2").agg(first.alias("first"), *[F.min(k).alias(k) for k in ("k0", "k1", "k2", "k3")])
     classes = stored(classes.select("first.*", "h1", "h2", "k0", "k1", "k2", "k3"), "line-classes")
@@ -168,12 +191,12 @@ def kept_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return staying.groupBy("id", "copy").agg(F.array_sort(F.collect_list("line")).alias("kept"))
 
 
-def dedupe_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = 1, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
+def dedupe_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = 1) -> DataFrame:
     """docs with the text cut to the lines that stay, and with n_lines and n_kept, the lines that aren't blank before and after.
 
     Blank lines stay where they are; a null text stays null with 0 lines. Columns of docs by the names n_lines and n_kept are replaced.
     """
-    kept = kept_lines(docs, id_column, text_column, max_edits, near_min_chars).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("kept").alias("__kept"))
+    kept = kept_lines(docs, id_column, text_column, max_edits).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("kept").alias("__kept"))
     own_id, own_copy = _key(id_column, text_column)
     joined = docs.drop("n_lines", "n_kept").join(kept, (own_id == F.col("__id")) & (own_copy == F.col("__copy")), "left")
 
@@ -213,7 +236,7 @@ lines AS (SELECT doc_id, n, part, trim(part, ' ' || chr(9) || chr(13) || chr(11)
 firsts AS (SELECT line, length(line) AS size, min(doc_id * 1000000 + n) AS pos FROM lines WHERE line <> '' GROUP BY line),
 halves AS (
   SELECT line, size, pos, m, side, CASE WHEN side = 0 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS half
-  FROM (SELECT *, unnest([size, size - 1]) AS m FROM firsts WHERE size >= 20), (VALUES (0), (1)) AS s(side)
+  FROM (SELECT *, unnest([size, size - 1]) AS m FROM firsts), (VALUES (0), (1)) AS s(side)
 ),
 pairs AS (SELECT DISTINCT a.line AS a, b.line AS b, b.pos FROM halves AS a JOIN halves AS b USING (m, side, half) WHERE a.pos < b.pos AND abs(a.size - b.size) <= 1),
 near AS (

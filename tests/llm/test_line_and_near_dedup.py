@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import xxhash
 from pyspark.sql import functions as F
 
@@ -87,18 +89,18 @@ def distance(a, b):
     return row[-1]
 
 
-def brute_lines(rows, least=line_dedup.NEAR_MIN_CHARS):
+def brute_lines(rows):
     places = sorted((i, n, line.strip(line_dedup.BLANKS)) for i, t in rows for n, line in enumerate((t or "").split("\n")) if line.strip(line_dedup.BLANKS))
     first = {}
     for i, n, line in places:
         first.setdefault(line, (i, n))
-    kept = {p for line, p in first.items() if not any(q < p and len(o) >= least and len(line) >= least and distance(line, o) <= 1 for o, q in first.items() if o != line)}
+    kept = {p for line, p in first.items() if not any(q < p and distance(line, o) <= 1 for o, q in first.items() if o != line)}
     return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) in kept or not x.strip(line_dedup.BLANKS)) for i, t in rows if t is not None}
 
 
 def test_lines_match_brute_force(spark):
     rng = random.Random(11)
-    base = ["".join(rng.choices("ab ", k=rng.choice([3, 19, 20, 21, 40]))) for _ in range(25)] + ["aaaaaaaaaaaaaaaaaaaaaaaa", "ünïcode line of some length 日本"]
+    base = ["".join(rng.choices("ab ", k=rng.choice([1, 2, 3, 5, 19, 20, 21, 40]))) for _ in range(25)] + ["aaaaaaaaaaaaaaaaaaaaaaaa", "ünïcode line of some length 日本"]
     pool = list(base)
     for line in base * 2:
         at = rng.randrange(len(line))
@@ -109,9 +111,30 @@ def test_lines_match_brute_force(spark):
 
 
 def test_line_stage_edges(spark):
-    rows = [(2, "same line of text here", "en"), (1, "same line of text here", "en"), (3, "other line of text, long\nsame line of text here", None), (4, None, "fr"), (5, "", "fr"), (6, "x\r\ny", "fr")]
+    rows = [(2, "same line of text here", "en"), (1, "same line of text here", "en"), (3, "other line of text, long\nsame line of text here", None), (4, None, "fr"), (5, "", "fr"), (6, "x\r\nyes", "fr")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("mine")).withColumn("n_chars", F.lit(0).cast("long"))
     plain = docs.drop("n_lines")
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.drop_repeated_lines(plain).collect()}
-    assert got == {1: ("same line of text here", 22), 3: ("other line of text, long", 24), 4: (None, None), 5: ("", 0), 6: ("x\r\ny", 4)}
+    assert got == {1: ("same line of text here", 22), 3: ("other line of text, long", 24), 4: (None, None), 5: ("", 0), 6: ("x\r\nyes", 6)}
     assert line_dedup.drop_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_variants_of_long_lines_come_in_slices(spark, monkeypatch):
+    line = "".join(random.Random(3).choices("abcdef é日", k=500))
+    whole = [x for _, part in line_dedup._variant_hashes(line) for x in part.tolist()]
+    monkeypatch.setattr(line_dedup, "VARIANT_CHARS", 64)
+    with np.errstate(over="ignore"):
+        sliced = [(at + i, x) for at, part in line_dedup._variant_hashes(line) for i, x in enumerate(part.tolist())]
+        other = [x for _, part in line_dedup._variant_hashes(line[:100] + line[101:]) for x in part.tolist()]
+    assert [x for _, x in sliced] == whole and [at for at, _ in sliced] == list(range(-1, len(line))) and other[0] == whole[101]
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two = "first text of several words that is here", "second text of quite other words, also here"
+    rows = [(4, one), (5, one), (5, two), (6, two), (4, one), (None, "third, with a null id and words"), (None, None), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("mine"))
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got[:], key=str) in (sorted([(4, one), (5, two), (None, rows[5][1]), (9, None)], key=str), sorted([(4, one), (5, two), (None, rows[5][1]), (9, "")], key=str))
+    assert simhash.keep_one_of_each(docs.where("false")).count() == 0
