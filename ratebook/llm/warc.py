@@ -9,13 +9,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, scratch_dir, stored
 from .shared_files import write_file
 
-__all__ = ["mark_revisits", "op3_warc", "parse_records", "read_pages", "reassemble", "unchunk", "write_warc"]
+__all__ = ["mark_revisits", "op3_warc", "page_digests", "parse_records", "read_pages", "read_records", "reassemble", "unchunk", "write_warc"]
 
 #: Payloads of fewer bytes are always stored.
 MIN_REVISIT_BYTES = 100
@@ -26,21 +26,33 @@ CHUNK_BYTES = 8_192
 FILE_BYTES = 8_000_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD_SCHEMA = "record_id string, record_type string, page_id long, uri string, origin string, segment int, total long, refers_to string, digest string, block binary"
+#: Compressed bytes that the inflater gets at a time.
+READ_BYTES = 16_384
+RECORD_SCHEMA = "record_id string, record_type string, page_id long, uri string, origin string, segment int, total long, refers_to string, digest string, block binary, n long, sha string"
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+RECORD_KINDS = {name: _KINDS[kind] for name, kind in (c.split() for c in RECORD_SCHEMA.split(", "))}
 
 
 def mark_revisits(pages: DataFrame, id_column: str = "page_id", payload_column: str = "payload", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages with digest (SHA-256 of the payload) and first_id: null for responses, else the smallest id with the same payload.
+    """pages with digest (SHA-256 of the payload), first_id and repeat.
 
-    Only ids and digests are grouped and joined by digest. Rows that repeat the smallest id are responses too; a null id is
-    never the smallest unless there is no other.
+    first_id is null for responses, else the smallest id with the same payload; rows that repeat that id are responses too, and
+    a null id is never the smallest unless there is no other. repeat numbers the rows that have both id and payload in
+    common, from 0, so that it tells all rows apart. Ids and digests are counted once and written; the payloads travel by id and digest only.
     """
     with_digest = pages.withColumn("digest", F.sha2(F.col(payload_column), 256))
-    slim = with_digest.where(F.octet_length(payload_column) >= min_bytes).select(F.col(id_column).alias("__id"), F.col("digest").alias("__digest")).distinct()
-    first = slim.groupBy("__digest").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = slim.join(first, "__digest").where(~F.col("__id").eqNullSafe(F.col("first_id")))
+    slim = with_digest.select(F.col(id_column).alias("__id"), F.col("digest").alias("__digest"), (F.octet_length(payload_column) >= min_bytes).alias("long"))
+    rows = stored(slim.groupBy("__digest", "__id").agg(F.count(F.lit(1)).alias("n"), F.any_value("long").alias("long")), "page-rows")
+    first = rows.where("long").groupBy("__digest").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("ids")).where("ids > 1").drop("ids")
+    later = rows.where("long").drop("n", "long").join(stored(first, "page-firsts"), "__digest").where(~F.col("__id").eqNullSafe(F.col("first_id")))
     on = F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
-    return with_digest.join(later, on, "left").drop("__id", "__digest")
+    repeated = stored(rows.where("n > 1").select("__id", "__digest"), "page-repeats")
+    marked = with_digest.join(later, on, "left").drop("__id", "__digest")
+    if repeated.isEmpty():
+        return marked.withColumn("repeat", F.lit(0))
+    number = F.row_number().over(Window.partitionBy(id_column, "digest").orderBy("digest")) - 1
+    several = marked.join(repeated, on, "left_semi").withColumn("repeat", number)
+    return marked.join(repeated, on, "left_anti").withColumn("repeat", F.lit(0)).unionByName(several)
 
 
 def _record_id(page_id: int | None, digest: str, repeat: int = 0) -> str:
@@ -88,14 +100,14 @@ def _page_records(page_id: int | None, url: str | None, payload: bytes, digest:
 
 
 def write_warc(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes (page_id, url, payload, digest, first_id, revisit) rows as .warc.gz files of folder; returns (file, n_records).
+    """Writes (page_id, url, payload, digest, first_id, revisit, repeat) rows as .warc.gz files of folder; returns (file, n_records).
 
     Each record is a gzip member of its own; a record's segments may lie in several files. Rows are sorted within a task, so
     names and bytes of files depend on the rows alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, parts, size, before, repeat = TaskContext.get().partitionId(), 0, [], 0, None, 0
+        part, seq, parts, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal parts, size, seq
@@ -106,11 +118,8 @@ def write_warc(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES
             return out
 
         for batch in batches:
-            for page_id, url, payload, digest, first_id, revisit in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "first_id", "revisit")), strict=True):
-                key = (page_id.as_py(), digest.as_py())
-                repeat = repeat + 1 if key == before else 0
-                before = key
-                for record in _page_records(key[0], url.as_py(), payload.as_py(), key[1], first_id.as_py(), revisit.as_py(), repeat, segment_bytes):
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "first_id", "revisit", "repeat")), strict=True):
+                for record in _page_records(*(x.as_py() for x in row), segment_bytes):
                     parts.append(record)
                     size += len(record)
                     if size >= file_bytes:
@@ -118,17 +127,20 @@ def write_warc(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES
         if parts:
             yield close()
 
-    dealt = pages.select("page_id", "url", "payload", "digest", "first_id", "revisit").sortWithinPartitions("page_id", "digest", "url")
+    dealt = pages.select("page_id", "url", "payload", "digest", "first_id", "revisit", F.col("repeat").cast("int")).sortWithinPartitions("page_id", "digest", "repeat", "url")
     return stored(dealt.mapInArrow(run, "file string, n_records long"), "warc-files")
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of each record of a .warc.gz file."""
-    while content:
-        inflate = zlib.decompressobj(31)
-        data = inflate.decompress(content) + inflate.flush()
-        content = inflate.unused_data
-        at = 0
+    """(fields by lower-case name, block) of each record of a .warc.gz file, which is fed to the inflater in small steps."""
+    view, start = memoryview(content), 0
+    while start < len(view):
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof and start < len(view):
+            step = view[start : start + READ_BYTES]
+            parts.append(inflate.decompress(step))
+            start += len(step) - len(inflate.unused_data)
+        data, at = b"".join(parts), 0
         while at < len(data):
             end = data.index(b"\r\n\r\n", at)
             lines = data[at:end].decode("utf-8", "replace").split("\r\n")
@@ -140,15 +152,15 @@ def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at = end + 4 + size + 4
 
 
-def _records(spark: SparkSession, folder: str, segmented: bool) -> DataFrame:
-    """Records of the archives: those that are parts of segmented ones, or the others."""
+def read_records(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
+    """One row for each record of the archives, by RECORD_SCHEMA; segment is null for whole records.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "record_type", "page_id", "uri", "origin", "segment", "total", "refers_to", "digest", "block"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    With digests, whole records have the size and SHA-256 of their payload in place of the block, so that a table of them is slim.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(RECORD_KINDS.values())], names=list(RECORD_KINDS))
 
         def number(text: str | None) -> int | None:
             return None if text is None else int(text)
@@ -157,12 +169,15 @@ def _records(spark: SparkSession, folder: str, segmented: bool) -> DataFrame:
             for content in batch.column("content"):
                 rows, size = [], 0
                 for f, block in parse_records(content.as_py()):
-                    if ("warc-segment-number" in f) == segmented:
-                        rows.append((f["warc-record-id"], f["warc-type"], number(f.get("x-page-id")), f.get("warc-target-uri"), f.get("warc-segment-origin-id"), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha256:") or None, block))
-                        size += len(block)
-                        if size > 8_000_000:
-                            yield as_batch(rows)
-                            rows, size = [], 0
+                    n = sha = None
+                    if digests and "warc-segment-number" not in f:
+                        payload, block = unchunk(block), None
+                        n, sha = len(payload), hashlib.sha256(payload).hexdigest()
+                    rows.append((f["warc-record-id"], f["warc-type"], number(f.get("x-page-id")), f.get("warc-target-uri"), f.get("warc-segment-origin-id"), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha256:") or None, block, n, sha))
+                    size += 500 + len(block or b"")
+                    if size > 8_000_000:
+                        yield as_batch(rows)
+                        rows, size = [], 0
                 if rows:
                     yield as_batch(rows)
 
@@ -173,18 +188,23 @@ def reassemble(records: DataFrame) -> DataFrame:
     """Segmented records as one row each: continuations grouped by the origin's id, in order of segment number.
 
     complete says that segments 1 to n are all there, once each, and that their bytes add up to the total length that the last
-    one gives; otherwise block is null. A group is the segments of one record.
+    one gives; otherwise block is null. A group is the segments of one record, which are joined in one step.
     """
-    part = F.struct("segment", "block", "total", "record_type", "page_id", "uri", "refers_to", "digest")
-    grouped = records.groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    first, n = F.col("parts")[0], F.size("parts")
-    joined = F.aggregate("parts", F.lit(b""), lambda whole, p: F.concat(whole, p["block"]))
-    ordered = F.forall(F.transform("parts", lambda p, i: p["segment"] == i + 1), lambda ok: ok)
-    total = F.element_at("parts", -1)["total"]
-    complete = ordered & (F.octet_length("whole") == total) & (n > 0)
-    whole = grouped.withColumn("whole", joined).withColumn("complete", F.coalesce(complete, F.lit(False)))
-    fields = [first[c].alias(c) for c in ("record_type", "page_id", "uri", "refers_to", "digest")]
-    return whole.select("record_id", *fields, "complete", F.when(F.col("complete"), F.col("whole")).alias("block"))
+    own = ["record_type", "page_id", "uri", "refers_to", "digest"]
+    grouped = records.groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(F.array_sort(F.collect_list(F.struct("segment", "block", "total", *own))).alias("parts"))
+    first = F.col("parts")[0]
+    slim = grouped.select("record_id", *[first[c].alias(c) for c in own], F.col("parts.segment").alias("numbers"), F.element_at("parts", -1)["total"].alias("total"), F.col("parts.block").alias("blocks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = ["record_id", *own]
+        for batch in batches:
+            whole = []
+            for numbers, total, blocks in zip(*(batch.column(c) for c in ("numbers", "total", "blocks")), strict=True):
+                joined = b"".join(b.as_py() for b in blocks)
+                whole.append(joined if numbers.as_py() == list(range(1, len(numbers) + 1)) and len(joined) == total.as_py() else None)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([w is not None for w in whole]), pa.array(whole, pa.binary())], names=[*kept, "complete", "block"])
+
+    return slim.mapInArrow(run, "record_id string, record_type string, page_id long, uri string, refers_to string, digest string, complete boolean, block binary")
 
 
 def unchunk(block: bytes) -> bytes:
@@ -216,10 +236,23 @@ def _payloads(records: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(record_id, record_type, page_id, uri, refers_to, digest, complete, payload) of the pages in the archives; revisits have an empty payload."""
-    single = _records(spark, folder, segmented=False).drop("origin", "segment", "total").withColumn("complete", F.lit(True))
+    """(record_id, record_type, page_id, uri, refers_to, digest, complete, payload) of the pages in the archives; revisits have an empty payload.
+
+    The archives are read once, into a table from which whole records and segments are taken.
+    """
+    records = stored(read_records(spark, folder), "warc-records", compression="zstd")
     columns = ["record_id", "record_type", "page_id", "uri", "refers_to", "digest", "complete", "block"]
-    return _payloads(single.select(columns).union(reassemble(_records(spark, folder, segmented=True)).select(columns)))
+    single = records.where("segment is null").withColumn("complete", F.lit(True)).select(columns)
+    return _payloads(single.union(reassemble(records.where("segment is not null")).select(columns)))
+
+
+def page_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """read_pages with the size n and the SHA-256 sha of each payload in its place: whole records are digested where they are read, only segments are kept."""
+    records = stored(read_records(spark, folder, digests=True), "warc-records", compression="zstd")
+    columns = ["record_id", "record_type", "page_id", "refers_to", "digest", "complete"]
+    single = records.where("segment is null").withColumn("complete", F.lit(True)).select(*columns, "n", "sha")
+    segmented = _payloads(reassemble(records.where("segment is not null")))
+    return single.union(segmented.select(*columns, F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha")))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,8 +263,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_warc(marked.withColumn("revisit", F.col("first_id").isNotNull()), folder)
     if files.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    read = read_pages(spark, folder).select("record_id", "record_type", "page_id", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha"))
-    read = stored(read, "warc-pages")
+    read = stored(page_digests(spark, folder), "warc-pages")
     response = read.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first"), F.col("n").alias("first_n"), F.col("sha").alias("first_sha"))
     revisits = read.where("record_type = 'revisit'").join(response, "refers_to").where("first_sha = digest").select("page_id", F.col("first_n").alias("payload_bytes"), F.col("first_sha").alias("payload_digest"), "record_type", F.col("first").alias("refers_to"))
     own = read.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
