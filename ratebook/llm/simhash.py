@@ -44,7 +44,10 @@ def _majority(hashes: np.ndarray, block: int = 1 << 15) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp): the 64-bit SimHash of every whole text. Null, empty or blank texts have fingerprint 0. Rows are kept as they are, repeated ids too."""
+    """(id, copy, fp): the 64-bit SimHash of every whole text, and a hash of it that tells rows of one id apart.
+
+    Null, empty or blank texts have fingerprint 0. Rows are kept as they are, repeated ids too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,10 +55,11 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             for start, texts in text_batches(batch, "text"):
                 for i, text in enumerate(texts, start):
                     out[i] = _majority(_hashes(text, k, seed))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array(out)], names=["id", "copy", "fp"])
 
-    picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, fp long")
+    text = F.col(text_column).cast("string")
+    picked = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
+    return picked.mapInArrow(run, "id long, copy long, fp long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -105,7 +109,7 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; component_id is the smallest id that links lead to, its own included.
+    """(doc_id, copy, fp, component_id) for every row of docs; component_id is the smallest id that links lead to, its own included.
 
     Copies share a fingerprint and are one class from the start: links are sought between distinct fingerprints only.
     An empty table gives no rows; a null id stays null and is never a component's id unless the component has no other.
@@ -114,16 +118,34 @@ def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_c
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
     roots = connected_components(near_links(classes.select("fp"), max_bits))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    merged = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that both sides of the join are shuffles, of which adaptive execution splits a giant component's
+    merged = stored(joined.groupBy("root").agg(F.min("least_id").alias("component_id")), "merged")
     labels = joined.select("fp", "root").join(merged, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return fps.join(labels, "fp").select(F.col("id").alias("doc_id"), "copy", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, with docs' columns; rows that repeat that id stay with it."""
-    groups = near_duplicate_components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of docs for each group, with docs' columns: that of the smallest doc_id (null last), of one id's that of the smallest hash of its text; of equal rows one.
+
+    What goes is told by id and text, so a row never stays or goes for another one that has its id. The rows that go are
+    fewer than those that stay, and are written, so that the join is broadcast where their size allows it.
+    """
+    rows = near_duplicate_components(docs).groupBy("component_id", F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(rows, "group-rows")
+    order = F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__copy").alias("copy"))
+    first = stored(rows.groupBy("component_id").agg(F.min(order).alias("first")), "group-firsts")
+    met = rows.join(first, rows["component_id"].eqNullSafe(first["component_id"])).withColumn("stays", order == F.col("first"))
+    marked = stored(met.select("__id", "__copy", "n", "stays"), "group-marks")
+    copy = F.xxhash64(F.col("text").cast("string"))
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        return docs.join(keys.select("__id", "__copy"), F.col("doc_id").eqNullSafe(F.col("__id")) & (copy == F.col("__copy")), how)
+
+    gone, several = stored(marked.where("not stays or n > 1"), "group-gone"), stored(marked.where("stays and n > 1"), "group-several")
+    out = among(gone, "left_anti")
+    if several.isEmpty():
+        return out
+    return out.union(among(several, "left_semi").withColumn("__copy", copy).dropDuplicates(["doc_id", "__copy"]).drop("__copy"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
