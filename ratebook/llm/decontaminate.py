@@ -72,13 +72,11 @@ def _document_seeds(docs: DataFrame, lengths: list[int], bitmap) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple[int | None, int, np.ndarray, np.ndarray]] = []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or ""
-                codes = _codes(_words(text))
+            for doc, copy, text in zip(batch.column("doc").to_pylist(), batch.column("copy").to_pylist(), batch.column("text"), strict=True):
+                codes = _codes(_words(text.as_py()))
                 found = [(np.flatnonzero(bitmap_has(bitmap.value, h := _rolling(codes, k))), h) for k in lengths]
                 pos = np.concatenate([at for at, _ in found])
                 if pos.size:
-                    copy = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
                     parts.append((doc, copy, pos, np.concatenate([h[at] for at, h in found])))
             if not parts:
                 continue
@@ -132,19 +130,20 @@ def greedy_tiles(ipos: np.ndarray, pos: np.ndarray, k: int) -> list[tuple[int, i
     return tiles
 
 
-def tile_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", min_tile: int = MIN_TILE) -> DataFrame:
+def tile_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", min_tile: int = MIN_TILE, by_copy: bool = False) -> DataFrame:
     """(doc_id, item_id, n_words, covered, n_tiles, longest, coverage, reordered) for documents and items that share a seed.
 
     Words are lower-cased and lose ASCII punctuation. Only seeds that pass a bitmap of fixed size leave the pass over the
     documents; they are joined to the items' seeds by hash, and each pair's matches are tiled. reordered says that the tiles
     stand in another order in the document. Null or empty texts and items share nothing. Of rows that repeat an id with
-    different texts, the one that covers most counts.
+    different texts, the one that covers most counts; by_copy keeps them apart by copy, the hash of the text.
     """
     spark = docs.sparkSession
     picked = items.select(F.col(item_column).cast("long").alias("item"), F.col(item_text_column).cast("string").alias("text"))
     seeds = stored(_item_seeds(picked, min_tile), "item-seeds")
     lengths = sorted(r[0] for r in seeds.select("k").distinct().collect())  # min_tile values at most
-    source = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text"))
+    text = F.col(text_column).cast("string")
+    source = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"))
     bitmap = spark.sparkContext.broadcast(hashed_bitmap(seeds.select("seed").distinct(), "seed"))
     met = _document_seeds(source, lengths or [min_tile], bitmap).join(seeds, "seed")
     place = F.collect_list(F.struct("ipos", "pos"))
@@ -153,30 +152,34 @@ def tile_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, item, n, k, places in zip(*(batch.column(c) for c in ("doc", "item", "n_words", "k", "places")), strict=True):
+            for doc, copy, item, n, k, places in zip(*(batch.column(c) for c in ("doc", "copy", "item", "n_words", "k", "places")), strict=True):
                 flat = places.values.flatten()
                 both = np.unique(np.stack([flat[0].to_numpy(), flat[1].to_numpy()], axis=1), axis=0)
                 tiles = sorted(greedy_tiles(both[:, 0], both[:, 1], k.as_py()))
                 covered = sum(t[2] for t in tiles)
                 reordered = any(b[1] < a[1] for a, b in zip(tiles, tiles[1:], strict=False))
-                rows.append((doc.as_py(), item.as_py(), n.as_py(), covered, len(tiles), max(t[2] for t in tiles), reordered))
-            kinds = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("covered", pa.int32()), ("n_tiles", pa.int32()), ("longest", pa.int32()), ("reordered", pa.bool_())]
+                rows.append((doc.as_py(), copy.as_py(), item.as_py(), n.as_py(), covered, len(tiles), max(t[2] for t in tiles), reordered))
+            kinds = [("doc_id", pa.int64()), ("copy", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("covered", pa.int32()), ("n_tiles", pa.int32()), ("longest", pa.int32()), ("reordered", pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    tiled = pairs.select("doc", "item", "n_words", "k", "places").mapInArrow(run, "doc_id long, item_id long, n_words int, covered int, n_tiles int, longest int, reordered boolean")
-    best = tiled.groupBy("doc_id", "item_id", "n_words").agg(F.max(F.struct("covered", "longest", "n_tiles", "reordered")).alias("t")).select("doc_id", "item_id", "n_words", "t.*")
+    tiled = pairs.select("doc", "copy", "item", "n_words", "k", "places").mapInArrow(run, "doc_id long, copy long, item_id long, n_words int, covered int, n_tiles int, longest int, reordered boolean")
+    keys = ["doc_id", *(["copy"] if by_copy else []), "item_id", "n_words"]
+    best = tiled.groupBy(*keys).agg(F.max(F.struct("covered", "longest", "n_tiles", "reordered")).alias("t")).select(*keys, "t.*")
     return best.withColumn("coverage", F.col("covered") / F.col("n_words"))
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, min_tile: int = MIN_TILE) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, min_tile: int = MIN_TILE, by_copy: bool = False) -> DataFrame:
     """The pairs of tile_pairs of which tiles cover min_coverage of the item's words."""
-    return tile_pairs(docs, items, min_tile=min_tile).where(F.col("coverage") >= min_coverage)
+    return tile_pairs(docs, items, min_tile=min_tile, by_copy=by_copy).where(F.col("coverage") >= min_coverage)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that hold a test item, with docs' columns."""
-    leaks = contaminated_pairs(docs, items).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    """docs without the rows that hold a test item, with docs' columns; a clean row stays though another of its id goes.
+
+    The leaks are written, so that the join is broadcast where their size allows it and the documents stay where they are.
+    """
+    leaks = contaminated_pairs(docs, items, by_copy=True).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).distinct()
+    return docs.join(stored(leaks, "leaks"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__copy")), "left_anti")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

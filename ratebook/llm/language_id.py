@@ -50,7 +50,7 @@ def ngram_counts(text: str) -> np.ndarray | None:
         grams = np.concatenate((two, three ^ np.uint32(0x165667B1)))
         grams ^= grams >> np.uint32(15)
         grams *= np.uint32(0x2C1B3C6D)
-    return np.bincount(grams >> np.uint32(32 - BUCKETS.bit_length() + 1), minlength=BUCKETS)
+    return np.minimum(np.bincount(grams >> np.uint32(32 - BUCKETS.bit_length() + 1), minlength=BUCKETS), 65_535)
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     found = ngram_counts(part)
                     if found is not None:
                         langs.append(lang)
-                        vectors.append(np.minimum(found, 65535).astype(np.uint16).tobytes())
+                        vectors.append(found.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(vectors, pa.binary())], names=["lang", "counts"])
 
     table = picked.where(chosen).mapInArrow(run, "lang string, counts binary").toArrow()
@@ -152,8 +152,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return EcocModel(languages, code, trust / trust.sum(axis=1, keepdims=True), w, b)
 
 
-def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, runner_up, ambiguous) of every whole text.
+def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_column: str = "text", whole_rows: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, runner_up, ambiguous) of every whole text; whole_rows puts the last four behind docs' own columns instead (those of these names are replaced).
 
     `und` with score 0 where the text is null or has no letter, or the model no languages. ambiguous: the nearest codeword is
     not near enough, or not nearer enough than the next. Ties go to the first language by name.
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_
         for batch in batches:
             best, second = np.full(batch.num_rows, n), np.full(batch.num_rows, n + 1)
             score, lead = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for start, texts in text_batches(batch, "text") if n else ():
+            for start, texts in text_batches(batch, read) if n else ():
                 found = [(i, c) for i, t in enumerate(texts, start) if (c := ngram_counts(t)) is not None]
                 for j in range(0, len(found), 256):
                     at = np.array([i for i, _ in found[j : j + 256]])
@@ -180,20 +180,21 @@ def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_
                         second[at] = order[:, 1]
                         lead[at] -= np.take_along_axis(p, order[:, 1:2], 1)[:, 0]
             vague = (best < n) & ((score < MIN_SCORE) | (lead <= MIN_LEAD))
-            columns = [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(names[second], pa.string()), pa.array(vague)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "runner_up", "ambiguous"])
+            columns = [*map(batch.column, own), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(names[second], pa.string()), pa.array(vague)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, *new])
 
-    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, lang_pred string, score double, runner_up string, ambiguous boolean")
+    new = ["lang_pred", "score", "runner_up", "ambiguous"]
+    picked = docs.drop(*new) if whole_rows else docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    own = picked.columns if whole_rows else ["doc_id"]
+    read = text_column if whole_rows else "text"
+    return picked.mapInArrow(run, ", ".join([*[f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in own], "lang_pred string, score double, runner_up string, ambiguous boolean"]))
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The stage: documents whose language is undetermined or ambiguous go; lang becomes the predicted one where it was null."""
-    model = train(docs)
-    found = identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous"))
-    found = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("lang_pred").alias("__lang"))
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    """The stage: rows whose language is undetermined or ambiguous go; lang becomes the predicted one where it was null. Each row is judged by its own text, and none is shuffled."""
+    kept = identify(docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns]), train(docs), "c_doc_id", "c_text", whole_rows=True)
+    kept = kept.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).withColumn("c_lang", F.coalesce("c_lang", "lang_pred"))
+    return kept.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
