@@ -12,17 +12,19 @@ __all__ = ["event_log", "fold_events", "op5_chat", "parse", "render"]
 #: The template's marks. Texts and roles lose every "<" and "[" by ESCAPES, so that no mark of this or of the usual templates can stand in them.
 TURN, END = "<|turn|>", "<|end|>\n"
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"))
+#: A role ends at the line's end, so it loses newlines too.
+ROLE_ESCAPES = (*ESCAPES, ("\n", "\\n"))
 
 
-def escape(text: Column) -> Column:
-    for plain, mark in ESCAPES:
+def escape(text: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
+    for plain, mark in escapes:
         text = F.replace(text, F.lit(plain), F.lit(mark))
     return text
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
     """The inverse of escape: the backslash comes last, as in an escaped text another escape's letter never follows its own."""
-    for plain, mark in reversed(ESCAPES):
+    for plain, mark in reversed(escapes):
         text = F.replace(text, F.lit(mark), F.lit(plain))
     return text
 
@@ -78,7 +80,7 @@ def render(messages: DataFrame) -> DataFrame:
     assistant's text, nothing of others. Places and sizes are code points. A conversation is one row, as formatting asks for.
     """
     order = Window.partitionBy("conv_id").orderBy("first_seq", "role", "text", "message")
-    role, text = escape(F.col("role")), escape(F.col("text"))
+    role, text = escape(F.col("role"), ROLE_ESCAPES), escape(F.col("text"))
     rows = messages.select("conv_id", F.row_number().over(order).alias("i"), F.col("role").alias("speaker"), role.alias("role"), text.alias("text"))
     rows = rows.withColumn("turn", F.concat(F.lit(TURN), "role", F.lit("\n"), "text", F.lit(END)))
     before = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +95,7 @@ def parse(chats: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text): what rendered chats say, unescaped: each turn's role and text, and the text under the loss mask."""
     blocks = F.split("formatted", END.replace("|", "\\|"), -1)
     blocks = F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0)))
-    turns = F.transform("blocks", lambda b: F.struct(unescape(F.substring_index(F.substring(b, len(TURN) + 1, F.length(b)), "\n", 1)).alias("role"), unescape(F.substring(b, F.locate("\n", b) + 1, F.length(b))).alias("text")))
+    turns = F.transform("blocks", lambda b: F.struct(unescape(F.substring_index(F.substring(b, len(TURN) + 1, F.length(b)), "\n", 1), ROLE_ESCAPES).alias("role"), unescape(F.substring(b, F.locate("\n", b) + 1, F.length(b))).alias("text")))
     lost = F.zip_with("blocks", "loss", lambda b, m: unescape(F.substring(b, m["from"] + 1, m["length"])))
     return chats.withColumn("blocks", blocks).select("conv_id", turns.alias("turns"), F.array_join(lost, "").alias("loss_text"), "formatted")
 
@@ -120,7 +122,7 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), e AS (
-  SELECT *, length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\b'))
+  SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\b'), chr(10), '\n'))
           + length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b')) + 17 AS n
   FROM t
 )

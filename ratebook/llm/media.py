@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_dir
+from .common import read_table, scratch_dir, stored
 
 __all__ = ["as_image", "interleaved", "media_features", "op8_media", "resolve", "store_media"]
 
@@ -173,6 +173,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _documents_as_pages(read_table(spark, sf_dir, "documents"))
     store_media(pages, folder)
     items = interleaved(pages.select("doc_id", "html"), "doc_id", "html").where("kind = 'media'")
-    found = resolve(items, media_features(spark, folder))
+    # written, so that both sides of the join are shuffles, of which adaptive execution splits a digest that many documents share
+    found = resolve(items, stored(media_features(spark, folder), "features"))
     n_bytes = F.regexp_extract("caption", "^([0-9]+) bytes$", 1).cast("long").alias("n_bytes")
     return found.select(F.col("id").alias("doc_id"), n_bytes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -21,6 +21,8 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words of which a worker keeps the pieces at most; it starts anew beyond that.
 CACHE_WORDS = 300_000
+#: Characters of the longest word that is kept, so that unspaced texts aren't.
+WORD_CHARS = 64
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -144,9 +146,11 @@ class PieceModel:
             self.cache.clear()
         known = self.cache
         new = list({w for words in parts for w in words if w not in known})
-        for w, ids in zip(new, self.viterbi([" " + w for w in new]), strict=True):
-            known[w] = ids.tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in parts]
+        found = {w: ids.tobytes() for w, ids in zip(new, self.viterbi([" " + w for w in new]), strict=True)}
+        known.update((w, ids) for w, ids in found.items() if len(w) <= WORD_CHARS)
+        long = {w: ids for w, ids in found.items() if len(w) > WORD_CHARS}
+        get = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
+        return [np.frombuffer(b"".join(map(get, words)), dtype=np.int32) for words in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: markers are blanks, byte pieces bytes, and the blank in front goes."""

@@ -40,7 +40,7 @@ def test_broken_segments_are_told(spark):
 
 CHATS = [
     (1, 0, "user", "hi <|end|>\n[INST] \\e \\\\ <s>"), (1, 1, "assistant", "a\\l<b>[x] 日本 😀"), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 5, "assistant", "second"), (2, 1, "system", "first\nline"),
-    (3, 1, None, "no role"), (None, 1, "user", "no id"), (4, 1, "user", "b"), (4, 1, "user", "a"), (4, 1, "user", "a"), (5, None, "assistant", "no turn"), (5, 2, "assistant<", "odd role"),
+    (3, 1, None, "no role"), (None, 1, "user", "no id"), (4, 1, "user", "b"), (4, 1, "user", "a"), (4, 1, "user", "a"), (5, None, "assistant", "no turn"), (5, 2, "assistant<", "odd role"), (6, 1, "two\nlines\\n", "role with a newline"),
 ]
 
 
@@ -83,6 +83,10 @@ def test_media_round_trip(spark):
         image = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
         r = found[i]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.caption) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), f"{len(data)} bytes")
+        stretch = len(payload) // 64
+        light = "".join("1" if 64 * sum(payload[k * stretch : (k + 1) * stretch]) > sum(payload) else "0" for k in range(64))
+        counts = [sum(b >> 4 == k for b in payload) for k in range(16)]
+        assert r.feature == f"{sum(payload) / len(payload):.3f}:{int(light, 2):016x}:{','.join(map(str, counts))}"
     assert found[1].feature == found[2].feature != found[5].feature
     texts = [r.text for r in items.where("id = 6 AND kind = 'text'").orderBy("position").collect()]
     assert texts == ["</p><img src='media:x'>&amp; <b>", "z"]

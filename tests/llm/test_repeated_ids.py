@@ -17,7 +17,7 @@ def brute(spark, rows):
 
 
 def test_null_and_repeated_ids(spark):
-    rows = [(None, "foo"), (None, "bar"), (None, "foo\nbaz"), (7, "one\ntwo"), (7, "three\none"), (7, "three\none"), (1, "two\nfour")]
+    rows = [(None, "foo"), (None, "bar"), (None, "foo\nquux"), (7, "one\ntwo"), (7, "three\none"), (7, "three\none"), (1, "two\nfour")]
     out = line_dedup.dedupe_lines(spark.createDataFrame(rows, DOCS).selectExpr("*", "text AS was"), text_column="text").collect()
     assert {(r.doc_id, r.was): (r.text, r.n_kept) for r in out} == brute(spark, rows)
     assert len(out) == len(rows) and all(r.n_kept <= r.n_lines for r in out)
@@ -28,3 +28,29 @@ def test_near_repeats_of_repeated_ids(spark):
     rows = [(1, long), (None, long.replace("near", "neat")), (None, "a line of its own, found nowhere else at all"), (7, "yet another line, which nothing repeats"), (7, long.replace("some", "same"))]
     out = line_dedup.dedupe_lines(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(r.text for r in out) == ["", "", rows[2][1], long, rows[3][1]]
+
+
+def test_equal_pages_in_different_tasks(spark):
+    from ratebook.llm import warc
+    from ratebook.llm.common import scratch_dir
+
+    long, big = "<p>" + "same " * 30, "".join(f"<p>line {i}</p>" for i in range(9000))
+    rows = [(9, "u", long), (9, "u", long), (11, "u", long), (12, "u", big), (12, "u", big), (13, "v", big), (12, "w", big), (20, "u", None), (20, "u", None), (None, "u", long)]
+    folder = scratch_dir(spark, "warc")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).selectExpr("page_id", "url", "cast(coalesce(html, '') as binary) as payload")
+    marked = warc.mark_revisits(pages)
+    warc.write_warc(marked.selectExpr("*", "first_id is not null as revisit"), folder)
+    for got in (warc.read_pages(spark, folder).collect(), warc.page_digests(spark, folder).collect()):
+        assert len(got) == len(rows) == len({r.record_id for r in got}) and all(r.complete for r in got)
+        assert sorted((r.page_id or -1, r.record_type) for r in got) == sorted([(9, "response")] * 2 + [(11, "revisit"), (-1, "revisit")] + [(12, "response")] * 3 + [(13, "revisit")] + [(20, "response")] * 2)
+        responses = {r.record_id for r in got if r.record_type == "response"}
+        assert all(r.refers_to in responses for r in got if r.record_type == "revisit")
+
+
+def test_stages_judge_each_row_by_itself(spark):
+    from ratebook.llm import decontaminate
+
+    item = "these words of the test item stand here in a row and nowhere else"
+    docs = spark.createDataFrame([(1, "clean text of other words altogether, and no more"), (1, "before it " + item + " after it"), (2, None), (None, item)], DOCS)
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(decontaminate.drop_contaminated(docs, items).collect(), key=str) == sorted(docs.where("doc_id = 2 or text like 'clean%'").collect(), key=str)

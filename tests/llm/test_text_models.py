@@ -119,3 +119,56 @@ def test_contamination(spark):
     kept = decontaminate.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7]
     assert decontaminate.drop_contaminated(docs, items.where("item_id > 100")).count() == docs.count()
+
+
+def test_identification_by_plain_loops(spark):
+    """identify against counting, weighing and decoding by hand from the same weights."""
+    rows = documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for i, text, _ in rows[::20]:
+        counts = language_id.ngram_counts(text)
+        x = [float(c) ** 0.5 for c in counts]
+        size = sum(v * v for v in x) ** 0.5
+        losses = []
+        for lang in range(len(model.languages)):
+            total = 0.0
+            for bit in range(model.code.shape[1]):
+                z = sum(v / size * float(model.weights[k, bit]) for k, v in enumerate(x) if v) + float(model.bias[bit])
+                total += float(model.trust[lang, bit]) * float(np.log1p(np.exp(-z if model.code[lang, bit] else z)))
+            losses.append(total * model.code.shape[1])
+        weights = [float(np.exp(min(losses) - v)) for v in losses]
+        best = max(range(len(losses)), key=lambda k: weights[k])
+        assert got[i].lang_pred == model.languages[best] and abs(got[i].score - weights[best] / sum(weights)) < 1e-4
+
+
+def test_language_stage_keeps_columns_and_judges_rows(spark):
+    rows = [(i, t, None if i % 7 == 0 else lang, "mine") for i, t, lang in documents()] + [(1, None, "aa", "x"), (2, "123 !", "aa", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    kept = language_id.drop_unidentified(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {r.score for r in got} == {"mine"} and all(r.lang for r in got) and len(got) > 200
+
+
+def test_convolution_by_plain_loops():
+    rng = np.random.default_rng(3)
+    widths, filters = toxicity.WIDTHS, toxicity.FILTERS
+    n = filters * len(widths)
+    model = toxicity.ToxicityModel(
+        rng.normal(size=(toxicity.BUCKETS, toxicity.SIZE)).astype(np.float32), [rng.normal(size=(w, toxicity.SIZE, filters)).astype(np.float32) for w in widths],
+        rng.normal(size=n).astype(np.float32), rng.normal(size=n).astype(np.float32), 0.3, language_id.EcocModel([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((1, 0)), np.zeros(0)),
+    )
+    docs = [rng.integers(0, toxicity.BUCKETS, (k, 3)).astype(np.int32) for k in (0, 1, 2, 7)]
+    got = model.probability(docs)
+    for d, p in zip(docs, got, strict=True):
+        words = [sum(model.embedding[b].astype(float) for b in row) for row in d]
+        padded = words + [np.zeros(toxicity.SIZE)] * 3
+        h = []
+        for w, f in zip(widths, model.filters, strict=True):
+            for k in range(filters):
+                values = [sum(float(padded[i + j] @ f[j, :, k]) for j in range(w)) for i in range(max(1, len(words)))]
+                h.append(max(0.0, max(values) + float(model.bias[len(h)])))
+        z = sum(a * float(b) for a, b in zip(h, model.out, strict=True)) + model.out_bias
+        assert abs(p - 1 / (1 + np.exp(-z))) < 1e-3
