@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "body_of", "casefold", "chunk_content", "heading_kind", "join_lines", "leaders", "normal_words", "outline_line", "page_number", "quote_in", "running_key",
+    "body_of", "casefold", "chunk_content", "excerpt", "excerpt_again", "heading_kind", "join_lines", "leaders", "normal_words", "outline_line", "page_number", "quote_in", "running_key",
     "suspect_table", "token_estimate", "tokens",
 ]
 
@@ -18,6 +18,9 @@ NUMBERED_HEADING = "^([0-9]{1,3}(\\.[0-9]{1,3})*)\\.?\\s+(\\S.*)$"
 DATE_LINE = "(?i)^[0-9]{1,2}(st|nd|rd|th)?\\s+\\p{L}{3,9}\\.?,?\\s+[0-9]{4}$"
 PAGE_REFERENCE = "(?<![0-9.,])[0-9]{1,3}(-[0-9]{1,3})?$"
 MARGIN = 0.12
+# How an excerpt ends, and what stands for one shown before.
+EXCERPT_END = "</tariff_excerpt>"
+SHOWN_ABOVE = "(shown above)"
 
 
 def casefold(text: Column) -> Column:
@@ -109,6 +112,21 @@ def token_estimate(content: Column) -> Column:
     return F.ceil(F.length(content) / 4).cast("int")
 
 
+def excerpt(chunk_id: Column, section_ref: Column, page: Column, printed_page: Column, text: Column) -> Column:
+    """A chunk as it is shown: a tag with its place, and the text."""
+    printed = F.when(F.coalesce(printed_page, F.lit("")) != "", F.concat(F.lit(' printed_page="'), printed_page, F.lit('"'))).otherwise("")
+    return F.concat(_excerpt_tag(chunk_id, section_ref, page), printed, F.lit(">\n"), text, F.lit("\n"), F.lit(EXCERPT_END))
+
+
+def excerpt_again(chunk_id: Column, section_ref: Column, page: Column) -> Column:
+    """What stands for a chunk that was shown before."""
+    return F.concat(_excerpt_tag(chunk_id, section_ref, page), F.lit(">"), F.lit(SHOWN_ABOVE), F.lit(EXCERPT_END))
+
+
+def _excerpt_tag(chunk_id: Column, section_ref: Column, page: Column) -> Column:
+    return F.concat(F.lit('<tariff_excerpt chunk_id="'), chunk_id.cast("string"), F.lit('" section="'), section_ref, F.lit('" page="'), page.cast("string"), F.lit('"'))
+
+
 def outline_line(level: Column, ref: Column, title: Column, opening: Column) -> Column:
     """A section in an outline: indented by level, with the first 300 characters of its text."""
     text = F.trim(F.regexp_replace(opening, "\\s+", " "))

@@ -26,9 +26,14 @@ POSITIVE = ["gross_tonnage", "net_tonnage", "deadweight", "loa_m", "beam_m", "dr
 NOT_NEGATIVE = ["passengers", "days_alongside", "cargo_tonnes", "num_operations", "num_holds", "num_services"]
 DEFAULT_NUM_SERVICES = 2
 ROUTINE_TRIGGERS = ["per_call", "per_service", "per_period"]
-# Why a charge isn't screened in.
-PAYER_REASONS = {"cargo": "Paid by the cargo interest, not the vessel.", "other": "Paid by another party, not the vessel."}
-LICENCE_REASON = "A licence or permit fee, not part of a vessel call."
+# Why a charge isn't screened in, and what is assumed of quantities.
+PAYER_REASONS = {"cargo": "Payable by the cargo owner, not the vessel.", "other": "Not a charge on the vessel (a fee for other parties or services)."}
+LICENCE_REASON = "A licence or permit, not a charge on a vessel call."
+ON_REQUEST_REASON = "Charged only when requested or after an incident; not included."
+STAY_BY_DAYS = ("Time in port taken as the ", " days alongside", "; the arrival-to-departure window of ", " days may include waiting outside port limits", ".")
+STAY_BY_WINDOW = ("Time in port taken as the arrival-to-departure window of ", " days (days alongside not given).")
+NO_PASSENGERS = "No passengers stated; none assumed."
+SERVICES_ASSUMED = " marine-service movements assumed (entering and leaving)."
 
 
 def first_nonzero(values: Column) -> Column:
@@ -119,9 +124,10 @@ def quantities(calls: DataFrame) -> DataFrame:
     hours = (seconds.cast("decimal(18,0)") / F.lit(3600).cast("decimal(4,0)")).cast(QUANTITY)
     days = own("days_alongside")
     shown = format_number(F.round(window, 2))
-    stay = F.when(days.isNotNull(), F.concat(F.lit("Time in port taken as the "), format_number(days), F.lit(" days alongside"), F.when(window.isNotNull(), F.concat(F.lit("; the arrival-to-departure window of "), shown, F.lit(" days may include waiting outside port limits"))).otherwise(""), F.lit("."))).when(
-        window.isNotNull(), F.concat(F.lit("Time in port taken as the arrival-to-departure window of "), shown, F.lit(" days (days alongside not given)."))
-    )
+    head, alongside, aside, waiting, stop = map(F.lit, STAY_BY_DAYS)
+    by_days = F.concat(head, format_number(days), alongside, F.when(window.isNotNull(), F.concat(aside, shown, waiting)).otherwise(""), stop)
+    by_window = F.concat(F.lit(STAY_BY_WINDOW[0]), shown, F.lit(STAY_BY_WINDOW[1]))
+    stay = F.when(days.isNotNull(), by_days).when(window.isNotNull(), by_window)
     values = {n: own(n) for n in ("gross_tonnage", "net_tonnage", "deadweight", "loa_m", "beam_m", "draft_m", "cargo_tonnes")} | {
         "passengers": F.coalesce(own("passengers"), F.lit(0).cast(QUANTITY)),
         "num_services": F.coalesce(own("num_services"), F.lit(DEFAULT_NUM_SERVICES).cast(QUANTITY)),
@@ -132,8 +138,8 @@ def quantities(calls: DataFrame) -> DataFrame:
     texts = {
         "time_in_port_days": stay,
         "time_in_port_hours": stay,
-        "passengers": F.when(own("passengers").isNull(), F.lit("No passengers stated; none assumed.")),
-        "num_services": F.when(own("num_services").isNull(), F.lit(f"{DEFAULT_NUM_SERVICES} marine-service movements assumed (entering and leaving).")),
+        "passengers": F.when(own("passengers").isNull(), F.lit(NO_PASSENGERS)),
+        "num_services": F.when(own("num_services").isNull(), F.lit(f"{DEFAULT_NUM_SERVICES}{SERVICES_ASSUMED}")),
     }
 
     def as_map(entries: dict[str, Column]) -> Column:
@@ -154,7 +160,7 @@ def screen(candidates: DataFrame) -> DataFrame:
         .when((F.col("trigger") == "on_request") & ~F.array_contains(requested, charge), "on_request").otherwise("candidate")
     )
     payer_reason = F.when(F.col("payer") == "cargo", PAYER_REASONS["cargo"]).otherwise(PAYER_REASONS["other"])
-    reason = F.when(F.col("outcome") == "excluded", F.when(F.col("payer") != "vessel", payer_reason).otherwise(LICENCE_REASON))
+    reason = F.when(F.col("outcome") == "excluded", F.when(F.col("payer") != "vessel", payer_reason).otherwise(LICENCE_REASON)).when(F.col("outcome") == "on_request", ON_REQUEST_REASON)
     return candidates.withColumn("outcome", outcome).withColumn("reason", reason)
 
 

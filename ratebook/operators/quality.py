@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,7 +10,7 @@ from ..functions.numbers import extract_numbers, parse_number
 from ..functions.schemas import BASES, RATE
 
 __all__ = [
-    "accuracy", "evidence", "grounding_issues", "match_items", "recall", "repair_citations", "resolve_refs", "retarget_citations", "rule_numbers", "rule_problems", "table_reread_ok",
+    "accuracy", "case_results", "evidence", "forms_agree", "grounding_issues", "match_items", "recall", "repair_citations", "resolve_refs", "retarget_citations", "retargeted_rules", "rule_numbers", "rule_problems", "table_reread_ok",
 ]
 
 
@@ -184,6 +184,41 @@ def table_reread_ok(page_text: Column, before: Column, after: Column) -> Column:
     return (F.size(before) == F.size(after)) & (F.size(F.array_except(numbers, extract_numbers(page_text))) == 0)
 
 
-def listed_first(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+def case_results(matched: DataFrame, totals: DataFrame) -> DataFrame:
+    """(case_id, items_passed, total_passed, passed): a case passes if all its items do and its total is the expected one, where one is given.
+
+    matched is accuracy's; totals has case_id, expected_total (or null) and total.
+    """
+    items = matched.groupBy("case_id").agg(F.bool_and("passed").alias("items_passed"))
+    right = F.col("expected_total").isNull() | F.coalesce(F.col("total") == F.col("expected_total"), F.lit(False))
+    return items.join(totals, "case_id").select("case_id", "items_passed", right.alias("total_passed"), (F.col("items_passed") & right).alias("passed"))
+
+
+def forms_agree(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(case_id, agree): whether two forms of a case's input (case_id, charge_id, amount) come to the same amounts, charge by charge."""
+    a, b = first.withColumn("__a", F.lit(True)), second.withColumnRenamed("amount", "other").withColumn("__b", F.lit(True))
+    same = F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col("amount").eqNullSafe(F.col("other"))
+    return a.join(b, ["case_id", "charge_id"], "full_outer").groupBy("case_id").agg(F.bool_and(same).alias("agree"))
+
+
+def retargeted_rules(rules: DataFrame, ordinals: DataFrame, chunks: DataFrame) -> DataFrame:
+    """rules (rule_id, document_id, rule) of which every citation was found, pointing at this document's chunks; the others are left out.
+
+    ordinals (document_id, chunk_id, ordinal) says where the chunks stood that the rules cite; chunks is retarget_citations'.
+    Rules that are inconsistent then are left out too.
+    """
+    r = F.col("rule")
+    cited = F.concat(F.coalesce(r["citations"], F.array()), F.transform(F.coalesce(r["exemptions"], F.array()), lambda x: x["citation"]), F.transform(F.coalesce(r["adjustments"], F.array()), lambda a: a["citation"]))
+    flat = rules.select("rule_id", "document_id", F.posexplode(cited).alias("pos", "c")).where("c is not null").select("rule_id", "document_id", "pos", "c.chunk_id", "c.section_ref", "c.quote")
+    placed = flat.join(ordinals, ["document_id", "chunk_id"], "left").select("rule_id", "document_id", "pos", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), "section_ref", "quote")
+    found = retarget_citations(placed, chunks).groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "chunk_id"))).alias("__to"), F.bool_and(F.col("chunk_id").isNotNull()).alias("__all"))
+    joined = rules.join(found, "rule_id", "left").where("__all is null or __all")
+
+    def moved(c: Column, pos: Column) -> Column:
+        return F.when(c.isNotNull(), c.withField("chunk_id", F.try_element_at("__to", pos)))
+
+    n_own, n_exempt = F.coalesce(F.size(r["citations"]), F.lit(0)), F.coalesce(F.size(r["exemptions"]), F.lit(0))
+    rule = r.withField("citations", F.transform(r["citations"], moved))
+    rule = rule.withField("exemptions", F.transform(r["exemptions"], lambda x, i: x.withField("citation", moved(x["citation"], n_own + i))))
+    rule = rule.withField("adjustments", F.transform(r["adjustments"], lambda a, i: a.withField("citation", moved(a["citation"], n_own + n_exempt + i))))
+    return rule_problems(joined.withColumn("rule", rule).drop("__to", "__all")).where(F.size("problems") == 0).drop("problems")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import extract_numbers, format_money, format_number, parse_number, round_money
@@ -43,7 +43,7 @@ def call_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 THEN 'dropped' WHEN p_partkey % 3 = 2 AND p_size > 10 THEN 'dropped' WHEN p_partkey % 4 > 1 THEN 'excluded' WHEN p_size % 5 = 3 THEN 'excluded' WHEN p_size % 5 = 4 AND p_size > 25 THEN 'on_request' ELSE 'candidate' END AS outcome,
-CASE WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 OR p_partkey % 3 = 2 AND p_size > 10 THEN NULL WHEN p_partkey % 4 = 2 THEN 'Paid by the cargo interest, not the vessel.' WHEN p_partkey % 4 = 3 THEN 'Paid by another party, not the vessel.' WHEN p_size % 5 = 3 THEN 'A licence or permit fee, not part of a vessel call.' END AS reason FROM part""")
+CASE WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 OR p_partkey % 3 = 2 AND p_size > 10 THEN NULL WHEN p_partkey % 4 = 2 THEN 'Payable by the cargo owner, not the vessel.' WHEN p_partkey % 4 = 3 THEN 'Not a charge on the vessel (a fee for other parties or services).' WHEN p_size % 5 = 3 THEN 'A licence or permit, not a charge on a vessel call.' WHEN p_size % 5 = 4 AND p_size > 25 THEN 'Charged only when requested or after an incident; not included.' END AS reason FROM part""")
 def call_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-9: catalogue entries screened in order: asked only, payer, licence, on request."""
     part, charge = table(spark, sf_dir, "part"), F.concat(F.lit("s"), F.col("p_size").cast("string"))
@@ -254,10 +254,11 @@ def compile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RB.compile_report(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3 == 0).alias("cached"), F.col("o_custkey").alias("tokens")))
 
 
-@query("""SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey % 7, p_partkey) AS pos FROM part WHERE p_size > 45""")
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey % 7, p_partkey) AS pos FROM part""")
 def section_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-1: charges of the last sections in section order: "10.2" after "9.10"."""
-    return _section_positions(table(spark, sf_dir, "part").where("p_size > 45"))
+    """S-1: each rulebook's charges in section order: "10.2" after "9.10"."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", _part_section().alias("k"))
+    return part.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("k", "p_partkey")).alias("pos"))
 
 
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey % 7, p_partkey) AS pos FROM part""")
@@ -267,8 +268,11 @@ def section_sorted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _section_positions(part: DataFrame) -> DataFrame:
-    refs = F.array(F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string")))
-    return RB.numbered(part.select("p_partkey", RB.section_order(refs).alias("k")), "k", "p_partkey").select("p_partkey", "pos")
+    return RB.numbered(part.select("p_partkey", _part_section().alias("k")), "k", "p_partkey").select("p_partkey", "pos")
+
+
+def _part_section() -> Column:
+    return RB.section_order(F.array(F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"))))
 
 
 @query("""SELECT s_nationkey, s_suppkey, CASE WHEN r = 1 THEN id ELSE id || '_' || r END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey, id ORDER BY s_suppkey) AS r FROM (SELECT s_nationkey, s_suppkey, 'c' || s_suppkey % 2 AS id FROM supplier))""")

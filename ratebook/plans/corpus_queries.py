@@ -61,10 +61,12 @@ def running_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.running_text(keyed, K.running_keys(keyed, share=0.05))
 
 
-@query(f"""WITH {LINES_SQL} SELECT document_id, page, count(*) FILTER (regexp_matches(trim(line), '(^|[^0-9.,])[0-9]{{1,3}}(-[0-9]{{1,3}})?$')) AS n_entries, count(*) AS n_lines FROM lines GROUP BY ALL HAVING n_entries >= 1 AND n_entries >= n_lines * 0.02""")
+@query(f"""WITH {LINES_SQL}, t AS (SELECT document_id, page, line_no, CASE WHEN (page + line_no) % 3 = 0 THEN line || ' … ' || page % 500 ELSE line END AS line FROM lines)
+SELECT document_id, page, count(*) FILTER (regexp_matches(trim(line), '(^|[^0-9.,])[0-9]{{1,3}}(-[0-9]{{1,3}})?$')) AS n_entries, count(*) AS n_lines FROM t GROUP BY ALL HAVING n_entries >= 6 AND n_entries >= n_lines * 0.3""")
 def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-7: pages of which many lines end in a page reference (thresholds low, as prose has few)."""
-    return K.contents_pages(lines(spark, sf_dir), least=1, share=0.02)
+    """A-7: pages of which many lines end in a page reference, which every third line gets."""
+    entry = F.concat("text", F.lit(" … "), (F.col("page") % 500).cast("string"))
+    return K.contents_pages(lines(spark, sf_dir).withColumn("text", F.when((F.col("page") + F.col("line_no")) % 3 == 0, entry).otherwise(F.col("text"))))
 
 
 @query(f"""WITH {LINES_SQL}, s AS (SELECT document_id, 8 + length(line) % 4 AS size, sum(length(line)) AS n FROM lines GROUP BY ALL) SELECT document_id, CAST(arg_min(size, -n * 100 + size) AS DOUBLE) AS body_size FROM s GROUP BY 1""")
@@ -92,19 +94,32 @@ def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.join(K.breadcrumbs(sections), ["document_id", "ordinal"]).select("document_id", "ordinal", "ref", "level", "parent_ordinal", "kind", "path")
 
 
-@query("""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, length(unnest(string_split(text, chr(10)))) AS n FROM documents),
-c AS (SELECT doc_id, i, 1 AS chunk_no, n AS chars FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, CASE WHEN chars + l.n > 900 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN chars + l.n > 900 THEN l.n ELSE chars + l.n END FROM c JOIN l ON l.doc_id = c.doc_id AND l.i = c.i + 1)
-SELECT doc_id, chunk_no, count(*) AS n_lines FROM c GROUP BY ALL""")
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, doc_id % 3 = 0 AS defs, i, i % 9 = 4 AS tab, CASE WHEN i % 6 = 2 THEN '"term" ' || line ELSE line END AS line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE doc_id % 10 <> 7),
+c AS (SELECT doc_id, i, 1 AS chunk_no, length(line) AS chars, tab AS shut FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, CASE WHEN shut OR l.tab OR (defs AND i6) OR chars + n > 900 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN shut OR l.tab OR (defs AND i6) OR chars + n > 900 THEN n ELSE chars + n END, l.tab
+  FROM c JOIN (SELECT *, i % 6 = 2 AND NOT tab AND regexp_matches(line, '^"term"\\s') AS i6, length(line) AS n FROM l) l ON l.doc_id = c.doc_id AND l.i = c.i + 1),
+t AS (SELECT doc_id, i, line, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS line1 FROM l WHERE NOT tab),
+p AS (SELECT l.*, c.chunk_no, (SELECT arg_max(coalesce(line1 || chr(10), '') || t.line, t.i) FROM t WHERE t.doc_id = l.doc_id AND t.i < l.i AND l.tab) AS intro FROM l JOIN c USING (doc_id, i)),
+b AS (SELECT doc_id, chunk_no, bool_or(tab) AS tab, any_value(defs) AS defs, count(*) AS n_lines, CASE WHEN bool_or(tab) THEN coalesce(max(intro) || chr(10) || chr(10), '') || max(line) ELSE regexp_replace(string_agg(trim(line), chr(10) ORDER BY i), '(\\p{{L}})-\\n(\\p{{Ll}})', '\\1\\2', 'g') END AS body FROM p GROUP BY ALL)
+SELECT doc_id, chunk_no, CASE WHEN tab THEN 'table' WHEN defs THEN 'definition' ELSE 'text' END AS kind, n_lines, md5({STRIP.format('body')}) AS body FROM b""")
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W-4, W-7, W-8, W-9: lines packed greedily into chunks."""
-    own = lines(spark, sf_dir).select(F.col("page").alias("document_id"), F.lit(1).alias("section_ordinal"), F.col("line_no").alias("seq"), F.col("page"), "text", "is_table", F.lit(False).alias("starts_term"))
-    return K.chunks(own, limit=900).select(F.col("document_id").alias("doc_id"), "chunk_no", F.col("n_lines").cast("long").alias("n_lines"))
+    """W-7, W-8, W-9: lines packed greedily into chunks; tables with their introductions, defined terms, and sections of contents that have none."""
+    key, i = F.col("page"), F.col("line_no")
+    section = F.when(key % 10 == 7, "contents").when(key % 3 == 0, "definitions").otherwise("body")
+    own = lines(spark, sf_dir).select(key.alias("document_id"), F.lit(1).alias("section_ordinal"), section.alias("section_kind"), i.alias("seq"), "page", F.when(i % 6 == 2, F.concat(F.lit('"term" '), "text")).otherwise(F.col("text")).alias("text"), (i % 9 == 4).alias("is_table"))
+    return K.chunks(own, limit=900).select(F.col("document_id").alias("doc_id"), "chunk_no", "kind", F.col("n_lines").cast("long").alias("n_lines"), F.md5("body").alias("body"))
 
 
-@query("""SELECT doc_id, 1.0 AS norm FROM documents""")
+@query("""WITH w AS (SELECT doc_id, unnest(CASE WHEN len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+')) = 0 THEN [NULL] ELSE regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') END) AS token FROM documents),
+h AS (SELECT doc_id, CASE WHEN token IS NULL THEN 0 ELSE CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 256 END AS dim, CASE WHEN token IS NULL OR substr(md5(token), 9, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE -1 END AS sign FROM w),
+v AS (SELECT doc_id, dim, sum(sign) AS v FROM h GROUP BY ALL HAVING sum(sign) <> 0)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM v""")
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-12: hashed feature vectors have length 1; their values are tested by brute force."""
-    return K.feature_vectors(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 9).alias("norm"))
+    """T-12: every value of the documents' hashed feature vectors."""
+    return K.feature_vectors(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "dim", F.round("value", 6).alias("value"))
 
 
 @query("""SELECT s.source AS document_id, count(DISTINCT d.doc_id) AS chunks, coalesce(any_value(t.n), 0) AS charges FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN documents d ON d.source = s.source AND d.lang = 'fr' LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) t ON t.source = s.source GROUP BY 1""")
@@ -229,15 +244,18 @@ def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.definitions(terms, chunks)
 
 
-@query("""WITH c AS (SELECT doc_id, source, lang FROM documents) SELECT source AS document_id, lang AS ref, len(list(doc_id)) AS n_chunks, list_min(list(doc_id)) AS first_chunk FROM c GROUP BY ALL""")
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+c AS (SELECT doc_id, CAST(ceil(line_no / 5) AS INTEGER) AS page, string_agg(line, chr(10) ORDER BY line_no) AS body FROM l GROUP BY ALL)
+SELECT doc_id AS document_id, 'r' || page % 3 AS ref, md5(string_agg(body, chr(10) || chr(10) ORDER BY page)) AS body, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS chunks, CASE WHEN page % 3 = 1 THEN (SELECT string_agg(r, ',' ORDER BY r) FROM (SELECT DISTINCT 'r' || d.page % 3 AS r FROM c d WHERE d.doc_id = c.doc_id AND d.page % 3 <> 1)) END AS children FROM c GROUP BY ALL""")
 def section_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-8, J-9: sections as they read, their chunks in order."""
-    docs = table(spark, sf_dir, "documents")
-    ordinal = F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).cast("int")
-    chunks = docs.select(F.col("source").alias("document_id"), ordinal.alias("section_ordinal"), F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
-    sections = docs.select(F.col("source").alias("document_id"), ordinal.alias("ordinal"), F.col("lang").alias("ref"), F.col("lang").alias("title"), F.lit(None).cast("int").alias("parent_ordinal")).distinct()
-    out = S.read_sections(sections.select("document_id", "ref"), sections, chunks, bodies=False)
-    return out.select("document_id", "ref", F.size("chunk_ids").cast("long").alias("n_chunks"), F.get("chunk_ids", F.lit(0)).alias("first_chunk"))
+    """J-8: each document's sections as they read: bodies of their chunks in order, the chunks' ids, and sections below."""
+    number = (F.col("page") % 3).cast("int")
+    pages = document_lines(spark, sf_dir, 5).groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    chunks = pages.select("document_id", number.alias("section_ordinal"), F.col("page").alias("ordinal"), F.col("page").alias("chunk_id"), F.array_join("ls.text", "\n").alias("body"))
+    ref = F.concat(F.lit("r"), F.col("section_ordinal").cast("string"))
+    sections = chunks.select("document_id", F.col("section_ordinal").alias("ordinal"), ref.alias("ref"), ref.alias("title"), F.when(F.col("section_ordinal") != 1, 1).alias("parent_ordinal")).distinct()
+    out = S.read_sections(sections.select("document_id", "ref"), sections, chunks)
+    return out.select("document_id", "ref", F.md5("body").alias("body"), F.array_join("chunk_ids", ",").alias("chunks"), F.array_join("children", ",").alias("children"))
 
 
 NORMAL_SQL = "' ' || array_to_string(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' '"

@@ -19,7 +19,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(file, charge_id, rule, plan) of a folder of rule JSON files, prepared for rating; an empty folder is an error."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{json,txt}").option("recursiveFileLookup", True).text(path)
     rules = files.select(F.col("_metadata.file_name").alias("file"), F.from_json("value", RULE).alias("rule"))
     if rules.isEmpty():
         raise FileNotFoundError(f"no rules in {path}")

@@ -63,8 +63,8 @@ def test_section_tree(spark):
 
 def test_chunks_and_running_lines(spark):
     rows = [("d", 1, i, 1, t, tab, term) for i, (t, tab, term) in enumerate([("aaaa", False, False), ("bbbb", False, False), ("| t |", True, False), ("cccccccc", False, False), ("Term: x", False, True)])]
-    got = K.chunks(spark.createDataFrame(rows, "document_id string, section_ordinal int, seq int, page int, text string, is_table boolean, starts_term boolean"), limit=9).orderBy("chunk_no").collect()
-    assert [(r.kind, r.body) for r in got] == [("text", "aaaa\nbbbb"), ("table", "aaaa\nbbbb\n| t |"), ("text", "cccccccc"), ("definition", "Term: x")]
+    got = K.chunks(spark.createDataFrame(rows, "document_id string, section_ordinal int, seq int, page int, text string, is_table boolean, starts_term boolean").withColumn("section_kind", F.lit("body")), limit=9).orderBy("chunk_no").collect()
+    assert [(r.kind, r.body) for r in got] == [("text", "aaaa\nbbbb"), ("table", "aaaa\nbbbb\n\n| t |"), ("text", "cccccccc"), ("text", "Term: x")]
     pages = [(p, t, 9.0, False, y, False) for p in range(1, 5) for t, y in ((f"Tariff book {p}", 10.0), (f"words {p}", 300.0), (str(p + 6), 590.0))]
     kept, labels, running = K.clean_lines(lines(spark, pages))
     assert sorted(r.text for r in kept.collect()) == ["words 1", "words 2", "words 3", "words 4"]

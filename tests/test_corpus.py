@@ -36,12 +36,6 @@ def test_sections_read_without_bodies(spark):
     assert {r.ref: (r.chunk_ids, r.children) for r in slim.collect()} == {k: v[1:] for k, v in full.items()} and "body" not in slim.columns
 
 
-def test_section_reading_leaves_texts_unread(spark):
-    plan = QUERIES["section_reading"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    schemas = [line for line in plan.splitlines() if "ReadSchema" in line]
-    assert schemas and not any("text:string" in s for s in schemas)
-
-
 def test_breadcrumbs_of_deep_trees(spark):
     rows = [("d", n, f"t{n}", n, n - 1 if n > 1 else None) for n in range(1, 38)] + [("e", 1, "x", 1, None), ("e", 2, "y", 2, 1)]
     got = K.breadcrumbs(spark.createDataFrame(rows, "document_id string, ordinal int, title string, level int, parent_ordinal int")).collect()
