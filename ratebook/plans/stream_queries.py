@@ -16,8 +16,12 @@ __all__ = ["ORACLES", "QUERIES"]
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="ratebook-")
+    """A new path in the folder that driver and executors share; a local one only where none is set and all run in one JVM."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ratebook-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
