@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_held_out, read_table, text_batches
+from .common import fold_held_out, read_table, stored, text_batches
 
 __all__ = ["EcocModel", "codewords", "drop_unidentified", "identify", "op1_language_id", "train"]
 
@@ -152,8 +152,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return EcocModel(languages, code, trust / trust.sum(axis=1, keepdims=True), w, b)
 
 
-def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_column: str = "text", whole_rows: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score, runner_up, ambiguous) of every whole text; whole_rows puts the last four behind docs' own columns instead (those of these names are replaced).
+def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns of keep, lang_pred, score, runner_up, ambiguous) of every whole text; texts are read but not given back.
 
     `und` with score 0 where the text is null or has no letter, or the model no languages. ambiguous: the nearest codeword is
     not near enough, or not nearer enough than the next. Ties go to the first language by name.
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_
         for batch in batches:
             best, second = np.full(batch.num_rows, n), np.full(batch.num_rows, n + 1)
             score, lead = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for start, texts in text_batches(batch, read) if n else ():
+            for start, texts in text_batches(batch, "__text") if n else ():
                 found = [(i, c) for i, t in enumerate(texts, start) if (c := ngram_counts(t)) is not None]
                 for j in range(0, len(found), 256):
                     at = np.array([i for i, _ in found[j : j + 256]])
@@ -184,17 +184,23 @@ def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(columns, names=[*own, *new])
 
     new = ["lang_pred", "score", "runner_up", "ambiguous"]
-    picked = docs.drop(*new) if whole_rows else docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    own = picked.columns if whole_rows else ["doc_id"]
-    read = text_column if whole_rows else "text"
+    own = ["doc_id", *keep]
+    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), *keep, F.col(text_column).cast("string").alias("__text"))
     return picked.mapInArrow(run, ", ".join([*[f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in own], "lang_pred string, score double, runner_up string, ambiguous boolean"]))
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The stage: rows whose language is undetermined or ambiguous go; lang becomes the predicted one where it was null. Each row is judged by its own text, and none is shuffled."""
-    kept = identify(docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns]), train(docs), "c_doc_id", "c_text", whole_rows=True)
-    kept = kept.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).withColumn("c_lang", F.coalesce("c_lang", "lang_pred"))
-    return kept.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+    """The stage: rows whose language is undetermined or ambiguous go; lang becomes the predicted one where it was null.
+
+    Each row is judged by its own text. Only rows that go or lack a language are noted, by id and the text's hash, and written, so
+    that the join is broadcast where their size allows it and the texts stay where they are.
+    """
+    copy = F.xxhash64(F.col("text").cast("string"))
+    judged = identify(docs.select("doc_id", "text", copy.alias("__copy"), F.col("lang").isNull().alias("__bare")), train(docs), keep=("__copy", "__bare"))
+    goes = (F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous")
+    noted = judged.where(goes | F.col("__bare")).groupBy(F.col("doc_id").alias("__id"), "__copy").agg(F.bool_or(goes).alias("__goes"), F.min("lang_pred").alias("__lang"))
+    kept = docs.join(stored(noted, "languages"), F.col("doc_id").eqNullSafe(F.col("__id")) & (copy == F.col("__copy")), "left").where("__goes is null or not __goes")
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
