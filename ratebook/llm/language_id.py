@@ -50,7 +50,7 @@ def ngram_counts(text: str) -> np.ndarray | None:
         grams = np.concatenate((two, three ^ np.uint32(0x165667B1)))
         grams ^= grams >> np.uint32(15)
         grams *= np.uint32(0x2C1B3C6D)
-    return np.minimum(np.bincount(grams >> np.uint32(32 - BUCKETS.bit_length() + 1), minlength=BUCKETS), 65_535)
+    return np.minimum(np.bincount(grams >> np.uint32(32 - BUCKETS.bit_length() + 1), minlength=BUCKETS), 65_535).astype(np.uint16)
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     found = ngram_counts(part)
                     if found is not None:
                         langs.append(lang)
-                        vectors.append(found.astype(np.uint16).tobytes())
+                        vectors.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(vectors, pa.binary())], names=["lang", "counts"])
 
     table = picked.where(chosen).mapInArrow(run, "lang string, counts binary").toArrow()
@@ -168,10 +168,12 @@ def identify(docs: DataFrame, model: EcocModel, id_column: str = "doc_id", text_
             best, second = np.full(batch.num_rows, n), np.full(batch.num_rows, n + 1)
             score, lead = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for start, texts in text_batches(batch, "__text") if n else ():
-                found = [(i, c) for i, t in enumerate(texts, start) if (c := ngram_counts(t)) is not None]
-                for j in range(0, len(found), 256):
-                    at = np.array([i for i, _ in found[j : j + 256]])
-                    p = m.probabilities(np.stack([c for _, c in found[j : j + 256]]))
+                for j in range(0, len(texts), 256):
+                    found = [(i, c) for i, t in enumerate(texts[j : j + 256], start + j) if (c := ngram_counts(t)) is not None]
+                    if not found:
+                        continue
+                    at = np.array([i for i, _ in found])
+                    p = m.probabilities(np.stack([c for _, c in found]))
                     order = np.argsort(-p, axis=1, kind="stable")
                     best[at] = order[:, 0]
                     score[at] = np.take_along_axis(p, order[:, :1], 1)[:, 0]
