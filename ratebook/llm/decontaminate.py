@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_has, hashed_bitmap, read_table, stored
 
-__all__ = ["contaminated_pairs", "drop_contaminated", "greedy_tiles", "op7_benchmark_decontamination", "tile_pairs"]
+__all__ = ["contaminated_pairs", "drop_contaminated", "greedy_tiles", "greedy_tiles_by_rows", "op7_benchmark_decontamination", "tile_pairs"]
 
 #: Words of the shortest tile; items of fewer words are one tile.
 MIN_TILE = 5
 #: Share of an item's words that tiles must cover; passages in another order lose the pieces that are shorter than a tile.
 MIN_COVERAGE = 0.6
 
+#: Shared places of a pair that are laid out at once; beyond it they are walked by rows of the item, with the same tiles.
+PLACES_AT_ONCE = 1 << 20
+
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SAME = bytes(range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -130,39 +133,82 @@ def greedy_tiles(ipos: np.ndarray, pos: np.ndarray, k: int) -> list[tuple[int, i
     return tiles
 
 
+def greedy_tiles_by_rows(places: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
+    """The tiles of greedy_tiles where shared seeds repeat so often that their pairs of places would not fit memory.
+
+    places holds, for each shared seed, its places in the item and in the document, both ascending. The longest match that
+    is free is sought anew for each tile, over the item's places from the last to the first: a row holds the lengths of the
+    runs that start at one item place, one for each place in the document, and is made from the row after it.
+    """
+    at_of = {int(i): at.astype(np.int64) for items, at in places for i in items}
+    rows = sorted(at_of, reverse=True)
+    n_item, n_doc = rows[0] + k, int(max(at[-1] for at in at_of.values())) + k
+    item_marks, doc_marks, tiles = np.zeros(n_item, dtype=bool), np.zeros(n_doc, dtype=bool), []
+    while True:
+        marked = np.concatenate(([0], np.cumsum(doc_marks)))
+        best, after, above, lengths = (0, 0, 0), -1, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        for i in rows:
+            if item_marks[i : i + k].any():
+                continue
+            at = at_of[i]
+            at = at[marked[at + k] == marked[at]]
+            runs = np.ones(at.size, dtype=np.int64)
+            if after == i + 1 and above.size:
+                near = np.minimum(np.searchsorted(above, at + 1), above.size - 1)
+                runs += np.where(above[near] == at + 1, lengths[near], 0)
+            after, above, lengths = i, at, runs
+            if at.size and runs.max() >= best[0]:
+                first = int(runs.argmax())
+                best = (int(runs[first]), i, int(at[first]))
+        if not best[0]:
+            return tiles
+        size, a, b = best[0] + k - 1, best[1], best[2]
+        item_marks[a : a + size] = True
+        doc_marks[b : b + size] = True
+        tiles.append((a, b, size))
+
+
 def tile_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", min_tile: int = MIN_TILE, by_copy: bool = False) -> DataFrame:
     """(doc_id, item_id, n_words, covered, n_tiles, longest, coverage, reordered) for documents and items that share a seed.
 
     Words are lower-cased and lose ASCII punctuation. Only seeds that pass a bitmap of fixed size leave the pass over the
-    documents; they are joined to the items' seeds by hash, and each pair's matches are tiled. reordered says that the tiles
+    documents; they are joined to the items' seeds by hash, and each pair's matches are tiled. A pair's group holds each shared
+    seed once with its places in the item and in the document, not their products, so it grows as the two texts. reordered says that the tiles
     stand in another order in the document. Null or empty texts and items share nothing. Of rows that repeat an id with
     different texts, the one that covers most counts; by_copy keeps them apart by copy, the hash of the text.
     """
     spark = docs.sparkSession
     picked = items.select(F.col(item_column).cast("long").alias("item"), F.col(item_text_column).cast("string").alias("text"))
-    seeds = stored(_item_seeds(picked, min_tile), "item-seeds")
+    grouped = _item_seeds(picked, min_tile).groupBy("seed", "item", "n_words", "k").agg(F.sort_array(F.collect_set("ipos")).alias("ipos"))
+    seeds = stored(grouped, "item-seeds")
     lengths = sorted(r[0] for r in seeds.select("k").distinct().collect())  # min_tile values at most
     text = F.col(text_column).cast("string")
     source = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"))
     bitmap = spark.sparkContext.broadcast(hashed_bitmap(seeds.select("seed").distinct(), "seed"))
     met = _document_seeds(source, lengths or [min_tile], bitmap).join(seeds, "seed")
-    place = F.collect_list(F.struct("ipos", "pos"))
-    pairs = met.groupBy("doc", "copy", "item", "n_words", "k").agg(place.alias("places"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
+    keys = ["doc", "copy", "item", "n_words", "k"]
+    # dealt by pair once, which serves both groupings
+    at = met.repartition("doc", "copy", "item").groupBy(*keys, "seed").agg(F.first("ipos").alias("ipos"), F.sort_array(F.collect_set("pos")).alias("pos"))
+    pairs = at.groupBy(*keys).agg(F.collect_list(F.struct("ipos", "pos")).alias("places"))
+
+    def tiles_of(places: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
+        if sum(i.size * p.size for i, p in places) > PLACES_AT_ONCE:
+            return greedy_tiles_by_rows(places, k)
+        return greedy_tiles(np.concatenate([np.repeat(i, p.size) for i, p in places]), np.concatenate([np.tile(p, i.size) for i, p in places]), k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, copy, item, n, k, places in zip(*(batch.column(c) for c in ("doc", "copy", "item", "n_words", "k", "places")), strict=True):
-                flat = places.values.flatten()
-                both = np.unique(np.stack([flat[0].to_numpy(), flat[1].to_numpy()], axis=1), axis=0)
-                tiles = sorted(greedy_tiles(both[:, 0], both[:, 1], k.as_py()))
+                shared = [(s["ipos"].values.to_numpy(), s["pos"].values.to_numpy()) for s in places]
+                tiles = sorted(tiles_of(shared, k.as_py()))
                 covered = sum(t[2] for t in tiles)
                 reordered = any(b[1] < a[1] for a, b in zip(tiles, tiles[1:], strict=False))
                 rows.append((doc.as_py(), copy.as_py(), item.as_py(), n.as_py(), covered, len(tiles), max(t[2] for t in tiles), reordered))
             kinds = [("doc_id", pa.int64()), ("copy", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("covered", pa.int32()), ("n_tiles", pa.int32()), ("longest", pa.int32()), ("reordered", pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    tiled = pairs.select("doc", "copy", "item", "n_words", "k", "places").mapInArrow(run, "doc_id long, copy long, item_id long, n_words int, covered int, n_tiles int, longest int, reordered boolean")
+    tiled = pairs.mapInArrow(run, "doc_id long, copy long, item_id long, n_words int, covered int, n_tiles int, longest int, reordered boolean")
     keys = ["doc_id", *(["copy"] if by_copy else []), "item_id", "n_words"]
     best = tiled.groupBy(*keys).agg(F.max(F.struct("covered", "longest", "n_tiles", "reordered")).alias("t")).select(*keys, "t.*")
     return best.withColumn("coverage", F.col("covered") / F.col("n_words"))

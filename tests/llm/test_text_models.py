@@ -101,6 +101,13 @@ def test_tiles_match_brute_force():
         at = [(i, d) for i in range(len(item) - k + 1) for d in range(len(doc) - k + 1) if item[i : i + k] == doc[d : d + k]]
         got = decontaminate.greedy_tiles(np.array([i for i, _ in at], dtype=np.int64), np.array([d for _, d in at], dtype=np.int64), k)
         assert sorted(got) == sorted(brute_tiles(item, doc, k))
+        by_seed = {}
+        for i, d in at:
+            by_seed.setdefault(tuple(item[i : i + k]), (set(), set()))
+            by_seed[tuple(item[i : i + k])][0].add(i)
+            by_seed[tuple(item[i : i + k])][1].add(d)
+        places = [(np.array(sorted(i)), np.array(sorted(d))) for i, d in by_seed.values()]
+        assert sorted(decontaminate.greedy_tiles_by_rows(places, k) if places else []) == sorted(got)
 
 
 def test_contamination(spark):
@@ -172,3 +179,11 @@ def test_convolution_by_plain_loops():
                 h.append(max(0.0, max(values) + float(model.bias[len(h)])))
         z = sum(a * float(b) for a, b in zip(h, model.out, strict=True)) + model.out_bias
         assert abs(p - 1 / (1 + np.exp(-z))) < 1e-3
+
+
+def test_periodic_texts_are_walked_by_rows(spark):
+    """2,000 x 300 repeats of each word make 1.2 million pairs of places; the group holds each place once."""
+    docs = spark.createDataFrame([(1, "tick tock " * 2000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "tick tock " * 300)], "item_id long, text string")
+    got = decontaminate.tile_pairs(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.covered, r.n_tiles) for r in got] == [(1, 7, 600, 1)]
