@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP5_SQL, op5_chat
 from .decontaminate import op7_benchmark_decontamination
 from .language_id import op1_language_id
+from .licenses import OP12_SQL, op12_licenses
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op8_media
 from .sentence_pieces import op4_sentence_pieces
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op12_licenses": op12_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op5_chat": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_licenses": OP12_SQL,
 }
