@@ -12,6 +12,7 @@ from .language_id import op1_language_id
 from .licenses import OP12_SQL, op12_licenses
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op8_media
+from .repair import OP13_SQL, op13_conversation_repair
 from .sentence_pieces import op4_sentence_pieces
 from .simhash import op9_simhash_near_dedup
 from .token_files import op2_token_files
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op12_licenses": op12_licenses,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op5_chat": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
     "op12_licenses": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
