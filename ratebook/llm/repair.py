@@ -218,18 +218,18 @@ def damaged(turns: DataFrame) -> DataFrame:
 
 
 def faults(rows: DataFrame) -> DataFrame:
-    """rows (conv_id, turn, role, text, gone), with each row's first fault and whether it may not follow the row before it, dealt by conversation and in order: marks first, then by turn (nulls first), role and text."""
+    """rows (conv_id, turn, role, text, gone), with each row's first fault and whether it may not follow the row before it, dealt by conversation and in order: marks first, then by turn (nulls first), role and text; of equal rows the one that isn't a duplicate comes first."""
     blank = F.lit(" ")
     rows = rows.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), "gone")
-    order = [F.col("gone").desc(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    order = [F.col("gone").desc(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("again")]
     dealt = rows.repartition("conv_id")
     again = F.row_number().over(Window.partitionBy("conv_id", "gone", "role", "text").orderBy(F.col("turn").asc_nulls_first())) > 1
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     fault = F.when(~F.rlike("text", F.lit(_SEEN)), "blank").when(F.col("again"), "duplicate").when(~F.contains(F.lit(_ENDS), last), "truncated")
     initial = F.when(~F.col("gone"), F.substring("role", 1, 1))
     pair = F.concat(F.lag(initial).over(Window.partitionBy("conv_id").orderBy(*order)), initial)
-    told = dealt.withColumn("again", again).select("conv_id", "turn", "role", "text", "gone", F.when(~F.col("gone"), fault).alias("fault"), F.coalesce(~pair.isin("su", "ua", "au"), F.lit(False)).alias("illegal"))
-    return told.sortWithinPartitions("conv_id", *order)
+    told = dealt.withColumn("again", again).select("conv_id", "turn", "role", "text", "gone", "again", F.when(~F.col("gone"), fault).alias("fault"), F.coalesce(~pair.isin("su", "ua", "au"), F.lit(False)).alias("illegal"))
+    return told.sortWithinPartitions("conv_id", *order).drop("again")
 
 
 _COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
@@ -298,12 +298,12 @@ WITH RECURSIVE crc AS (
   SELECT k.*, xor(list_reduce(list_concat([4294967295], list_transform(range(length(key)), lambda i: ascii(substr(key, i + 1, 1))::bigint)), lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS k
   FROM keyed k, crc
 ), rows AS (
-  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(t, '.!?', '') ELSE t END AS text
-  FROM coded, unnest(CASE WHEN k = 3 THEN [0, 1] WHEN k = 0 THEN [] ELSE [0] END) AS c(copy)
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM (
+    SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(t, '.!?', '') ELSE t END AS text
+    FROM coded, unnest(CASE WHEN k = 3 THEN [0, 1] WHEN k = 0 THEN [] ELSE [0] END) AS c(copy))
 ), told AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) || role[1] AS pair,
-         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'duplicate'
+  SELECT *, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
               WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
   FROM rows
 ), counts AS (
