@@ -18,6 +18,7 @@ from .simhash import op9_simhash_near_dedup
 from .token_files import op2_token_files
 from .toxicity import op6_toxicity
 from .warc import OP3_SQL, op3_warc
+from .whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
     "op12_licenses": op12_licenses,
     "op13_conversation_repair": op13_conversation_repair,
 }
