@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numbers import extract_numbers, parse_number
 from ..functions.schemas import BASES, RATE
+from .quotes import retarget_citations
 
 __all__ = [
-    "accuracy", "case_results", "evidence", "forms_agree", "grounding_issues", "match_items", "recall", "repair_citations", "resolve_refs", "retarget_citations", "retargeted_rules", "rule_numbers", "rule_problems", "table_reread_ok",
+    "accuracy", "case_results", "evidence", "forms_agree", "grounding_issues", "match_items", "recall", "resolve_refs", "retargeted_rules", "rule_numbers", "rule_problems", "table_reread_ok",
 ]
 
 
@@ -113,32 +114,6 @@ def grounding_issues(rules: DataFrame, chunks: DataFrame) -> DataFrame:
     return missing.unionByName(quotes).unionByName(numbers)
 
 
-def retarget_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(rule_id, pos, chunk_id): for each citation (rule_id, pos, document_id, ordinal, section_ref, quote) the chunk of its document that holds the quote.
-
-    The one at the same ordinal first, then those of the cited section, then by ordinal; chunk_id is null where none does. The
-    cited place is tried by an equi-join first, so only misses look through their documents.
-    """
-    same = citations.join(chunks.select("document_id", "ordinal", "chunk_id", "content"), ["document_id", "ordinal"], "left").withColumn("ok", F.coalesce(T.quote_in(F.col("quote"), F.col("content")), F.lit(False)))
-    hit = same.where("ok").select("rule_id", "pos", "chunk_id")
-    lost = same.where("not ok").select("rule_id", "pos", "document_id", F.col("section_ref").alias("cited_ref"), "quote").distinct()
-    found = lost.join(chunks.select("document_id", F.col("ordinal").alias("o"), "chunk_id", "section_ref", "content"), "document_id").where(T.quote_in(F.col("quote"), F.col("content")))
-    best = found.groupBy("rule_id", "pos").agg(F.min(F.struct((F.col("section_ref") != F.col("cited_ref")).alias("other"), "o", "chunk_id")).alias("b")).select("rule_id", "pos", "b.chunk_id")
-    return hit.unionByName(lost.select("rule_id", "pos").join(best, ["rule_id", "pos"], "left"))
-
-
-def repair_citations(citations: DataFrame, evidence_chunks: DataFrame) -> DataFrame:
-    """(rule_id, pos, chunk_id, repaired): a citation stays if its chunk holds the quote, else goes to the first evidence chunk that does, else stays.
-
-    evidence_chunks has rule_id, chunk_id and content, the evidence of each rule.
-    """
-    met = citations.select("rule_id", "pos", F.col("chunk_id").alias("cited"), "quote").join(evidence_chunks, "rule_id", "left")
-    holds = F.coalesce(T.quote_in(F.col("quote"), F.col("content")), F.lit(False))
-    out = met.groupBy("rule_id", "pos", "cited").agg(F.bool_or(holds & F.col("chunk_id").eqNullSafe(F.col("cited"))).alias("kept"), F.min(F.when(holds, F.col("chunk_id"))).alias("other"))
-    moved = ~F.col("kept") & F.col("other").isNotNull()
-    return out.select("rule_id", "pos", F.when(moved, F.col("other")).otherwise(F.col("cited")).alias("chunk_id"), moved.alias("repaired"))
-
-
 def resolve_refs(entries: DataFrame, refs: DataFrame) -> DataFrame:
     """(entry_id, pos, asked, ref): each asked section ref's longest dotted prefix that exists; null where none does."""
     asked = entries.select("entry_id", F.posexplode("refs").alias("pos", "asked")).withColumn("clean", F.regexp_replace(F.trim("asked"), "\\.+$", ""))

@@ -9,7 +9,9 @@ from ..functions import text as T
 from ..functions.schemas import RATE
 from ..operators import corpus as K
 from ..operators import quality as Q
+from ..operators import quotes as QU
 from ..operators import search as S
+from ..operators.shared import held
 from .standins import RULES, rule_frame, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -90,7 +92,7 @@ def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-5, W-10, W-11, W-12: the section tree of each document, whose lines get headings from their places; tested on fixtures."""
     heading = F.when(F.col("line_no") % 7 == 1, F.concat(((F.col("page") % 9) + 1).cast("string"), F.lit("."), F.col("line_no").cast("string"), F.lit(" "), F.substring("text", 1, 40))).otherwise(F.col("text"))
     own = document_lines(spark, sf_dir).withColumns({"text": heading, "bold": F.col("line_no") % 7 == 1, "size": F.when(F.col("line_no") % 7 == 1, 12.0).otherwise(10.0)})
-    sections = K.held(K.section_tree(own))
+    sections = held(K.section_tree(own))
     return sections.join(K.breadcrumbs(sections), ["document_id", "ordinal"]).select("document_id", "ordinal", "ref", "level", "parent_ordinal", "kind", "path")
 
 
@@ -267,17 +269,17 @@ def citation_retarget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-10, T-1: the chunk of the cited document that holds the quote."""
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("section_ref"), F.col("text").alias("content"))
     cited = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule_id"), F.lit(0).alias("pos"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("document_id"), F.lit(-1).cast("long").alias("ordinal"), F.lit("none").alias("section_ref"), F.col("text").alias("quote"))
-    return Q.retarget_citations(cited, chunks).select("rule_id", "chunk_id")
+    return QU.retarget_citations(cited, chunks).select("rule_id", "chunk_id")
 
 
 @query(f"""WITH e AS (SELECT item_id, doc_id, text FROM benchmark JOIN (SELECT doc_id, source, text AS body FROM documents) ON source = 'src' || item_id % 20), h AS (SELECT item_id, min(d.doc_id) AS found FROM benchmark b JOIN documents d ON d.source = 'src' || b.item_id % 20 WHERE contains({NORMAL_SQL.format('d.text')}, {NORMAL_SQL.format('b.text')}) GROUP BY 1)
 SELECT item_id AS rule_id, CASE WHEN found IS NOT NULL AND found <> item_id THEN found ELSE item_id END AS chunk_id, coalesce(found <> item_id, false) AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = b.item_id AND d.source = 'src' || b.item_id % 20 AND contains({NORMAL_SQL.format('d.text')}, {NORMAL_SQL.format('b.text')})) AS repaired FROM benchmark b LEFT JOIN h USING (item_id)""")
 def citation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-11: a citation moves to the first evidence chunk that holds its quote."""
-    cited = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule_id"), F.lit(0).alias("pos"), F.col("item_id").alias("chunk_id"), F.col("text").alias("quote"))
-    sources = cited.select("rule_id", F.concat(F.lit("src"), (F.col("rule_id") % 20).cast("string")).alias("source"))
-    held = sources.join(table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "source").drop("source")
-    return Q.repair_citations(cited, held).select("rule_id", "chunk_id", "repaired")
+    source = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    cited = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule_id"), F.lit(0).alias("pos"), source.alias("document_id"), F.col("item_id").alias("chunk_id"), F.col("text").alias("quote"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return QU.repair_citations(cited, chunks).select("rule_id", "chunk_id", "repaired")
 
 
 @query("""WITH r AS (SELECT DISTINCT p_size || '.' || p_partkey % 3 AS ref FROM part UNION SELECT DISTINCT CAST(p_size AS VARCHAR) FROM part WHERE p_size % 2 = 0), a AS (SELECT p_partkey AS entry_id, CAST(p_size AS VARCHAR) AS top, p_size || '.' || p_partkey % 6 AS two FROM part)

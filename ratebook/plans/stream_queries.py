@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rulebook as RB
+from ..operators.shared import scratch as _scratch
 from ..streaming import streams as ST
 from .standins import rule_frame, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is set and all run in one JVM."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="ratebook-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-1, IO-8: events as calls that arrive, priced against the rulebook by the batch function."""
     schema = table(spark, sf_dir, "events").schema
