@@ -110,7 +110,7 @@ def _fit(x: np.ndarray, bits: np.ndarray, weight: np.ndarray, rounds: int = 150)
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", max_docs: int = MAX_TRAIN_DOCS, seed: int = 7) -> EcocModel:
     """A model from the documents that aren't held out and have a lang: from about max_docs of them, chosen by a hash of the id.
 
-    Each gives two examples, its whole text and a few words of it, so that short texts are learned too. Without labelled
+    Of rows that repeat an id with one lang only the text with the least hash is taken, so no id brings more than that into the sample. Each gives two examples, its whole text and a few words of it, so that short texts are learned too. Without labelled
     documents the model has no languages.
     """
     picked = docs.where(F.col(lang_column).isNotNull() & ~fold_held_out(F.col(id_column)))
@@ -138,7 +138,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                         vectors.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(vectors, pa.binary())], names=["lang", "counts"])
 
-    table = picked.where(chosen).mapInArrow(run, "lang string, counts binary").toArrow()
+    once = picked.where(chosen).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    table = once.mapInArrow(run, "lang string, counts binary").toArrow()
     code = codewords(len(languages))
     if not table.num_rows or not code.shape[1]:
         return EcocModel(languages, code[:, :0], np.ones((len(languages), 0)), np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0, dtype=np.float32))
