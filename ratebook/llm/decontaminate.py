@@ -52,21 +52,21 @@ def _rolling(codes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _item_seeds(items: DataFrame, min_tile: int) -> DataFrame:
-    """(item, n_words, k, ipos, seed) for every seed of every test item."""
+    """(item, icopy, n_words, k, ipos, seed) for every seed of every test item; icopy tells texts of one item apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for item, icopy, text in zip(*(batch.column(c).to_pylist() for c in ("item", "icopy", "text")), strict=True):
                 codes = _codes(_words(text))
                 k = min(min_tile, codes.size)
                 if not k:
                     continue
                 seeds = _rolling(codes, k).view(np.int64)
                 n = seeds.size
-                columns = [pa.array([item] * n, pa.int64()), pa.array(np.full(n, codes.size, dtype=np.int32)), pa.array(np.full(n, k, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(seeds)]
-                yield pa.RecordBatch.from_arrays(columns, names=["item", "n_words", "k", "ipos", "seed"])
+                columns = [pa.array([item] * n, pa.int64()), pa.array(np.full(n, icopy, dtype=np.int64)), pa.array(np.full(n, codes.size, dtype=np.int32)), pa.array(np.full(n, k, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(seeds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "icopy", "n_words", "k", "ipos", "seed"])
 
-    return items.mapInArrow(run, "item long, n_words int, k int, ipos int, seed long")
+    return items.mapInArrow(run, "item long, icopy long, n_words int, k int, ipos int, seed long")
 
 
 def _document_seeds(docs: DataFrame, lengths: list[int], bitmap) -> DataFrame:
@@ -175,20 +175,22 @@ def tile_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
     documents; they are joined to the items' seeds by hash, and each pair's matches are tiled. A pair's group holds each shared
     seed once with its places in the item and in the document, not their products, so it grows as the two texts. reordered says that the tiles
     stand in another order in the document. Null or empty texts and items share nothing. Of rows that repeat an id with
-    different texts, the one that covers most counts; by_copy keeps them apart by copy, the hash of the text.
+    different texts, and of texts of one item id, the pair with the highest coverage counts; by_copy keeps the documents' apart by copy,
+    the hash of the text. Texts of an item are tiled each for itself.
     """
     spark = docs.sparkSession
-    picked = items.select(F.col(item_column).cast("long").alias("item"), F.col(item_text_column).cast("string").alias("text"))
-    grouped = _item_seeds(picked, min_tile).groupBy("seed", "item", "n_words", "k").agg(F.sort_array(F.collect_set("ipos")).alias("ipos"))
+    said = F.col(item_text_column).cast("string")
+    picked = items.select(F.col(item_column).cast("long").alias("item"), F.xxhash64(said).alias("icopy"), said.alias("text"))
+    grouped = _item_seeds(picked, min_tile).groupBy("seed", "item", "icopy", "n_words", "k").agg(F.sort_array(F.collect_set("ipos")).alias("ipos"))
     seeds = stored(grouped, "item-seeds")
     lengths = sorted(r[0] for r in seeds.select("k").distinct().collect())  # min_tile values at most
     text = F.col(text_column).cast("string")
     source = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"))
     bitmap = spark.sparkContext.broadcast(hashed_bitmap(seeds.select("seed").distinct(), "seed"))
     met = _document_seeds(source, lengths or [min_tile], bitmap).join(seeds, "seed")
-    keys = ["doc", "copy", "item", "n_words", "k"]
+    keys = ["doc", "copy", "item", "icopy", "n_words", "k"]
     # dealt by pair once, which serves both groupings
-    at = met.repartition("doc", "copy", "item").groupBy(*keys, "seed").agg(F.first("ipos").alias("ipos"), F.sort_array(F.collect_set("pos")).alias("pos"))
+    at = met.repartition("doc", "copy", "item", "icopy").groupBy(*keys, "seed").agg(F.first("ipos").alias("ipos"), F.sort_array(F.collect_set("pos")).alias("pos"))
     pairs = at.groupBy(*keys).agg(F.collect_list(F.struct("ipos", "pos")).alias("places"))
 
     def tiles_of(places: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
@@ -209,9 +211,9 @@ def tile_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     tiled = pairs.mapInArrow(run, "doc_id long, copy long, item_id long, n_words int, covered int, n_tiles int, longest int, reordered boolean")
-    keys = ["doc_id", *(["copy"] if by_copy else []), "item_id", "n_words"]
-    best = tiled.groupBy(*keys).agg(F.max(F.struct("covered", "longest", "n_tiles", "reordered")).alias("t")).select(*keys, "t.*")
-    return best.withColumn("coverage", F.col("covered") / F.col("n_words"))
+    keys = ["doc_id", *(["copy"] if by_copy else []), "item_id"]
+    share = (F.col("covered") / F.col("n_words")).alias("coverage")
+    return tiled.groupBy(*keys).agg(F.max(F.struct(share, "n_words", "covered", "longest", "n_tiles", "reordered")).alias("t")).select(*keys, "t.n_words", "t.covered", "t.n_tiles", "t.longest", "t.reordered", "t.coverage")
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, min_tile: int = MIN_TILE, by_copy: bool = False) -> DataFrame:

@@ -54,3 +54,36 @@ def test_stages_judge_each_row_by_itself(spark):
     docs = spark.createDataFrame([(1, "clean text of other words altogether, and no more"), (1, "before it " + item + " after it"), (2, None), (None, item)], DOCS)
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert sorted(decontaminate.drop_contaminated(docs, items).collect(), key=str) == sorted(docs.where("doc_id = 2 or text like 'clean%'").collect(), key=str)
+
+
+def test_texts_of_one_item(spark):
+    from ratebook.llm import decontaminate
+
+    a, b = ("one two three four five six seven eight nine ten", "red green blue black white pink grey brown gold lime")
+    items = spark.createDataFrame([(7, a), (7, b), (8, "only five words of it"), (8, "only five words of it and then another six of them")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(a.split()[:5] + ["x"] + b.split()[:5])), (2, "before " + b + " after"), (3, "here only five words of it and no more")], DOCS)
+    got = {(r.doc_id, r.item_id): (r.n_words, r.covered, round(r.coverage, 6)) for r in decontaminate.tile_pairs(docs, items).collect()}
+    assert got == {(1, 7): (10, 5, 0.5), (2, 7): (10, 10, 1.0), (3, 8): (5, 5, 1.0)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, items).collect()} == {(2, 7), (3, 8)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [1]
+
+
+def test_samples_stay_bounded_with_a_hot_id(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ratebook.llm import language_id, toxicity
+
+    n = 30_000
+    word = F.when(F.col("i") % 2 == 0, "the house of ").otherwise("das haus und ")
+    hot = spark.range(2 * n).withColumnRenamed("id", "i").select(F.when(F.col("i") < n, 3).otherwise(F.col("i")).alias("doc_id"), F.concat(word, F.col("i").cast("string"), F.lit(" shown here")).alias("text"), F.when(F.col("i") % 2 == 0, "en").otherwise("de").alias("lang"), F.lit(0.5).alias("score"), F.lit("xx").alias("lang_pred"))
+    seen = {}
+    fit, learn = language_id._fit, toxicity._learn
+    monkeypatch.setattr(language_id, "_fit", lambda x, *a: seen.setdefault("rows", len(x)) and fit(x[:, :], *a))
+    monkeypatch.setattr(toxicity, "_learn", lambda model, docs, *a: seen.setdefault("learned", len(docs)))
+    model = language_id.train(hot)
+    assert model.languages == ["de", "en"] and seen["rows"] <= 2 * language_id.MAX_TRAIN_DOCS * 1.2
+    labels = spark.range(n, 2 * n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).union(spark.createDataFrame([(3, 1), (3, 0)], "doc_id long, toxic int"))
+    trained = toxicity.train(hot, labels)
+    assert trained is not None and 100 < seen["learned"] <= (toxicity.MAX_POSITIVE + toxicity.MAX_NEGATIVE) * 1.2
+    scored = toxicity.score(hot.limit(20), trained).collect()  # columns of the same names as the result's are not in the way
+    assert len(scored) == 20 and all(0 <= r.score <= 1 for r in scored)
