@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["batch_rules", "fact_uses", "resolve_facts", "with_facts"]
+__all__ = ["batch_rules", "fact_uses", "resolve_facts", "rule_conditions", "rule_units", "units_of", "with_facts"]
 
 BATCH = 40
 
@@ -73,3 +73,24 @@ def rule_conditions(rules: DataFrame) -> DataFrame:
         F.flatten(F.transform(r["adjustments"], lambda a: tagged(F.concat(F.lit("adjustment "), a["id"]), a["when"]))),
     )
     return rules.select("charge_id", F.explode(parts).alias("c")).select("charge_id", "c.*")
+
+
+def units_of(rule: Column) -> Column:
+    """array<struct<place, units>> of every unit count of a rule: the multiplier's, those of per-unit components and their time, and of bands' increments."""
+
+    def at(place: Column, units: Column) -> Column:
+        return F.struct(place.alias("place"), units.alias("units"))
+
+    def of_component(c: Column) -> Column:
+        name = F.concat(F.lit("component "), c["id"])
+        bands = F.transform(F.coalesce(c["bands"], F.array()), lambda b: at(F.concat(name, F.lit(" increment")), b["inc_units"]))
+        own = F.array(at(F.concat(name, F.lit(" units")), c["units"]), at(F.concat(name, F.lit(" time")), c["per_time"]))
+        return F.when(c["kind"] == "banded", bands).when(c["kind"] == "per_unit", own).otherwise(F.slice(own, 1, 0))
+
+    found = F.concat(F.array(at(F.lit("multiplier"), rule["multiplier"])), F.flatten(F.transform(F.coalesce(rule["components"], F.array()), of_component)))
+    return F.filter(found, lambda u: u["units"].isNotNull())
+
+
+def rule_units(rules: DataFrame) -> DataFrame:
+    """(charge_id, place, basis, unit_size, rounding, above, less) of every unit count of a rule; rules without any have no rows."""
+    return rules.select("charge_id", F.explode(units_of(F.col("rule"))).alias("u")).select("charge_id", "u.place", "u.units.basis", "u.units.unit_size", "u.units.rounding", "u.units.above", "u.units.less")

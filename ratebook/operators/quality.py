@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numbers import extract_numbers, parse_number
 from ..functions.schemas import BASES, RATE
+from .facts import units_of
 from .quotes import retarget_citations
 
 __all__ = [
@@ -42,17 +43,19 @@ def rule_problems(rules: DataFrame) -> DataFrame:
             | F.exists(tiers, lambda t: F.coalesce(t["end"] <= t["start"], F.lit(False)))
         )
 
-    less = F.filter(F.concat(F.transform(comps, lambda c: c["units"]["less"]), F.array(r["multiplier"]["less"])), lambda s: s.isNotNull())
-    known = F.concat(facts, F.array(*[F.lit(b) for b in BASES]))
+    less = F.filter(F.transform(units_of(r), lambda u: u["units"]["less"]), lambda s: s.isNotNull())
+    bases = F.array(*[F.lit(b) for b in BASES])
+    numeric = F.concat(F.transform(F.filter(F.coalesce(r["facts"], F.array()), lambda f: f["type"] == "number"), lambda f: f["name"]), bases)
+    known = F.concat(facts, bases)
     checks = {
         "a priced rule needs a component": (F.coalesce(r["status"], F.lit("priced")) == "priced") & (F.size(comps) == 0),
         "maximum below minimum": r["maximum"] < r["minimum"],
         "component ids repeat": F.size(F.array_distinct(ids)) < F.size(ids),
         "fact names repeat": F.size(F.array_distinct(facts)) < F.size(facts),
-        "a fact is named like a quantity": F.size(F.array_intersect(facts, F.array(*[F.lit(b) for b in BASES]))) > 0,
+        "a fact is named like a quantity": F.size(F.array_intersect(facts, bases)) > 0,
         "an adjustment's target is unknown": F.exists(adjustments, lambda a: F.size(F.array_except(F.coalesce(a["applies_to"], F.array().cast("array<string>")), F.concat(ids, F.array(F.lit("all"))))) > 0),
         "a condition's subject is unknown": F.size(F.array_except(F.transform(everything, lambda c: c["fact"]), known)) > 0,
-        "a subtracted subject isn't a quantity": F.size(F.array_except(less, F.array(*[F.lit(b) for b in BASES]))) > 0,
+        "a subtracted subject is neither a quantity nor a number": F.size(F.array_except(less, numeric)) > 0,
         "bands don't ascend": F.exists(comps, lambda c: F.coalesce(descending(c["bands"]), F.lit(False))),
         "tiers don't ascend": F.exists(comps, lambda c: F.coalesce(bad_tiers(c["tiers"]), F.lit(False))),
         "only `in` takes several values": F.exists(everything, lambda c: (c["op"] != "in") & (F.size(c["value"]) != 1)),

@@ -114,10 +114,11 @@ def unique_ids(rows: DataFrame, by: str, order: str, id_column: str = "charge_id
     return folded.select(by, F.explode(F.arrays_zip("es", "ids")).alias("z")).select(by, F.col(f"z.es.{order}").alias(order), F.col(f"z.es.{id_column}").alias(id_column), F.col("z.ids").alias("unique_id"))
 
 
-def export_rulebooks(documents: DataFrame, catalogue: DataFrame, rules: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def export_rulebooks(documents: DataFrame, catalogue: DataFrame, rules: DataFrame, cited: DataFrame | None = None, schema_version: int = 1, prompt_version: str | None = None) -> DataFrame:
     """(document_id, rulebook): JSON of the profile, the catalogue by charge, the rules in use by (port, charge), and the ordinals of the chunks that they cite.
 
-    cited has document_id, chunk_id and ordinal of cited chunks; without it no ordinals are exported.
+    cited has document_id, chunk_id and ordinal of cited chunks; without it no ordinals are exported. prompt_version is the current one, for
+    entries that name none.
     """
     entries = catalogue.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("charge_id", "name", "section_refs", "payer", "trigger"))).alias("catalogue"))
     own = rules.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("port_key", "charge_id", "prompt_version", F.to_json("rule").alias("rule")))).alias("rules"))
@@ -127,7 +128,7 @@ def export_rulebooks(documents: DataFrame, catalogue: DataFrame, rules: DataFram
     if cited is not None:
         places = cited.distinct().groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("chunk_id").cast("string"), "ordinal")))).alias("ordinals"))
         joined, parts = joined.join(places, "document_id", "left"), [*parts, "ordinals"]
-    return joined.select("document_id", "checksum", F.to_json(F.struct(F.lit(1).alias("format"), *parts)).alias("rulebook"))
+    return joined.select("document_id", "checksum", F.to_json(F.struct(F.lit(1).alias("format"), F.lit(schema_version).alias("schema_version"), F.lit(prompt_version).alias("prompt_version"), *parts)).alias("rulebook"))
 
 
 def import_decisions(files: DataFrame, documents: DataFrame, with_rules: DataFrame, format_version: int, schema_version: int, prompt_version: str, reuse_older: bool) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -146,6 +146,38 @@ def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.rule_problems(part_rules(spark, sf_dir)).select("rule_id", F.array_join("problems", "; ").alias("problems"))
 
 
+def part_unit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule_id, charge_id, rule, plan): a rule for each part that counts units in four places, of which one deducts something, by p_partkey."""
+    key = F.col("p_partkey")
+    less = F.when(key % 6 == 0, "crew").when(key % 6 == 1, "net_tonnage").when(key % 6 == 2, "season").when(key % 6 == 3, "nothing")
+
+    def units(n: int, basis: str, size: Column, rounding: str, above: Column) -> Column:
+        deducted = F.when(less.isNotNull() & (key % 4 == n), F.concat(F.lit(',"less":"'), less, F.lit('"'))).otherwise("")
+        return F.concat(F.lit(f'{{"basis":"{basis}","unit_size":"'), size, F.lit(f'","rounding":"{rounding}","above":"'), above, F.lit('"'), deducted, F.lit("}"))
+
+    one, size, none = F.lit("1"), F.col("p_size").cast("string"), F.lit("0")
+    json = F.concat(
+        F.lit('{"status":"priced","exemptions":[],"citations":[],"notes":[],"applies_when":[],"adjustments":[],"facts":[{"name":"crew","type":"number"},{"name":"season","type":"text"}],"multiplier":'), units(0, "num_services", one, "pro_rata", none),
+        F.lit(',"components":[{"id":"work","label":"Work","kind":"per_unit","rate":"2","units":'), units(1, "gross_tonnage", size, "ceil", (F.col("p_size") % 3).cast("string")), F.lit(',"per_time":'), units(2, "time_in_port_hours", F.lit("24"), "floor", none),
+        F.lit('},{"id":"size","label":"Size","kind":"banded","basis":"loa_m","bands":[{"lower":"0","base_fee":"1","inc_rate":"2","inc_units":'), units(3, "loa_m", F.lit("10"), "ceil", none), F.lit("}]}]}"),
+    )
+    return prepared(table(spark, sf_dir, "part").select(key.alias("rule_id"), key.cast("string").alias("charge_id"), F.from_json(json, RULE).alias("rule")))
+
+
+@query("""SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 6 IN (2, 3) THEN 'a subtracted subject is neither a quantity nor a number' ELSE '' END AS problems FROM part""")
+def rule_deductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V-1: what units may deduct: quantities and facts that are numbers, wherever the units stand."""
+    return Q.rule_problems(part_unit_rules(spark, sf_dir)).select("rule_id", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, p_partkey % 4 AS spot, CASE p_partkey % 6 WHEN 0 THEN 'crew' WHEN 1 THEN 'net_tonnage' WHEN 2 THEN 'season' WHEN 3 THEN 'nothing' END AS less FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS charge_id, place, basis, CAST(coalesce(unit_size, p_size) AS DOUBLE) AS unit_size, rounding, CASE WHEN place = 'component work units' THEN p_size % 3 ELSE 0 END::double AS above, CASE WHEN n = spot THEN less END AS less
+FROM p, (VALUES ('multiplier', 'num_services', 1, 'pro_rata', 0), ('component work units', 'gross_tonnage', NULL, 'ceil', 1), ('component work time', 'time_in_port_hours', 24, 'floor', 2), ('component size increment', 'loa_m', 10, 'ceil', 3)) t(place, basis, unit_size, rounding, n)""")
+def rule_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V-4: every unit count of every rule, with what it deducts."""
+    return FA.rule_units(part_unit_rules(spark, sf_dir)).withColumns({"unit_size": F.col("unit_size").cast("double"), "above": F.coalesce("above", F.lit(0)).cast("double")})
+
+
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS charge_id, place, fact, op, CASE WHEN fact = 'gross_tonnage' THEN p_size || CASE WHEN p_partkey % 8 = 6 THEN ', 7' ELSE '' END ELSE v END AS value FROM part, (VALUES ('applies', 'gross_tonnage', 'eq', ''), ('applies', 'loa_m', 'lt', '9'), ('adjustment cut', 'loa_m', 'gt', '50')) t(place, fact, op, v)""")
 def rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V-4: every condition of every rule, alternatives opened."""

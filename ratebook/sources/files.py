@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.schemas import RULE
 from ..operators.rating import prepared
 
-__all__ = ["append_history", "find_rulebook", "read_binary_documents", "read_profiles", "read_rules", "write_report", "write_rulebooks", "write_rules"]
+__all__ = ["append_history", "find_rulebook", "read_binary_documents", "read_profiles", "read_rulebooks", "read_rules", "write_report", "write_rulebooks", "write_rules"]
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -42,11 +42,15 @@ def write_rulebooks(rulebooks: DataFrame, path: str) -> None:
     rulebooks.select("document_id", F.col("rulebook").alias("value")).write.mode("overwrite").partitionBy("document_id").text(path)
 
 
+def read_rulebooks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rulebook) of every file below path, each as one text."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("rulebook"))
+
+
 def find_rulebook(spark: SparkSession, path: str) -> DataFrame:
     """(checksum, file, rulebook) of the first file by name for each checksum; files that aren't JSON are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    read = files.withColumn("checksum", F.get_json_object("value", "$.checksum")).where("checksum is not null")
-    return read.groupBy("checksum").agg(F.min(F.struct("file", "value")).alias("f")).select("checksum", "f.file", F.col("f.value").alias("rulebook"))
+    read = read_rulebooks(spark, path).withColumn("checksum", F.get_json_object("rulebook", "$.checksum")).where("checksum is not null")
+    return read.groupBy("checksum").agg(F.min(F.struct("file", "rulebook")).alias("f")).select("checksum", "f.file", "f.rulebook")
 
 
 def append_history(items: DataFrame, path: str) -> None:
