@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packing import first_where, greedy_starts, let, slices
+
 __all__ = ["batch_rules", "fact_uses", "resolve_facts", "rule_conditions", "rule_units", "units_of", "with_facts"]
 
 BATCH = 40
@@ -39,18 +41,24 @@ def with_facts(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
 def batch_rules(rules: DataFrame, limit: int = BATCH) -> DataFrame:
     """(call_id, charge_id, batch): rules in order of pos, each whole; a batch is closed if the next rule's facts would exceed limit.
 
-    rules has call_id, charge_id, pos and n_facts. The order within a call decides, so it is folded by call.
+    rules has call_id, charge_id, pos and n_facts (null: none). Rules without facts close no batch. Sums up to each rule come from a window; where a batch
+    ends is searched in them, and batches are found by jump pointers.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "charge_id", "n_facts")))
-    start = F.struct(F.lit(1).alias("batch"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<charge_id:string,batch:int>>").alias("out"))
+    order = Window.partitionBy("call_id").orderBy("pos", "charge_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rules.select("call_id", "pos", "charge_id", F.sum(F.coalesce("n_facts", F.lit(0)).cast("long")).over(order).alias("total"))
+    grouped = summed.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("pos", "charge_id", "total"))).alias("rs"))
+
+    def batches(totals: Column) -> Column:
+        def total(i: Column) -> Column:
+            return F.when(i < 0, F.lit(0).cast("long")).otherwise(F.get(totals, i))
+
+        def follow(i: Column) -> Column:
+            return let(total(i - 1), lambda before: first_where(i + 1, F.size(totals), lambda j: (total(j - 1) > before) & (total(j) > before + limit)))
 
-    def step(acc, r):
-        full = (acc["size"] > 0) & (acc["size"] + r["n_facts"] > limit)
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, r["n_facts"].cast("long")).otherwise(acc["size"] + r["n_facts"]).alias("size"), F.concat(acc["out"], F.array(F.struct(r["charge_id"].alias("charge_id"), batch.alias("batch")))).alias("out"))
+        return greedy_starts(F.size(totals), follow)
 
-    folded = rules.groupBy("call_id").agg(ordered.alias("rs")).select("call_id", F.explode(F.aggregate("rs", start, step)["out"]).alias("o"))
-    return folded.select("call_id", "o.charge_id", "o.batch")
+    packed = grouped.select("call_id", F.posexplode(slices(F.col("rs"), let(F.col("rs.total"), batches))).alias("batch", "own"))
+    return packed.select("call_id", (F.col("batch") + 1).alias("batch"), F.explode("own.charge_id").alias("charge_id")).select("call_id", "charge_id", "batch")
 
 
 def fact_uses(rules: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -98,20 +101,34 @@ def numbered(rows: DataFrame, *order: str, name: str = "pos") -> DataFrame:
 
 
 def unique_ids(rows: DataFrame, by: str, order: str, id_column: str = "charge_id") -> DataFrame:
-    """rows with repeated ids of a group renamed: the second gets _2, the third _3, skipping ids that stand earlier in the group.
+    """(by, order, id_column, unique_id): rows with repeated ids of a group renamed: the second gets _2, the third _3, skipping ids that stand earlier in the group.
 
-    Which suffix is free depends on the rows before, so each group is folded in order; a group is one document's catalogue.
+    Which suffix is free depends on the names given before, so a group goes through one task in order; it is streamed. What stays is the set
+    of names and, for each repeated id, the next suffix to try: names are never given back, so that only grows, and a group takes
+    linear time however often an id repeats. Ties of order go by id; null ids stay null.
     """
-    entries = F.array_sort(F.collect_list(F.struct(order, id_column)))
-    start = F.array().cast("array<string>")
-
-    def step(seen: Column, e: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(2), F.size(seen) + 2), lambda n: F.concat(e[id_column], F.lit("_"), n.cast("string")))
-        free = F.get(F.filter(tries, lambda t: ~F.array_contains(seen, t)), F.lit(0))
-        return F.concat(seen, F.array(F.when(F.array_contains(seen, e[id_column]), free).otherwise(e[id_column])))
-
-    folded = rows.groupBy(by).agg(entries.alias("es")).withColumn("ids", F.aggregate("es", start, step))
-    return folded.select(by, F.explode(F.arrays_zip("es", "ids")).alias("z")).select(by, F.col(f"z.es.{order}").alias(order), F.col(f"z.es.{id_column}").alias(id_column), F.col("z.ids").alias("unique_id"))
+    group, place = rows.schema[by].dataType.simpleString(), rows.schema[order].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, seen, suffix = False, None, set(), {}
+        for batch in batches:
+            out: list[str | None] = []
+            for g, name in zip(batch.column(by).to_pylist(), batch.column(id_column).to_pylist(), strict=True):
+                if not begun or g != now:
+                    begun, now, seen, suffix = True, g, set(), {}
+                free = name
+                if name in seen:
+                    n = suffix.get(name, 2)
+                    while (free := f"{name}_{n}") in seen:
+                        n += 1
+                    suffix[name] = n + 1
+                if free is not None:
+                    seen.add(free)
+                out.append(free)
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column(order), batch.column(id_column), pa.array(out, pa.string())], names=[by, order, id_column, "unique_id"])
+
+    dealt = rows.select(by, order, F.col(id_column).cast("string").alias(id_column)).repartition(by).sortWithinPartitions(by, order, id_column)
+    return dealt.mapInArrow(run, f"`{by}` {group}, `{order}` {place}, `{id_column}` string, unique_id string")
 
 
 def export_rulebooks(documents: DataFrame, catalogue: DataFrame, rules: DataFrame, cited: DataFrame | None = None, schema_version: int = 1, prompt_version: str | None = None) -> DataFrame:
