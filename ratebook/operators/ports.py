@@ -47,14 +47,51 @@ def document_in_force(calls: DataFrame, documents: DataFrame) -> DataFrame:
     """calls (call_id, port, on_date, and document_id of a wish or null) with the newest ready document that covers them.
 
     A document covers a call if it names the port and is in force on the date: bounds count in, a null bound is open, and a
-    call without a date may have any. error is PORT_NOT_COVERED where none is left.
+    call without a date may have any. error is PORT_NOT_COVERED where none is left. Ties of created_at go to the greater document_id.
+
+    Only different ports and dates are looked up. The times in which documents are in force are cut into ranges of days of a binary tree, of
+    which each keeps the newest document; a date looks at the ranges that hold it, one for each level of the tree, however many
+    versions a port's document has had. A wish is met by its own document, without a date a port's newest does.
     """
     ready = documents.where("status = 'ready'")
+    newest_of = F.struct("created_at", "document_id", "port")
     matched = match_ports(calls, port_variants(ready)).join(ready.select("document_id", "effective_from", "effective_to", "created_at"), "document_id")
-    asked = calls.select("call_id", F.col("port").alias("query"), "on_date", F.col("document_id").alias("wanted"))
+    lookups = calls.select(F.col("port").alias("query"), "on_date").where("query is not null").distinct()
+    days = lookups.where("on_date is not null").select("query", "on_date", F.explode(_holding(_day(F.col("on_date")))).alias("r"))
+    ranges = matched.select("query", newest_of.alias("d"), F.explode(_covering(F.coalesce(_day(F.col("effective_from")), F.lit(0)), F.coalesce(_day(F.col("effective_to")) + 1, F.lit(1 << LEVELS)))).alias("r"))
+    newest_in = ranges.groupBy("query", "r").agg(F.max("d").alias("d"))
+    dated = days.join(newest_in, ["query", "r"]).groupBy("query", "on_date").agg(F.max("d").alias("d"))
+    undated = matched.groupBy("query").agg(F.max(newest_of).alias("d")).select("query", F.lit(None).cast("date").alias("on_date"), "d")
+    found = dated.unionByName(undated).select(F.col("query").alias("__query"), F.col("on_date").alias("__day"), F.col("d").alias("__newest"))
     in_force = F.col("on_date").isNull() | (F.coalesce(F.col("effective_from") <= F.col("on_date"), F.lit(True)) & F.coalesce(F.col("on_date") <= F.col("effective_to"), F.lit(True)))
-    met = asked.join(matched, "query").where(in_force & (F.col("wanted").isNull() | (F.col("wanted") == F.col("document_id"))))
-    # the newest is a maximum, so one partial aggregation does and no call's candidates are sorted
-    best = met.groupBy("call_id").agg(F.max(F.struct("created_at", "document_id", "port")).alias("b"))
-    out = calls.drop("document_id").join(best, "call_id", "left")
-    return out.select(*[c for c in calls.columns if c != "document_id"], F.col("b.document_id").alias("document_id"), F.col("b.port").alias("matched_port"), F.when(F.col("b").isNull(), "PORT_NOT_COVERED").alias("error"))
+    own = matched.select(F.col("query").alias("__asked"), F.col("document_id").alias("__own"), "port", "effective_from", "effective_to", F.lit(True).alias("__named")).withColumnRenamed("port", "__port")
+    kept = [c for c in calls.columns if c != "document_id"]
+    asked = calls.select(*kept, F.col("document_id").alias("__wanted"))
+    met = asked.join(found, (F.col("port") == F.col("__query")) & F.col("on_date").eqNullSafe(F.col("__day")), "left").join(own, (F.col("port") == F.col("__asked")) & (F.col("__wanted") == F.col("__own")), "left")
+    wish = F.col("__wanted").isNotNull()
+    covered = F.when(wish, F.coalesce(F.col("__named") & in_force, F.lit(False))).otherwise(F.col("__newest").isNotNull())
+    document, port = F.when(wish, F.col("__own")).otherwise(F.col("__newest.document_id")), F.when(wish, F.col("__port")).otherwise(F.col("__newest.port"))
+    return met.select(*kept, F.when(covered, document).alias("document_id"), F.when(covered, port).alias("matched_port"), F.when(~covered, "PORT_NOT_COVERED").alias("error"))
+
+
+#: Levels of the tree over days, which spans the calendar from its first day on.
+LEVELS = 22
+
+
+def _day(date: Column) -> Column:
+    return F.date_diff(date, F.lit("0001-01-01").cast("date"))
+
+
+def _holding(day: Column) -> Column:
+    """The ranges (level, number) of the tree that hold a day: range i of a level covers 2**level days from i * 2**level on."""
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(day, level).alias("number")) for level in range(LEVELS + 1)])
+
+
+def _covering(low: Column, high: Column) -> Column:
+    """The fewest ranges of the tree that make up the days from low to before high: at a level those at either end that don't pair up."""
+    out = []
+    for level in range(LEVELS + 1):
+        first, end = F.shiftright(low + ((1 << level) - 1), level), F.shiftright(high, level)
+        some = first < end
+        out += [F.when(some & (first % 2 == 1), F.struct(F.lit(level).alias("level"), first.alias("number"))), F.when(some & (end % 2 == 1), F.struct(F.lit(level).alias("level"), (end - 1).alias("number")))]
+    return F.array_compact(F.array(*out))
