@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import format_number, parse_number
-from ..functions.schemas import QUANTITY
+from ..functions.schemas import BASES, QUANTITY
 
 __all__ = [
-    "canonical", "extra_fields", "first_nonzero", "listing", "merge_sources", "parse_numerics", "quantities", "routine_charges", "screen", "seconds_between", "validate",
+    "calculations_with_steps", "call_text", "canonical", "extra_fields", "first_nonzero", "listing", "merge_sources", "parse_numerics", "quantities", "routine_charges", "screen", "seconds_between", "validate",
 ]
 
 # Canonical column -> (section, field) of a sectioned profile.
@@ -94,14 +94,20 @@ def merge_sources(profiles: DataFrame, queries: DataFrame, fields: list[str], po
     """One call of two sources: a profile's field wins and the query fills gaps; port and num_services of a request win over both.
 
     profiles and queries have call_id and fields; queries also have request_port, request_num_services and statements.
-    error is PORT_REQUIRED where no port is given.
+    error is PORT_REQUIRED where no port is given. Where a source has additional (map<string,string>), the profile's takes the place of the query's as a
+    whole, and the query's statements (array<string>, or null) are added to it as JSON.
     """
     p, q = profiles.alias("p"), queries.alias("q")
     both = p.join(q, "call_id", "full_outer")
     own = [F.coalesce(F.col(f"p.{f}"), F.col(f"q.{f}")).alias(f) for f in fields if f not in (port_column, "num_services")]
     port = F.coalesce("q.request_port", f"q.{port_column}").alias("port")
     services = F.coalesce(F.col("q.request_num_services"), F.col("p.num_services"), F.col("q.num_services")).alias("num_services")
-    return both.select("call_id", *own, port, services, F.col("q.statements").alias("statements")).withColumn("error", F.when(F.col("port").isNull() | (F.trim("port") == ""), "PORT_REQUIRED"))
+    more = [F.col(f"{side}.additional") for side, df in (("p", profiles), ("q", queries)) if "additional" in df.columns]
+    if more:
+        said = F.when(F.size("q.statements") > 0, F.create_map(F.lit("statements"), F.to_json("q.statements")))
+        rest = F.map_filter(F.coalesce(*more), lambda k, v: said.isNull() | (k != "statements"))
+        more = [F.coalesce(F.map_concat(rest, said), rest, said).alias("additional")]
+    return both.select("call_id", *own, port, services, F.col("q.statements").alias("statements"), *more).withColumn("error", F.when(F.col("port").isNull() | (F.trim("port") == ""), "PORT_REQUIRED"))
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -185,6 +191,23 @@ def listing(history: DataFrame, port: str | None = None, status: str | None = No
     return page.crossJoin(F.broadcast(total))
 
 
+def calculations_with_steps(history: DataFrame, steps: DataFrame) -> DataFrame:
+    """history (calculation_id, …) with steps: array of its step rows (calculation_id, step_no, …) in order, empty where it has none.
+
+    A calculation's steps are a few dozen rows, which are gathered by a sort by id and number in one shuffle of the steps.
+    """
+    parts = F.struct("step_no", *[c for c in steps.columns if c not in ("calculation_id", "step_no")])
+    own = steps.groupBy("calculation_id").agg(F.array_sort(F.collect_list(parts), lambda a, b: F.when(a["step_no"] < b["step_no"], -1).when(a["step_no"] > b["step_no"], 1).otherwise(0)).alias("steps"))
+    joined = history.join(own, "calculation_id", "left")
+    return joined.withColumn("steps", F.coalesce("steps", F.slice(F.array(F.lit(None).cast(joined.schema["steps"].dataType.elementType)), 1, 0)))
+
+
+def call_text(calls: DataFrame, given: list[str]) -> DataFrame:
+    """calls with text, how a call is shown to whoever decides its facts: the given fields without nulls as JSON, then the quantities, one a line."""
+    lines = F.filter(F.transform(F.array(*[F.lit(b) for b in BASES]), lambda b: F.concat(F.lit("- "), b, F.lit(": "), format_number(F.try_element_at("quantities", b)))), lambda t: t.isNotNull())
+    return calls.withColumn("text", F.concat_ws("\n", F.to_json(F.struct(*given)), F.lit(""), F.lit("Quantities:"), lines))
+
+
 def newest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -7,35 +7,52 @@ from pyspark.sql import functions as F
 
 from ..functions.packing import first_where, greedy_starts, let, slices
 
-__all__ = ["batch_rules", "fact_uses", "resolve_facts", "rule_conditions", "rule_units", "units_of", "with_facts"]
+__all__ = ["batch_rules", "fact_batches", "fact_uses", "resolve_facts", "rule_conditions", "rule_units", "units_of", "with_facts"]
 
 BATCH = 40
 
 
-def resolve_facts(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+def resolve_facts(candidates: DataFrame, decisions: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """(call_id, charge_id, fact, value, source): override (by the fact's name, for any charge), else decision, else default.
 
     candidates has call_id, charge_id, rule and overrides map<string,string>; decisions call_id, charge_id, fact, value, pos, of
-    which the last counts. Facts that no rule of the call declares are dropped; facts without any value are absent.
+    which the last counts. Facts that no rule of the call declares are dropped; facts without any value are absent. failed
+    (call_id, charge_id) are the charges whose batch wasn't answered: nothing but overrides is known of their facts.
     """
-    wanted = candidates.select("call_id", "charge_id", "overrides", F.explode("rule.facts").alias("f")).select("call_id", "charge_id", "overrides", F.col("f.name").alias("fact"), F.col("f.default_value").alias("default_value"))
+    wanted = _with_failed(candidates, failed).select("call_id", "charge_id", "overrides", "__failed", F.explode("rule.facts").alias("f")).select("call_id", "charge_id", "overrides", "__failed", F.col("f.name").alias("fact"), F.col("f.default_value").alias("default_value"))
     last = decisions.groupBy("call_id", "charge_id", "fact").agg(F.max_by("value", "pos").alias("decided"))
     joined = wanted.join(last, ["call_id", "charge_id", "fact"], "left")
-    override = F.try_element_at("overrides", F.col("fact"))
-    source = F.when(override.isNotNull(), "override").when(F.col("decided").isNotNull(), "decision").when(F.col("default_value").isNotNull(), "default")
+    override, answered = F.try_element_at("overrides", F.col("fact")), ~F.col("__failed")
+    source = F.when(override.isNotNull(), "override").when(answered & F.col("decided").isNotNull(), "decision").when(answered & F.col("default_value").isNotNull(), "default")
     return joined.select("call_id", "charge_id", "fact", F.coalesce(override, "decided", "default_value").alias("value"), source.alias("source")).where("source is not null")
 
 
-def with_facts(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """candidates with facts, a map of the values that were stated: decisions become one map by call and charge before the join."""
+def _with_failed(candidates: DataFrame, failed: DataFrame | None) -> DataFrame:
+    if failed is None:
+        return candidates.withColumn("__failed", F.lit(False))
+    marked = failed.select("call_id", "charge_id").distinct().withColumn("__f", F.lit(True))
+    return candidates.join(marked, ["call_id", "charge_id"], "left").withColumn("__failed", F.coalesce("__f", F.lit(False))).drop("__f")
+
+
+def with_facts(candidates: DataFrame, decisions: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """candidates with facts, the values that rating is given: decisions become one map by call and charge before the join.
+
+    In an answered batch what wasn't decided is given at its default, so rating records no assumption for it. Of failed charges (as in
+    resolve_facts) only overrides are given; rating falls back on defaults itself and says so.
+    """
     w = decisions.groupBy("call_id", "charge_id", "fact").agg(F.max_by("value", "pos").alias("value"))
     stated = w.groupBy("call_id", "charge_id").agg(F.map_from_entries(F.collect_list(F.struct("fact", "value"))).alias("__decided"))
-    joined = candidates.join(stated, ["call_id", "charge_id"], "left")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    overrides, decided = F.coalesce("overrides", empty), F.coalesce("__decided", empty)
-    declared = F.transform("rule.facts", lambda f: f["name"])
-    mine = F.map_filter(decided, lambda k, v: F.array_contains(declared, k) & ~F.map_contains_key(overrides, k))
-    return joined.withColumn("facts", F.map_concat(F.map_filter(overrides, lambda k, v: F.array_contains(declared, k)), mine)).drop("__decided")
+    joined = _with_failed(candidates, failed).join(stated, ["call_id", "charge_id"], "left")
+    answer = lambda f: F.when(~F.col("__failed"), F.coalesce(F.try_element_at("__decided", f["name"]), f["default_value"]))
+    given = F.transform(F.coalesce("rule.facts", F.array()), lambda f: F.struct(f["name"].alias("key"), F.coalesce(F.try_element_at("overrides", f["name"]), answer(f)).alias("value")))
+    return joined.withColumn("facts", F.map_from_entries(F.array_distinct(F.filter(given, lambda e: e["value"].isNotNull())))).drop("__decided", "__failed")
+
+
+def fact_batches(candidates: DataFrame, limit: int = BATCH) -> DataFrame:
+    """(call_id, charge_id, batch, n_facts): the charges with facts that no override gives, in order of pos, packed as batch_rules does."""
+    overrides = F.coalesce("overrides", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    pending = candidates.select("call_id", "charge_id", "pos", F.size(F.filter("rule.facts", lambda f: ~F.map_contains_key(overrides, f["name"]))).alias("n_facts")).where("n_facts > 0")
+    return batch_rules(pending, limit).join(pending.select("call_id", "charge_id", "n_facts"), ["call_id", "charge_id"])
 
 
 def batch_rules(rules: DataFrame, limit: int = BATCH) -> DataFrame:

@@ -10,9 +10,10 @@ from ..functions.numbers import extract_numbers, parse_number
 from ..functions.schemas import BASES, RATE
 from .facts import units_of
 from .quotes import retarget_citations
+from .rulebook import unique_ids
 
 __all__ = [
-    "accuracy", "case_results", "evidence", "forms_agree", "grounding_issues", "match_items", "recall", "resolve_refs", "retargeted_rules", "rule_numbers", "rule_problems", "table_reread_ok",
+    "accuracy", "case_results", "clean_catalogue", "evidence", "forms_agree", "grounding_issues", "match_items", "recall", "resolve_refs", "retargeted_rules", "rule_numbers", "rule_problems", "table_reread_ok",
 ]
 
 
@@ -117,16 +118,39 @@ def grounding_issues(rules: DataFrame, chunks: DataFrame) -> DataFrame:
     return missing.unionByName(quotes).unionByName(numbers)
 
 
-def resolve_refs(entries: DataFrame, refs: DataFrame) -> DataFrame:
-    """(entry_id, pos, asked, ref): each asked section ref's longest dotted prefix that exists; null where none does."""
+def resolve_refs(entries: DataFrame, refs: DataFrame, within: str | None = None) -> DataFrame:
+    """(entry_id, pos, asked, ref): each asked section ref's longest dotted prefix that exists; null where none does.
+
+    within names a field of a struct entry_id, and a column of refs, that have to be equal: a document has its own sections.
+    """
     asked = entries.select("entry_id", F.posexplode("refs").alias("pos", "asked")).withColumn("clean", F.regexp_replace(F.trim("asked"), "\\.+$", ""))
     parts = F.split("clean", "\\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), ".").alias("ref")))
     tried = asked.select("entry_id", "pos", "asked", F.explode(prefixes).alias("p")).select("entry_id", "pos", "asked", "p.depth", "p.ref")
-    known = tried.join(refs.select("ref").distinct().withColumn("there", F.lit(True)), "ref", "left")
+    if within:
+        tried = tried.withColumn("__in", F.col("entry_id")[within])
+    there = refs.select("ref", *([F.col(within).alias("__in")] if within else [])).distinct().withColumn("there", F.lit(True))
+    known = tried.join(there, ["ref", *(["__in"] if within else [])], "left")
     return known.groupBy("entry_id", "pos", "asked").agg(F.max_by(F.when(F.col("there"), F.col("ref")), F.when(F.col("there"), F.col("depth"))).alias("ref"))
 
 
+def clean_catalogue(entries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cleaned, unknown) of a catalogue as it was discovered: entries (document_id, pos, charge_id, section_refs) against refs (document_id, ref).
+
+    cleaned has document_id, pos, charge_id, asked_id and section_refs: refs at their longest prefix that exists, each once in order of first
+    mention; entries that keep none are left out; repeated ids are made unique among those that stay. unknown has
+    document_id, pos, charge_id and refs, those of an entry that no prefix resolves, as they were asked.
+    """
+    keyed = entries.select(F.struct("document_id", "pos").alias("entry_id"), F.col("section_refs").alias("refs"))
+    parts = resolve_refs(keyed, refs, within="document_id")
+    found = parts.where("ref is not null").groupBy("entry_id", "ref").agg(F.min("pos").alias("first"))
+    own = found.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("first", "ref"))).alias("rs")).select("entry_id.document_id", "entry_id.pos", F.col("rs.ref").alias("section_refs"))
+    kept = entries.select("document_id", "pos", "charge_id").join(own, ["document_id", "pos"])
+    named = unique_ids(kept, "document_id", "pos").select("document_id", "pos", F.col("charge_id").alias("asked_id"), F.col("unique_id").alias("charge_id"))
+    lost = parts.where("ref is null").groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("pos", "asked"))).alias("rs")).select("entry_id.document_id", "entry_id.pos", F.col("rs.asked").alias("refs"))
+    return named.join(kept.drop("charge_id"), ["document_id", "pos"]), entries.select("document_id", "pos", "charge_id").join(lost, ["document_id", "pos"])
+
+
 def match_items(expected: DataFrame, items: DataFrame) -> DataFrame:
     """expected (case_id, pos, section, section_title, amount, tolerance_pct) with the first line item (by item_pos) of its section ref, or of its section title in any case."""
     refs = items.select("case_id", "item_pos", F.col("amount").alias("computed"), F.explode("section_refs").alias("section"))

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.schemas import RULE
 from ..operators.rating import prepared
 
-__all__ = ["append_history", "find_rulebook", "read_binary_documents", "read_profiles", "read_rulebooks", "read_rules", "write_report", "write_rulebooks", "write_rules"]
+__all__ = ["append_history", "append_steps", "find_rulebook", "read_binary_documents", "read_profiles", "read_rulebooks", "read_rules", "write_report", "write_rulebooks", "write_rules"]
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """(call_id, profile): each JSON file under path as one text; numbers stay as printed."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("profile"))
-    return files.select(F.regexp_replace("file", "\\.json$", "").alias("call_id"), "profile")
+    """(call_id, profile): each JSON file under path as one text; numbers stay as printed. call_id is the folder's (call_id=…), else the file's name."""
+    files = spark.read.text(path, wholetext=True)
+    named = F.col("call_id").cast("string") if "call_id" in files.columns else F.regexp_replace(F.col("_metadata.file_name"), "\\.json$", "")
+    return files.select(named.alias("call_id"), F.col("value").alias("profile"))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(file, charge_id, rule, plan) of a folder of rule JSON files, prepared for rating; an empty folder is an error."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{json,txt}").option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{json,txt}", recursiveFileLookup=True)
     rules = files.select(F.col("_metadata.file_name").alias("file"), F.from_json("value", RULE).alias("rule"))
     if rules.isEmpty():
         raise FileNotFoundError(f"no rules in {path}")
@@ -44,7 +45,7 @@ def write_rulebooks(rulebooks: DataFrame, path: str) -> None:
 
 def read_rulebooks(spark: SparkSession, path: str) -> DataFrame:
     """(file, rulebook) of every file below path, each as one text."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("rulebook"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("rulebook"))
 
 
 def find_rulebook(spark: SparkSession, path: str) -> DataFrame:
@@ -58,5 +59,12 @@ def append_history(items: DataFrame, path: str) -> None:
     items.write.mode("append").partitionBy("port_key").parquet(path)
 
 
+def append_steps(steps: DataFrame, path: str) -> None:
+    """Step rows (calculation_id, step_no, charge_id, node, tool, input_summary, output, latency_ms, tokens …) appended by node; output of any shape is kept as JSON."""
+    kind = steps.schema["output"].dataType.typeName()
+    output = F.to_json("output") if kind in ("struct", "map", "array", "variant") else F.col("output").cast("string")
+    steps.withColumn("output", output).write.mode("append").partitionBy("node").parquet(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
