@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+
+from .shared import held
 
 __all__ = [
     "best_revision", "cache_lookup", "candidates_with_rules", "compile_report", "export_rulebooks", "import_decisions", "numbered", "rebuild", "request_key", "rules_in_use", "section_order",
@@ -80,17 +81,12 @@ def section_order(refs: Column) -> Column:
 def numbered(rows: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """rows with their position, from 1, among all rows in the order of the columns, which tell the rows apart.
 
-    Split points from a sample of bounded size deal the rows out by ranges of the order; each range is numbered for itself
-    and begins after the number of rows in those before. Only the sample and a count for each range reach the driver.
+    Rows are dealt by ranges of the order and written with the number of their range, as a second reading could draw other ranges; each
+    is numbered for itself and begins after the rows in those before. Only a count for each range reaches the driver.
     """
-    spark, key = rows.sparkSession, F.struct(*order)
+    spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.count()
-    sample = rows.select(key.alias("k")).sample(min(1.0, 50 * parts / max(total, 1)), seed=1).orderBy("k")
-    keys = [r.k for r in sample.collect()]
-    splits = [keys[i * len(keys) // parts] for i in range(1, parts)] if keys else []
-    points = spark.createDataFrame([(splits,)], StructType([StructField("splits", ArrayType(sample.schema["k"].dataType))]))
-    dealt = rows.crossJoin(F.broadcast(points)).withColumn("__part", F.size(F.filter("splits", lambda s: s <= key))).drop("splits")
+    dealt = held(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     before, offsets = 0, []
     for part, n in sorted(map(tuple, dealt.groupBy("__part").count().collect())):
         offsets.append((part, before))
