@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from .common import read_table, stored, text_batches
 from .components import connected_components
 
-__all__ = ["fingerprints", "near_duplicate_components", "near_links", "keep_one_of_each", "op9_simhash_near_dedup"]
+__all__ = ["fingerprints", "near_duplicate_components", "near_links", "keep_one_of_each", "similar_links", "op9_simhash_near_dedup"]
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
+#: Of links between texts that the fingerprint tells apart: words of a shingle, the share of shingles in common, marks of a text and shingles of a mark.
+SIMILAR_SHINGLE, SIMILAR, MARKS, SAMPLE = 5, 0.8, 12, 5
 
 
 def _hashes(text: str, k: int, seed: int) -> np.ndarray:
@@ -108,33 +110,88 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, copy, fp, component_id) for every row of docs; component_id is the smallest id that links lead to, its own included.
+def _marks(hashes: np.ndarray) -> list[int]:
+    """For each of several orders of all hashes, the SimHash of the SAMPLE different ones that come first: texts share a mark if they share those shingles."""
+    h = np.unique(hashes)
+    out = []
+    for j in range(MARKS):
+        with np.errstate(over="ignore"):
+            order = (h ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            order ^= order >> np.uint64(32)
+            order *= np.uint64(0xD6E8FEB86659FD93)
+        first = h[np.argpartition(order, SAMPLE)[:SAMPLE]] if h.size > SAMPLE else h
+        out.append(xxhash.xxh64_intdigest(np.sort(first).tobytes(), j) - (1 << 63))
+    return out
 
+
+def similar_links(docs: DataFrame, text_column: str = "text", k: int = SIMILAR_SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """(a, b) pairs of different fingerprints (as near_links has them) of texts that share `least` of their k-word shingles or more.
+
+    A fingerprint of 64 bits tells texts apart that differ in a few words, so these links are found by fingerprints of small samples: each
+    text has several marks, each of its few first shingles in an order of its own, and texts at 0.8 have some mark in common but for about one
+    in a hundred pairs. Of those with a common mark all meet the one with the smallest and the one with the greatest hash, so no pairs within a group are
+    made, and pairs that meet are verified by their whole sets of shingles. Different texts only are compared; null and blank ones have no marks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[int] | None] = [None] * batch.num_rows
+            for start, texts in text_batches(batch, "text"):
+                for i, text in enumerate(texts, start):
+                    hashes = _hashes(text, k, SEED)
+                    found[i] = _marks(hashes) if hashes.size else None
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(found, pa.list_(pa.int64()))], names=["copy", "marks"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_batches(batch, "text", 1_000_000):
+                sets = [np.unique(_hashes(t, k, SEED)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("copy").slice(start, len(texts)), pa.array(sets, pa.list_(pa.int64())), pa.array([_majority(_hashes(t, SHINGLE, SEED)) for t in texts], pa.int64())], names=["copy", "shingles", "fp"])
+
+    text = F.col(text_column).cast("string")
+    source = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
+    marks = stored(source.mapInArrow(run, "copy long, marks array<long>").where("marks is not null").dropDuplicates(["copy"]), "marks")
+    flat = marks.select("copy", F.explode("marks").alias("mark"))
+    ends = stored(flat.groupBy("mark").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo < hi"), "mark-ends")
+    met = flat.join(ends, "mark").select("copy", F.explode(F.array("lo", "hi")).alias("other")).where("copy <> other")
+    pairs = stored(met.select(F.least("copy", "other").alias("x"), F.greatest("copy", "other").alias("y")).distinct(), "mark-pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct()
+    sets = stored(source.join(wanted, "copy", "left_semi").dropDuplicates(["copy"]).mapInArrow(shingles, "copy long, shingles array<long>, fp long"), "shingles")
+    one, two = (sets.select(F.col("copy").alias(c), F.col("shingles").alias(f"s{c}"), F.col("fp").alias(f)) for c, f in (("x", "a"), ("y", "b")))
+    both = F.size(F.array_intersect("sx", "sy"))
+    near = pairs.join(one, "x").join(two, "y").where("a <> b").withColumn("both", both).where(F.col("both") >= least * (F.size("sx") + F.size("sy") - F.col("both")))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, similar: bool = False) -> DataFrame:
+    """(doc_id, copy, fp, component_id, root) for every row of docs; component_id is the smallest id that links lead to, its own included, root the smallest fingerprint.
+
+    similar adds the links of similar_links to those of the fingerprints; it needs k and seed as they are by default.
     Copies share a fingerprint and are one class from the start: links are sought between distinct fingerprints only.
     An empty table gives no rows; a null id stays null and is never a component's id unless the component has no other.
     """
     fps = stored(fingerprints(docs, id_column, text_column, k, seed), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
-    roots = connected_components(near_links(classes.select("fp"), max_bits))
+    links = near_links(classes.select("fp"), max_bits)
+    roots = connected_components(links.union(similar_links(docs, text_column)) if similar else links)
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written, so that both sides of the join are shuffles, of which adaptive execution splits a giant component's
     merged = stored(joined.groupBy("root").agg(F.min("least_id").alias("component_id")), "merged")
-    labels = joined.select("fp", "root").join(merged, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(F.col("id").alias("doc_id"), "copy", "fp", "component_id")
+    labels = joined.select("fp", "root").join(merged, "root").select("fp", "root", "component_id")
+    return fps.join(labels, "fp").select(F.col("id").alias("doc_id"), "copy", "fp", "component_id", "root")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group, with docs' columns: that of the smallest doc_id (null last), of one id's that of the smallest hash of its text; of equal rows one.
+    """One row of docs for each group of near copies (by fingerprints, or five-word shingles of which 0.8 are shared), with docs' columns: that of the smallest doc_id (null last), of one id's that of the smallest hash of its text; of equal rows one.
 
     What goes is told by id and text, so a row never stays or goes for another one that has its id. The rows that go are
     fewer than those that stay, and are written, so that the join is broadcast where their size allows it.
     """
-    rows = near_duplicate_components(docs).groupBy("component_id", F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.count(F.lit(1)).alias("n"))
+    rows = near_duplicate_components(docs, similar=True).groupBy("root", F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.count(F.lit(1)).alias("n"))
     rows = stored(rows, "group-rows")
     order = F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__copy").alias("copy"))
-    first = stored(rows.groupBy("component_id").agg(F.min(order).alias("first")), "group-firsts")
-    met = rows.join(first, rows["component_id"].eqNullSafe(first["component_id"])).withColumn("stays", order == F.col("first"))
+    first = stored(rows.groupBy("root").agg(F.min(order).alias("first")), "group-firsts")
+    met = rows.join(first, "root").withColumn("stays", order == F.col("first"))
     marked = stored(met.select("__id", "__copy", "n", "stays"), "group-marks")
     copy = F.xxhash64(F.col("text").cast("string"))
 
