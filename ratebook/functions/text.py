@@ -18,7 +18,8 @@ NUMBERED_HEADING = "^([0-9]{1,3}(\\.[0-9]{1,3})*)\\.?\\s+(\\S.*)$"
 DATE_LINE = "(?i)^[0-9]{1,2}(st|nd|rd|th)?\\s+\\p{L}{3,9}\\.?,?\\s+[0-9]{4}$"
 PAGE_REFERENCE = "(?<![0-9.,])[0-9]{1,3}(-[0-9]{1,3})?$"
 MARGIN = 0.12
-# How an excerpt ends, and what stands for one shown before.
+# How an excerpt begins and ends, and what stands for one shown before.
+EXCERPT_BEGIN = ('<tariff_excerpt chunk_id="', '" section="', '" page="')
 EXCERPT_END = "</tariff_excerpt>"
 SHOWN_ABOVE = "(shown above)"
 
@@ -124,7 +125,8 @@ def excerpt_again(chunk_id: Column, section_ref: Column, page: Column) -> Column
 
 
 def _excerpt_tag(chunk_id: Column, section_ref: Column, page: Column) -> Column:
-    return F.concat(F.lit('<tariff_excerpt chunk_id="'), chunk_id.cast("string"), F.lit('" section="'), section_ref, F.lit('" page="'), page.cast("string"), F.lit('"'))
+    tag, section, at = map(F.lit, EXCERPT_BEGIN)
+    return F.concat(tag, chunk_id.cast("string"), section, section_ref, at, page.cast("string"), F.lit('"'))
 
 
 def outline_line(level: Column, ref: Column, title: Column, opening: Column) -> Column:

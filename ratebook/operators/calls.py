@@ -9,7 +9,7 @@ from ..functions.numbers import format_number, parse_number
 from ..functions.schemas import BASES, QUANTITY
 
 __all__ = [
-    "calculations_with_steps", "call_text", "canonical", "extra_fields", "first_nonzero", "listing", "merge_sources", "parse_numerics", "quantities", "routine_charges", "screen", "seconds_between", "validate",
+    "calculations_with_steps", "call_text", "canonical", "document_fields", "extra_fields", "first_nonzero", "listing", "merge_sources", "parse_numerics", "quantities", "routine_charges", "screen", "seconds_between", "validate",
 ]
 
 # Canonical column -> (section, field) of a sectioned profile.
@@ -208,6 +208,11 @@ def call_text(calls: DataFrame, given: list[str]) -> DataFrame:
     return calls.withColumn("text", F.concat_ws("\n", F.to_json(F.struct(*given)), F.lit(""), F.lit("Quantities:"), lines))
 
 
+def document_fields(rows: DataFrame, currency: Column, vat_percent: Column) -> DataFrame:
+    """rows with currency, the code's first three characters in capitals (null if empty), and vat_rate, the printed percentage as a share (null if unreadable)."""
+    return rows.withColumns({"currency": F.nullif(F.substring(F.upper(currency), 1, 3), F.lit("")), "vat_rate": parse_number(vat_percent) / 100})
+
+
 def newest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -175,7 +175,7 @@ def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     code = F.when(c % 10 == 0, "").otherwise(F.lower("c_mktsegment"))
     rate = F.when(c % 3 == 0, "n/a").otherwise(F.concat(F.col("c_nationkey").cast("string"), F.lit(",5 %")))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.nullif(F.substring(F.upper(code), 1, 3), F.lit("")).alias("currency"), (parse_number(rate) / 100).cast("double").alias("vat_rate"))
+    return C.document_fields(table(spark, sf_dir, "customer"), code, rate).select("c_custkey", "currency", F.col("vat_rate").cast("double").alias("vat_rate"))
 
 
 @query("""SELECT o_orderkey AS call_id, fact, value, source FROM orders, LATERAL (VALUES

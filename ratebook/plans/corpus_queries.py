@@ -170,7 +170,8 @@ def breadcrumb_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-17: chunks with and without a vector."""
     chunks = table(spark, sf_dir, "embeddings").select("label", F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"))
-    return chunks.groupBy("label").agg(F.count_if(F.col("embedding").isNull()).alias("pending"), F.count_if(F.col("embedding").isNotNull()).alias("embedded"))
+    counts = [S.by_embedding(chunks, pending).groupBy("label").agg(F.count(F.lit(1)).alias(name)) for pending, name in ((True, "pending"), (False, "embedded"))]
+    return counts[0].join(counts[1], "label", "full_outer").fillna(0, ["pending", "embedded"])
 
 
 SEMANTIC_SQL = """sem AS (SELECT query_id, chunk_id, similarity, sem_rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity,

@@ -9,6 +9,7 @@ from ..functions.schemas import RULE
 from ..operators import calls as C
 from ..operators import facts as FA
 from ..operators import quality as Q
+from ..operators import search as S
 from ..operators.shared import scratch
 from ..sources import files as IO
 from .standins import table
@@ -141,3 +142,30 @@ def calculation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.transform("steps", lambda s: F.concat_ws(":", F.get_json_object(s["output"], "$.line"), s["node"], F.get_json_object(s["output"], "$.mode")))
     tokens = F.aggregate("steps", F.lit(0).cast("long"), lambda t, s: t + s["prompt_tokens"])
     return told.select("calculation_id", F.size("steps").cast("long").alias("n_steps"), F.array_join(shown, " ").alias("steps"), tokens.alias("tokens"))
+
+
+@query("""SELECT 'b' || doc_id // 20 AS document_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS checksum, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY 1""")
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-3, T-11: whole texts as files, twenty documents in each, read as bytes with their checksums."""
+    path = scratch(spark, "texts")
+    docs = table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("b"), F.floor(F.col("doc_id") / 20).cast("string")).alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("ds"))
+    docs.select("document_id", F.array_join("ds.text", "\n").alias("value")).write.partitionBy("document_id").text(path)
+    found = IO.read_binary_documents(spark, path, "txt")
+    return found.select(F.regexp_extract("path", "document_id=([^/]+)/", 1).alias("document_id"), "checksum", F.col("size").alias("n_bytes"))
+
+
+@query("""SELECT p_partkey AS charge_id, pos, p_name AS name FROM part JOIN (VALUES (0, 7), (1, 3), (2, 99), (3, 7)) t(pos, asked) ON p_partkey % 100 = asked""")
+def asked_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-10: charges that are asked for by id, in the order of asking, whoever pays for them."""
+    catalogue = table(spark, sf_dir, "part").select((F.col("p_partkey") % 100).cast("string").alias("charge_id"), "p_partkey", "p_name")
+    return C.routine_charges(catalogue, ["7", "3", "99", "7"]).select(F.col("p_partkey").alias("charge_id"), "pos", F.col("p_name").alias("name"))
+
+
+@query("""WITH s AS (SELECT p_brand AS document_id, p_partkey AS ordinal, p_size || '.%' || p_partkey % 4 AS ref FROM part WHERE p_partkey % 6 <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS r, count(*) OVER (PARTITION BY document_id) AS n FROM s WHERE starts_with(ref, '1.%'))
+SELECT document_id, ordinal, ref, greatest(n - 2, 0) AS n_more FROM k WHERE r <= 2""")
+def outline_of_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-15: the sections below a ref, taken literally, without contents pages."""
+    part = table(spark, sf_dir, "part")
+    ref = F.concat(F.col("p_size").cast("string"), F.lit(".%"), (F.col("p_partkey") % 4).cast("string"))
+    sections = part.select(F.col("p_brand").alias("document_id"), F.col("p_partkey").alias("ordinal"), ref.alias("ref"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 6 == 0, "contents").otherwise("body").alias("kind"))
+    return S.outline(sections, "1.%", 2).drop("title")
