@@ -87,6 +87,17 @@ def heading_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("document_id", "page", "line_no", T.heading_kind(F.col("text"), F.col("size"), F.col("bold"), F.lit(10.0)).alias("kind")).where("kind is not null")
 
 
+@query(f"""WITH {LINES_SQL}, h AS (SELECT document_id, trim(line) AS t, 11.6 + line_no % 3 AS size FROM lines WHERE line_no % 5 = 0),
+u AS (SELECT document_id, size FROM h WHERE NOT contains(t, '…') AND length(t) <= 120 AND regexp_matches(t, '\\p{{L}}') AND NOT regexp_matches(t, '(?i)^[0-9]{{1,2}}(st|nd|rd|th)?\\s+\\p{{L}}{{3,9}}\\.?,?\\s+[0-9]{{4}}$') AND NOT t LIKE '%:'
+AND NOT regexp_matches(t, '(?i)^(SECTION|PART|CHAPTER)\\s+([0-9]{{1,3}})\\.?(\\s+\\S.*)?$') AND NOT (regexp_matches(t, '^([0-9]{{1,3}}(\\.[0-9]{{1,3}})*)\\.?\\s+(\\S.*)$') AND regexp_matches(regexp_extract(t, '^([0-9]{{1,3}}(\\.[0-9]{{1,3}})*)\\.?\\s+(\\S.*)$', 3), '\\p{{L}}')))
+SELECT document_id, size_rank, count(*) AS n FROM (SELECT document_id, dense_rank() OVER (PARTITION BY document_id ORDER BY size DESC) AS size_rank FROM u) GROUP BY ALL""")
+def heading_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-5: unnumbered headings ranked by size within a document, the largest first."""
+    set_off = F.col("line_no") % 5 == 0
+    own = lines(spark, sf_dir).withColumns({"bold": set_off, "size": F.when(set_off, 11.6 + F.col("line_no") % 3).otherwise(10.0)})
+    return K.headings(own).where("kind = 'unnumbered'").groupBy("document_id", F.col("size_rank").cast("long").alias("size_rank")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-5, W-10, W-11, W-12: the section tree of each document, whose lines get headings from their places; tested on fixtures."""
@@ -96,6 +107,19 @@ def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.join(K.breadcrumbs(sections), ["document_id", "ordinal"]).select("document_id", "ordinal", "ref", "level", "parent_ordinal", "kind", "path")
 
 
+@query("""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, n_lines, unnest(range((n_lines + 3) // 4)) AS n FROM l),
+t AS (SELECT doc_id, n, n_lines, n // 6 + 1 AS t, n % 6 AS k, n * 4 + 1 AS spot, least(n * 4 + 4, n_lines) AS stop FROM h)
+SELECT doc_id AS document_id, n + 1 AS ordinal, t || CASE k WHEN 0 THEN '' WHEN 1 THEN '.1' WHEN 2 THEN '.1.1' WHEN 3 THEN '.1.2' WHEN 4 THEN '.2' ELSE '.2.1' END AS ref, CASE WHEN k = 0 THEN 1 WHEN k IN (1, 4) THEN 2 ELSE 3 END AS level,
+CASE k WHEN 0 THEN NULL WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN n - 1 WHEN 4 THEN n - 3 ELSE n END AS parent_ordinal, CAST((spot + 39) // 40 AS INT) AS page_start, CAST((stop + 39) // 40 AS INT) AS page_end, CASE WHEN stop > spot THEN spot + 1 END AS first_line, CASE WHEN stop > spot THEN stop END AS last_line FROM t""")
+def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-11, W-4: the tree of documents whose every fourth line is a heading numbered to three levels."""
+    n = F.floor((F.col("line_no") - 1) / 4)
+    heading = F.concat((F.floor(n / 6) + 1).cast("string"), F.get(F.array(*[F.lit(x) for x in ("", ".1", ".1.1", ".1.2", ".2", ".2.1")]), (n % 6).cast("int")), F.lit(" Part"))
+    first = F.col("line_no") % 4 == 1
+    own = document_lines(spark, sf_dir).withColumns({"text": F.when(first, heading).otherwise(F.concat("text", F.lit("."))), "bold": first, "size": F.when(first, 14.0).otherwise(10.0)})
+    return K.section_tree(own).select("document_id", "ordinal", "ref", "level", "parent_ordinal", "page_start", "page_end", "first_line", "last_line")
+
+
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 
