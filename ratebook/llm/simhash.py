@@ -111,9 +111,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def _marks(hashes: np.ndarray) -> list[int]:
-    """For each of several orders of all hashes, the SimHash of the SAMPLE different ones that come first: texts share a mark if they share those shingles."""
-    h = np.unique(hashes)
-    out = []
+    """For each of several orders of all hashes, a hash of the SAMPLE ones that come first: texts share a mark if they share those shingles."""
+    h, out = hashes, []
     for j in range(MARKS):
         with np.errstate(over="ignore"):
             order = (h ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -124,42 +123,50 @@ def _marks(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def similar_links(docs: DataFrame, text_column: str = "text", k: int = SIMILAR_SHINGLE, least: float = SIMILAR) -> DataFrame:
-    """(a, b) pairs of different fingerprints (as near_links has them) of texts that share `least` of their k-word shingles or more.
+def similar_links(docs: DataFrame, fps: DataFrame | None = None, text_column: str = "text", k: int = SIMILAR_SHINGLE, least: float = SIMILAR, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b) pairs of fingerprints more than max_bits apart, which near_links leaves, of texts that share `least` of their k-word shingles or more.
 
     A fingerprint of 64 bits tells texts apart that differ in a few words, so these links are found by fingerprints of small samples: each
     text has several marks, each of its few first shingles in an order of its own, and texts at 0.8 have some mark in common but for about one
     in a hundred pairs. Of those with a common mark all meet the one with the smallest and the one with the greatest hash, so no pairs within a group are
-    made, and pairs that meet are verified by their whole sets of shingles. Different texts only are compared; null and blank ones have no marks.
+    made, and pairs that meet are verified by their whole sets of shingles, where the sets' sizes allow it. Different texts only are compared; null and
+    blank ones have no marks. fps is fingerprints() of docs, if it is there already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list[int] | None] = [None] * batch.num_rows
+            sizes = np.zeros(batch.num_rows, dtype=np.int32)
             for start, texts in text_batches(batch, "text"):
                 for i, text in enumerate(texts, start):
-                    hashes = _hashes(text, k, SEED)
+                    hashes = np.unique(_hashes(text, k, SEED))
+                    sizes[i] = hashes.size
                     found[i] = _marks(hashes) if hashes.size else None
-            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(found, pa.list_(pa.int64()))], names=["copy", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(sizes), pa.array(found, pa.list_(pa.int64()))], names=["copy", "n", "marks"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_batches(batch, "text", 1_000_000):
                 sets = [np.unique(_hashes(t, k, SEED)).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("copy").slice(start, len(texts)), pa.array(sets, pa.list_(pa.int64())), pa.array([_majority(_hashes(t, SHINGLE, SEED)) for t in texts], pa.int64())], names=["copy", "shingles", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("copy").slice(start, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["copy", "shingles"])
 
     text = F.col(text_column).cast("string")
     source = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
-    marks = stored(source.mapInArrow(run, "copy long, marks array<long>").where("marks is not null").dropDuplicates(["copy"]), "marks")
-    flat = marks.select("copy", F.explode("marks").alias("mark"))
-    ends = stored(flat.groupBy("mark").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo < hi"), "mark-ends")
-    met = flat.join(ends, "mark").select("copy", F.explode(F.array("lo", "hi")).alias("other")).where("copy <> other")
-    pairs = stored(met.select(F.least("copy", "other").alias("x"), F.greatest("copy", "other").alias("y")).distinct(), "mark-pairs")
+    fp_of = (fingerprints(docs.select(F.lit(0).alias("id"), text.alias("text")), "id") if fps is None else fps).select("copy", "fp").distinct()
+    marked = source.mapInArrow(run, "copy long, n int, marks array<long>").where("marks is not null").dropDuplicates(["copy"])
+    flat = stored(marked.join(fp_of, "copy"), "marks").select(F.struct("copy", "fp", "n").alias("t"), F.explode("marks").alias("mark"))
+    ends = stored(flat.groupBy("mark").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo.copy < hi.copy"), "mark-ends")
+    met = flat.join(ends, "mark").select("t", F.explode(F.array("lo", "hi")).alias("o"))
+    apart = F.bit_count(F.col("t.fp").bitwiseXOR(F.col("o.fp"))) > max_bits
+    met = met.where((F.col("t.copy") != F.col("o.copy")) & apart & (F.least("t.n", "o.n") >= least * F.greatest("t.n", "o.n")))
+    first = F.col("t.copy") < F.col("o.copy")
+    ordered = met.select(F.when(first, F.col("t")).otherwise(F.col("o")).alias("p"), F.when(first, F.col("o")).otherwise(F.col("t")).alias("q"))
+    pairs = stored(ordered.select(F.col("p.copy").alias("x"), F.col("q.copy").alias("y"), F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), "mark-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct()
-    sets = stored(source.join(wanted, "copy", "left_semi").dropDuplicates(["copy"]).mapInArrow(shingles, "copy long, shingles array<long>, fp long"), "shingles")
-    one, two = (sets.select(F.col("copy").alias(c), F.col("shingles").alias(f"s{c}"), F.col("fp").alias(f)) for c, f in (("x", "a"), ("y", "b")))
+    sets = stored(source.join(wanted, "copy", "left_semi").dropDuplicates(["copy"]).mapInArrow(shingles, "copy long, shingles array<long>"), "shingles")
+    one, two = (sets.select(F.col("copy").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("x", "y"))
     both = F.size(F.array_intersect("sx", "sy"))
-    near = pairs.join(one, "x").join(two, "y").where("a <> b").withColumn("both", both).where(F.col("both") >= least * (F.size("sx") + F.size("sy") - F.col("both")))
+    near = pairs.join(one, "x").join(two, "y").withColumn("both", both).where(F.col("both") >= least * (F.size("sx") + F.size("sy") - F.col("both")))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -173,7 +180,7 @@ def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_c
     fps = stored(fingerprints(docs, id_column, text_column, k, seed), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
     links = near_links(classes.select("fp"), max_bits)
-    roots = connected_components(links.union(similar_links(docs, text_column)) if similar else links)
+    roots = connected_components(links.union(similar_links(docs, fps, text_column)) if similar else links)
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written, so that both sides of the join are shuffles, of which adaptive execution splits a giant component's
     merged = stored(joined.groupBy("root").agg(F.min("least_id").alias("component_id")), "merged")

@@ -41,7 +41,7 @@ def test_links_and_what_stays(spark):
     own = sorted(sets)
     want = {tuple(sorted((fps[a], fps[b]))) for i, a in enumerate(own) for b in own[:i] if fps[a] != fps[b] and near(a, b)}
     got = {tuple(r) for r in simhash.similar_links(docs).collect()}
-    assert got <= want and len(want) > 5000  # the links of the large group are its star, not its pairs
+    assert got <= {p for p in want if bin((p[0] ^ p[1]) & (1 << 64) - 1).count("1") > 3} and len(want) > 5000  # the links of the large group are its star, not its pairs
     small = {tuple(sorted((fps[a], fps[b]))) for g in groups[:-1] for i, a in enumerate(g) for b in g[:i] if fps[a] != fps[b] and near(a, b)}
     assert len(small) > 50
 
