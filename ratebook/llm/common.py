@@ -18,6 +18,7 @@ __all__ = [
     "hashed_bitmap",
     "read_table",
     "scratch_dir",
+    "shuffled",
     "stored",
     "text_batches",
 ]
@@ -57,6 +58,14 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join by shuffles of both sides: tables that follow the input are never gathered on the driver to be broadcast.
+
+    Spark judges a table by its files, which repeated values make far smaller than the hash table that the driver builds from them.
+    """
+    return df.hint("merge")
+
+
 def fold_held_out(doc_id: Column) -> Column:
     """True for the fifth of the rows that no model may learn from: crc32 of the id's text is divisible by 5."""
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(True))

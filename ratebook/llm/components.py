@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffled, stored
 
 __all__ = ["connected_components"]
 
@@ -14,10 +14,10 @@ def _to_least(edges: DataFrame, key: str, other: str, written: bool) -> DataFram
     """edges with the least of each key's own and neighbouring values as `least`.
 
     A partial minimum and a join rather than a window. With the minima written both sides of the join are shuffles of their
-    own, so that adaptive execution can split the edges of a very large star among tasks.
+    own, so that adaptive execution can split the edges of a very large star among tasks. Nothing is broadcast.
     """
     least = edges.groupBy(key).agg(F.least(F.min(other), F.min(key)).alias("least"))
-    return edges.join(stored(least, "least") if written else least, key)
+    return edges.join(shuffled(stored(least, "least") if written else least), key)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

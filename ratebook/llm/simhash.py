@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored, text_batches
+from .common import read_table, shuffled, stored, text_batches
 from .components import connected_components
 
 __all__ = ["fingerprints", "near_duplicate_components", "near_links", "keep_one_of_each", "similar_links", "op9_simhash_near_dedup"]
@@ -106,7 +106,7 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             up = raised(s)
             looks.append(F.when(up.isNotNull(), F.struct(cell(up, i).alias("cell"), F.lit(False).alias("same"))))
     look = with_e.select(F.col("fp").alias("b"), F.explode(F.array_compact(F.array(*looks))).alias("l")).select("b", "l.cell", "l.same")
-    met = own.join(look, "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & (~F.col("same") | (F.col("a") < F.col("b"))))
+    met = own.join(shuffled(look), "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & (~F.col("same") | (F.col("a") < F.col("b"))))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
@@ -181,11 +181,11 @@ def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_c
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
     links = near_links(classes.select("fp"), max_bits)
     roots = connected_components(links.union(similar_links(docs, fps, text_column)) if similar else links)
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = classes.join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written, so that both sides of the join are shuffles, of which adaptive execution splits a giant component's
     merged = stored(joined.groupBy("root").agg(F.min("least_id").alias("component_id")), "merged")
-    labels = joined.select("fp", "root").join(merged, "root").select("fp", "root", "component_id")
-    return fps.join(labels, "fp").select(F.col("id").alias("doc_id"), "copy", "fp", "component_id", "root")
+    labels = joined.select("fp", "root").join(shuffled(merged), "root").select("fp", "root", "component_id")
+    return fps.join(shuffled(labels), "fp").select(F.col("id").alias("doc_id"), "copy", "fp", "component_id", "root")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

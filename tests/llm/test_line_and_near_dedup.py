@@ -138,3 +138,18 @@ def test_one_row_of_each_group_stays(spark):
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert sorted(got[:], key=str) in (sorted([(4, one), (5, two), (None, rows[5][1]), (9, None)], key=str), sorted([(4, one), (5, two), (None, rows[5][1]), (9, "")], key=str))
     assert simhash.keep_one_of_each(docs.where("false")).count() == 0
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    """Every join of op9 is by shuffles: what Spark takes for a small file may be a large hash table on the driver."""
+    plans = []
+
+    def noted(df, name, keep=simhash.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    monkeypatch.setattr(components, "stored", noted)
+    got = simhash.near_duplicate_components(spark.createDataFrame(some_docs(), DOCS))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
