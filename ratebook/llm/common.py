@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "BITMAP_WORDS",
     "bitmap_has",
+    "bounded",
     "fold_held_out",
     "hashed_bitmap",
     "read_table",
@@ -23,6 +24,8 @@ __all__ = [
     "text_batches",
 ]
 
+#: Rows of a few numbers that the driver may gather for a broadcast; the hash table it builds takes some 100 bytes for each.
+BROADCAST_ROWS = 100_000
 #: 64-bit words of a membership bitmap: 2**18 words are 2**24 bits or 2 MB, whatever the data's size.
 BITMAP_WORDS = 1 << 18
 
@@ -66,6 +69,11 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The stored df for a join: with more than `most` rows by shuffles, else as Spark likes, so that large rows on the other side may stay where they are."""
+    return df if df.limit(most + 1).count() <= most else shuffled(df)
+
+
 def fold_held_out(doc_id: Column) -> Column:
     """True for the fifth of the rows that no model may learn from: crc32 of the id's text is divisible by 5."""
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(True))

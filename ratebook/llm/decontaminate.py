@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, hashed_bitmap, read_table, stored
+from .common import bitmap_has, bounded, hashed_bitmap, read_table, stored
 
 __all__ = ["contaminated_pairs", "drop_contaminated", "greedy_tiles", "greedy_tiles_by_rows", "op7_benchmark_decontamination", "tile_pairs"]
 
@@ -227,7 +227,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     The leaks are written, so that the join is broadcast where their size allows it and the documents stay where they are.
     """
     leaks = contaminated_pairs(docs, items, by_copy=True).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).distinct()
-    return docs.join(stored(leaks, "leaks"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__copy")), "left_anti")
+    return docs.join(bounded(stored(leaks, "leaks")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__copy")), "left_anti")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_held_out, read_table, stored, text_batches
+from .common import bounded, fold_held_out, read_table, stored, text_batches
 
 __all__ = ["EcocModel", "codewords", "drop_unidentified", "identify", "op1_language_id", "train"]
 
@@ -196,13 +196,13 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The stage: rows whose language is undetermined or ambiguous go; lang becomes the predicted one where it was null.
 
     Each row is judged by its own text. Only rows that go or lack a language are noted, by id and the text's hash, and written, so
-    that the join is broadcast where their size allows it and the texts stay where they are.
+    that the join is broadcast where their number allows it and the texts stay where they are.
     """
     copy = F.xxhash64(F.col("text").cast("string"))
     judged = identify(docs.select("doc_id", "text", copy.alias("__copy"), F.col("lang").isNull().alias("__bare")), train(docs), keep=("__copy", "__bare"))
     goes = (F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous")
     noted = judged.where(goes | F.col("__bare")).groupBy(F.col("doc_id").alias("__id"), "__copy").agg(F.bool_or(goes).alias("__goes"), F.min("lang_pred").alias("__lang"))
-    kept = docs.join(stored(noted, "languages"), F.col("doc_id").eqNullSafe(F.col("__id")) & (copy == F.col("__copy")), "left").where("__goes is null or not __goes")
+    kept = docs.join(bounded(stored(noted, "languages")), F.col("doc_id").eqNullSafe(F.col("__id")) & (copy == F.col("__copy")), "left").where("__goes is null or not __goes")
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffled, stored, text_batches
+from .common import bounded, read_table, shuffled, stored, text_batches
 from .components import connected_components
 
 __all__ = ["fingerprints", "near_duplicate_components", "near_links", "keep_one_of_each", "similar_links", "op9_simhash_near_dedup"]
@@ -154,19 +154,19 @@ def similar_links(docs: DataFrame, fps: DataFrame | None = None, text_column: st
     source = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
     fp_of = (fingerprints(docs.select(F.lit(0).alias("id"), text.alias("text")), "id") if fps is None else fps).select("copy", "fp").distinct()
     marked = source.mapInArrow(run, "copy long, n int, marks array<long>").where("marks is not null").dropDuplicates(["copy"])
-    flat = stored(marked.join(fp_of, "copy"), "marks").select(F.struct("copy", "fp", "n").alias("t"), F.explode("marks").alias("mark"))
+    flat = stored(marked.join(shuffled(fp_of), "copy"), "marks").select(F.struct("copy", "fp", "n").alias("t"), F.explode("marks").alias("mark"))
     ends = stored(flat.groupBy("mark").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo.copy < hi.copy"), "mark-ends")
-    met = flat.join(ends, "mark").select("t", F.explode(F.array("lo", "hi")).alias("o"))
+    met = flat.join(shuffled(ends), "mark").select("t", F.explode(F.array("lo", "hi")).alias("o"))
     apart = F.bit_count(F.col("t.fp").bitwiseXOR(F.col("o.fp"))) > max_bits
     met = met.where((F.col("t.copy") != F.col("o.copy")) & apart & (F.least("t.n", "o.n") >= least * F.greatest("t.n", "o.n")))
     first = F.col("t.copy") < F.col("o.copy")
     ordered = met.select(F.when(first, F.col("t")).otherwise(F.col("o")).alias("p"), F.when(first, F.col("o")).otherwise(F.col("t")).alias("q"))
     pairs = stored(ordered.select(F.col("p.copy").alias("x"), F.col("q.copy").alias("y"), F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), "mark-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct()
-    sets = stored(source.join(wanted, "copy", "left_semi").dropDuplicates(["copy"]).mapInArrow(shingles, "copy long, shingles array<long>"), "shingles")
+    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct(), "wanted")
+    sets = stored(source.join(bounded(wanted), "copy", "left_semi").dropDuplicates(["copy"]).mapInArrow(shingles, "copy long, shingles array<long>"), "shingles")
     one, two = (sets.select(F.col("copy").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("x", "y"))
     both = F.size(F.array_intersect("sx", "sy"))
-    near = pairs.join(one, "x").join(two, "y").withColumn("both", both).where(F.col("both") >= least * (F.size("sx") + F.size("sy") - F.col("both")))
+    near = pairs.join(shuffled(one), "x").join(shuffled(two), "y").withColumn("both", both).where(F.col("both") >= least * (F.size("sx") + F.size("sy") - F.col("both")))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -192,18 +192,18 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of near copies (by fingerprints, or five-word shingles of which 0.8 are shared), with docs' columns: that of the smallest doc_id (null last), of one id's that of the smallest hash of its text; of equal rows one.
 
     What goes is told by id and text, so a row never stays or goes for another one that has its id. The rows that go are
-    fewer than those that stay, and are written, so that the join is broadcast where their size allows it.
+    fewer than those that stay, and are written, so that the join is broadcast where their number allows it.
     """
     rows = near_duplicate_components(docs, similar=True).groupBy("root", F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.count(F.lit(1)).alias("n"))
     rows = stored(rows, "group-rows")
     order = F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__copy").alias("copy"))
     first = stored(rows.groupBy("root").agg(F.min(order).alias("first")), "group-firsts")
-    met = rows.join(first, "root").withColumn("stays", order == F.col("first"))
+    met = rows.join(shuffled(first), "root").withColumn("stays", order == F.col("first"))
     marked = stored(met.select("__id", "__copy", "n", "stays"), "group-marks")
     copy = F.xxhash64(F.col("text").cast("string"))
 
     def among(keys: DataFrame, how: str) -> DataFrame:
-        return docs.join(keys.select("__id", "__copy"), F.col("doc_id").eqNullSafe(F.col("__id")) & (copy == F.col("__copy")), how)
+        return docs.join(bounded(keys.select("__id", "__copy")), F.col("doc_id").eqNullSafe(F.col("__id")) & (copy == F.col("__copy")), how)
 
     gone, several = stored(marked.where("not stays or n > 1"), "group-gone"), stored(marked.where("stays and n > 1"), "group-several")
     out = among(gone, "left_anti")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from ratebook.llm import simhash
+from ratebook.llm import common, simhash
 
 
 def copies(rng, words, base, n, edits):
@@ -57,3 +57,22 @@ def test_texts_without_words(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "one")], "doc_id long, text string")
     assert simhash.similar_links(docs).collect() == [] and simhash.similar_links(docs.limit(0)).collect() == []
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == [1, 4]
+
+
+def test_what_follows_the_input_is_not_broadcast(spark, monkeypatch):
+    """Joins of the stage are by shuffles; only keys of a bounded number of rows may be broadcast to the texts."""
+    plans = []
+
+    def noted(df, name, keep=simhash.stored):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name)
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    texts = [t for _ in range(6) for t in copies(rng, words, rng.choices(words, k=200), 3, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "stored", noted)
+    monkeypatch.setattr(simhash, "bounded", lambda df: common.bounded(df, 3))
+    kept = simhash.keep_one_of_each(docs)
+    plans.append(("kept", kept._jdf.queryExecution().executedPlan().toString()))
+    assert [name for name, p in plans if "Broadcast" in p] == [] and kept.count() == 6
