@@ -10,16 +10,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, read_table, shuffled, stored, text_batches
+from .common import bitmap_has, bounded, hashed_bitmap, read_table, shuffled, stored, text_batches
 from .components import connected_components
 
-__all__ = ["fingerprints", "near_duplicate_components", "near_links", "keep_one_of_each", "similar_links", "op9_simhash_near_dedup"]
+__all__ = ["fingerprints", "near_duplicate_components", "near_links", "keep_one_of_each", "remaining_links", "similar_links", "op9_simhash_near_dedup"]
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 #: Of links between texts that the fingerprint tells apart: words of a shingle, the share of shingles in common, marks of a text and shingles of a mark.
 SIMILAR_SHINGLE, SIMILAR, MARKS, SAMPLE = 5, 0.8, 12, 5
+#: Counters of hashes that put shingles in order, and blocks in which tasks send them.
+COUNTERS, COUNTER_BLOCKS = 1 << 18, 64
 
 
 def _hashes(text: str, k: int, seed: int) -> np.ndarray:
@@ -123,13 +125,31 @@ def _marks(hashes: np.ndarray) -> list[int]:
     return out
 
 
+def _verified(source: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b) of the stored pairs (x, y, a, b) whose texts x and y, told by copy in source (copy, text), share `least` of their k-word shingles or more."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_batches(batch, "text", 1_000_000):
+                sets = [np.unique(_hashes(t, k, SEED)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("copy").slice(start, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["copy", "shingles"])
+
+    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct(), "wanted")
+    sets = stored(source.join(bounded(wanted), "copy", "left_semi").dropDuplicates(["copy"]).mapInArrow(shingles, "copy long, shingles array<long>"), "shingles")
+    one, two = (sets.select(F.col("copy").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("x", "y"))
+    both = F.size(F.array_intersect("sx", "sy"))
+    near = pairs.join(shuffled(one), "x").join(shuffled(two), "y").withColumn("both", both).where(F.col("both") >= least * (F.size("sx") + F.size("sy") - F.col("both")))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_links(docs: DataFrame, fps: DataFrame | None = None, text_column: str = "text", k: int = SIMILAR_SHINGLE, least: float = SIMILAR, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) pairs of fingerprints more than max_bits apart, which near_links leaves, of texts that share `least` of their k-word shingles or more.
 
     A fingerprint of 64 bits tells texts apart that differ in a few words, so these links are found by fingerprints of small samples: each
     text has several marks, each of its few first shingles in an order of its own, and texts at 0.8 have some mark in common but for about one
     in a hundred pairs. Of those with a common mark all meet the one with the smallest and the one with the greatest hash, so no pairs within a group are
-    made, and pairs that meet are verified by their whole sets of shingles, where the sets' sizes allow it. Different texts only are compared; null and
+    made, and pairs that meet are verified by their whole sets of shingles, where the sets' sizes allow it. What is missed here
+    remaining_links finds between the groups that come of these links. Different texts only are compared; null and
     blank ones have no marks. fps is fingerprints() of docs, if it is there already.
     """
 
@@ -144,12 +164,6 @@ def similar_links(docs: DataFrame, fps: DataFrame | None = None, text_column: st
                     found[i] = _marks(hashes) if hashes.size else None
             yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(sizes), pa.array(found, pa.list_(pa.int64()))], names=["copy", "n", "marks"])
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in text_batches(batch, "text", 1_000_000):
-                sets = [np.unique(_hashes(t, k, SEED)).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("copy").slice(start, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["copy", "shingles"])
-
     text = F.col(text_column).cast("string")
     source = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
     fp_of = (fingerprints(docs.select(F.lit(0).alias("id"), text.alias("text")), "id") if fps is None else fps).select("copy", "fp").distinct()
@@ -162,18 +176,96 @@ def similar_links(docs: DataFrame, fps: DataFrame | None = None, text_column: st
     first = F.col("t.copy") < F.col("o.copy")
     ordered = met.select(F.when(first, F.col("t")).otherwise(F.col("o")).alias("p"), F.when(first, F.col("o")).otherwise(F.col("t")).alias("q"))
     pairs = stored(ordered.select(F.col("p.copy").alias("x"), F.col("q.copy").alias("y"), F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), "mark-pairs")
-    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct(), "wanted")
-    sets = stored(source.join(bounded(wanted), "copy", "left_semi").dropDuplicates(["copy"]).mapInArrow(shingles, "copy long, shingles array<long>"), "shingles")
-    one, two = (sets.select(F.col("copy").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("x", "y"))
-    both = F.size(F.array_intersect("sx", "sy"))
-    near = pairs.join(shuffled(one), "x").join(shuffled(two), "y").withColumn("both", both).where(F.col("both") >= least * (F.size("sx") + F.size("sy") - F.col("both")))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _verified(source, pairs, k, least)
+
+
+def _order_counts(source: DataFrame, k: int) -> np.ndarray:
+    """How often the shingles of each of COUNTERS buckets of hashes stand in the texts; tasks send their sums in blocks, so the driver gets as much whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for _, texts in text_batches(batch, "text", 1_000_000):
+                slots = np.concatenate([np.unique(_hashes(text, k, SEED)) & np.uint64(COUNTERS - 1) for text in texts])
+                counts += np.bincount(slots.astype(np.int64), minlength=COUNTERS)
+        blocks = [(i, part.astype(np.uint32).tobytes()) for i, part in enumerate(np.split(counts, COUNTER_BLOCKS)) if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=["block", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(*(batch.column(c).to_pylist() for c in ("block", "counts")), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x, dtype=np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+
+    parts = source.select("text").mapInArrow(run, "block int, counts binary").repartition(F.col("block")).mapInArrow(total, "block int, counts binary").toArrow()
+    out = np.zeros((COUNTER_BLOCKS, COUNTERS // COUNTER_BLOCKS), dtype=np.int64)
+    for i, x in zip(parts["block"].to_pylist(), parts["counts"].to_pylist(), strict=True):
+        out[i] = np.frombuffer(x, dtype=np.int64)
+    return out.ravel()
+
+
+def remaining_links(docs: DataFrame, groups: DataFrame, text_column: str = "text", k: int = SIMILAR_SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """(a, b) pairs of different roots that have texts which share `least` of their k-word shingles or more; none is lost.
+
+    groups is (copy, root), the group of each different text. All texts' shingles are put in one order, rare ones first. Of two texts that are similar enough the
+    first shingle they share is among the first n - least * n + 1 of the larger one, and so many of the smaller one's first as a partner of its
+    size or more leaves; so texts meet by these. Shingles that a single group has are dropped first, and pairs are made between groups only, so
+    a large group of near copies makes none within itself. Pairs that meet are verified by their whole sets. The order is by counts of buckets of hashes, and any order finds all.
+    """
+    text = F.col(text_column).cast("string")
+    source = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
+    order = docs.sparkSession.sparkContext.broadcast(_order_counts(source, k))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = order.value
+        for batch in batches:
+            for start, texts in text_batches(batch, "text", 1_000_000):
+                sizes, own, tokens = [], [], []
+                for t in texts:
+                    h = np.unique(_hashes(t, k, SEED))
+                    n = h.size
+                    ends = [n - int(np.ceil(share * n - 1e-9)) + 1 if n else 0 for share in (least, 2 * least / (1 + least))]
+                    sizes.append(n)
+                    own.append(ends[1])
+                    tokens.append(h[np.lexsort((h, counts[h & np.uint64(COUNTERS - 1)]))[: ends[0]]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("copy").slice(start, len(texts)), pa.array(sizes, pa.int32()), pa.array(own, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["copy", "n", "own", "tokens"])
+
+    heads = source.mapInArrow(first, "copy long, n int, own int, tokens array<long>").where("n > 0").dropDuplicates(["copy"])
+    heads = stored(heads.join(shuffled(groups), "copy"), "heads")
+    several = heads.select("root", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    several = stored(several.select("token"), "shared-shingles")
+    bitmap = docs.sparkSession.sparkContext.broadcast(hashed_bitmap(several, "token"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            sizes = np.diff(lists.offsets.to_numpy())
+            tokens = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(tokens.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(bitmap_has(bitmap.value, tokens.view(np.uint64)))
+            row = row[at]
+            owned = place[at] < batch.column("own").to_numpy()[row]
+            copy, root, n = (batch.column(c).take(pa.array(row)) for c in ("copy", "root", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), root, copy, n, pa.array(owned)], names=["token", "root", "copy", "n", "owned"])
+
+    met = heads.mapInArrow(shared, "token long, root long, copy long, n int, owned boolean").join(shuffled(several), "token", "left_semi")
+    met = stored(met, "shared-heads")
+    roots = met.select("token", "root").distinct()
+    two = roots.withColumnRenamed("root", "a").join(shuffled(roots.withColumnRenamed("root", "b")), "token").where("a < b")
+    x = met.select("token", F.col("root").alias("a"), F.struct("copy", "n", "owned").alias("p"))
+    y = met.select("token", F.col("root").alias("b"), F.struct("copy", "n", "owned").alias("q"))
+    fits = ((F.col("p.owned") & (F.col("p.n") <= F.col("q.n"))) | (F.col("q.owned") & (F.col("q.n") <= F.col("p.n")))) & (F.least("p.n", "q.n") >= least * F.greatest("p.n", "q.n"))
+    pairs = two.join(shuffled(x), ["token", "a"]).join(shuffled(y), ["token", "b"]).where(fits)
+    pairs = stored(pairs.select(F.col("p.copy").alias("x"), F.col("q.copy").alias("y"), "a", "b").distinct(), "shared-pairs")
+    return _verified(source, pairs, k, least)
 
 
 def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, similar: bool = False) -> DataFrame:
     """(doc_id, copy, fp, component_id, root) for every row of docs; component_id is the smallest id that links lead to, its own included, root the smallest fingerprint.
 
-    similar adds the links of similar_links to those of the fingerprints; it needs k and seed as they are by default.
+    similar adds the links of similar_links and then those of remaining_links to those of the fingerprints, so that no pair of similar texts is left in two components; it needs k and seed as they are by default.
     Copies share a fingerprint and are one class from the start: links are sought between distinct fingerprints only.
     An empty table gives no rows; a null id stays null and is never a component's id unless the component has no other.
     """
@@ -181,6 +273,11 @@ def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_c
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
     links = near_links(classes.select("fp"), max_bits)
     roots = connected_components(links.union(similar_links(docs, fps, text_column)) if similar else links)
+    if similar:
+        found = fps.select("copy", "fp").distinct().join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left")
+        more = stored(remaining_links(docs, found.select("copy", F.coalesce("root", "fp").alias("root")), text_column), "remaining-links")
+        if not more.isEmpty():
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     joined = classes.join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written, so that both sides of the join are shuffles, of which adaptive execution splits a giant component's
     merged = stored(joined.groupBy("root").agg(F.min("least_id").alias("component_id")), "merged")

@@ -72,7 +72,38 @@ def test_what_follows_the_input_is_not_broadcast(spark, monkeypatch):
     texts = [t for _ in range(6) for t in copies(rng, words, rng.choices(words, k=200), 3, 1)]
     docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
     monkeypatch.setattr(simhash, "stored", noted)
-    monkeypatch.setattr(simhash, "bounded", lambda df: common.bounded(df, 3))
+    monkeypatch.setattr(simhash, "bounded", lambda df: common.bounded(df, -1))
     kept = simhash.keep_one_of_each(docs)
     plans.append(("kept", kept._jdf.queryExecution().executedPlan().toString()))
     assert [name for name, p in plans if "Broadcast" in p] == [] and kept.count() == 6
+
+
+def test_no_link_is_lost_where_marks_miss(spark, monkeypatch):
+    """Without any link by marks or fingerprints the shingles' heads find every pair of different groups; with groups joined they make none within these."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(900)]
+    passage = rng.choices(words, k=50)
+    texts = [t for _ in range(25) for t in copies(rng, words, rng.choices(words, k=rng.choice([12, 60, 200])), 4, rng.choice([1, 2, 3]))]
+    base = rng.choices(words, k=90)
+    texts += [" ".join(base[: 90 - i]) for i in range(0, 40, 3)]  # sizes at and about 0.8 of one another
+    texts += [" ".join(rng.choices(words, k=60) + passage) for _ in range(40)] + ["one two", "one two three", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, texts[0])], "doc_id long, text string")
+    copy_of = {r.text: r.copy for r in docs.select("text", F.xxhash64("text").alias("copy")).collect() if r.text}
+    sets = {c: np.unique(simhash._hashes(t, 5, 42)) for t, c in copy_of.items()}
+
+    def near(a, b):
+        both = np.intersect1d(sets[a], sets[b]).size
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    own = sorted(sets)
+    want = {(a, b) for i, b in enumerate(own) for a in own[:i] if near(a, b)}
+    groups = spark.createDataFrame([(c, c) for c in own], "copy long, root long")
+    assert {tuple(r) for r in simhash.remaining_links(docs, groups).collect()} == want and len(want) > 90
+    grouped = {c: min([a for a, b in want if b == c], default=c) for c in own}
+    got = {tuple(r) for r in simhash.remaining_links(docs, spark.createDataFrame(list(grouped.items()), "copy long, root long")).collect()}
+    assert got == {tuple(sorted((grouped[a], grouped[b]))) for a, b in want if grouped[a] != grouped[b]}
+
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "similar_links", lambda *_: none)
+    root = {r.copy: r.root for r in simhash.near_duplicate_components(docs, similar=True).collect()}
+    assert all(root[a] == root[b] for a, b in want)
