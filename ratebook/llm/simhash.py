@@ -125,8 +125,40 @@ def _marks(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def _verified(source: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """(a, b) of the stored pairs (x, y, a, b) whose texts x and y, told by copy in source (copy, text), share `least` of their k-word shingles or more."""
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits, a power of 2 and as many as hashes at least, each telling whether an odd number of the distinct hashes fall on it.
+
+    Two sets differ in as many hashes at least as their bits differ; xored halves are the bits of half the size.
+    """
+    size = 64 << max(0, (hashes.size - 1).bit_length() - 6)
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_share(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """pairs (x, y, ...) without those that the sizes or parity bits of their sets of shingles rule out; sketches is (copy, n, bits). No pair that shares `least` goes."""
+    one, two = (sketches.select(F.col("copy").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in ("x", "y"))
+
+    def xor(a: Column, b: Column) -> Column:
+        return a.bitwiseXOR(b)
+
+    def folded(bits: Column, words: Column) -> Column:
+        return F.when(F.size(bits) > words, F.zip_with(F.slice(bits, 1, words), F.slice(bits, words + 1, words), xor)).otherwise(bits)
+
+    x, y = F.col("bitsx"), F.col("bitsy")
+    words = F.least(F.size(x), F.size(y))
+    differ = F.aggregate(F.zip_with(folded(x, words), folded(y, words), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda n, m: n + m)
+    sizes = F.least("nx", "ny") >= least * F.greatest("nx", "ny")  # so one has twice the other's bits at most
+    near = sizes & (differ <= (F.col("nx") + F.col("ny")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6))
+    return pairs.join(shuffled(one), "x").join(shuffled(two), "y").where(near).select(*pairs.columns)
+
+
+def _verified(source: DataFrame, pairs: DataFrame, sketches: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b) of the stored pairs (x, y, a, b) whose texts x and y, told by copy in source (copy, text), share `least` of their k-word shingles or more.
+
+    Whole sets travel only for pairs that _may_share leaves, about those that share 0.7.
+    """
+    pairs = stored(_may_share(pairs, sketches, least), "likely-pairs")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,19 +188,22 @@ def similar_links(docs: DataFrame, fps: DataFrame | None = None, text_column: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list[int] | None] = [None] * batch.num_rows
+            bits: list[np.ndarray | None] = [None] * batch.num_rows
             sizes = np.zeros(batch.num_rows, dtype=np.int32)
             for start, texts in text_batches(batch, "text"):
                 for i, text in enumerate(texts, start):
                     hashes = np.unique(_hashes(text, k, SEED))
                     sizes[i] = hashes.size
-                    found[i] = _marks(hashes) if hashes.size else None
-            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(sizes), pa.array(found, pa.list_(pa.int64()))], names=["copy", "n", "marks"])
+                    if hashes.size:
+                        found[i], bits[i] = _marks(hashes), _parity(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(sizes), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, found))], names=["copy", "n", "bits", "marks"])
 
     text = F.col(text_column).cast("string")
     source = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
     fp_of = (fingerprints(docs.select(F.lit(0).alias("id"), text.alias("text")), "id") if fps is None else fps).select("copy", "fp").distinct()
-    marked = source.mapInArrow(run, "copy long, n int, marks array<long>").where("marks is not null").dropDuplicates(["copy"])
-    flat = stored(marked.join(shuffled(fp_of), "copy"), "marks").select(F.struct("copy", "fp", "n").alias("t"), F.explode("marks").alias("mark"))
+    marked = source.mapInArrow(run, "copy long, n int, bits array<long>, marks array<long>").where("marks is not null").dropDuplicates(["copy"])
+    marked = stored(marked.join(shuffled(fp_of), "copy"), "marks")
+    flat = marked.select(F.struct("copy", "fp", "n").alias("t"), F.explode("marks").alias("mark"))
     ends = stored(flat.groupBy("mark").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo.copy < hi.copy"), "mark-ends")
     met = flat.join(shuffled(ends), "mark").select("t", F.explode(F.array("lo", "hi")).alias("o"))
     apart = F.bit_count(F.col("t.fp").bitwiseXOR(F.col("o.fp"))) > max_bits
@@ -176,7 +211,7 @@ def similar_links(docs: DataFrame, fps: DataFrame | None = None, text_column: st
     first = F.col("t.copy") < F.col("o.copy")
     ordered = met.select(F.when(first, F.col("t")).otherwise(F.col("o")).alias("p"), F.when(first, F.col("o")).otherwise(F.col("t")).alias("q"))
     pairs = stored(ordered.select(F.col("p.copy").alias("x"), F.col("q.copy").alias("y"), F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), "mark-pairs")
-    return _verified(source, pairs, k, least)
+    return _verified(source, pairs, marked.select("copy", "n", "bits"), k, least)
 
 
 def _order_counts(source: DataFrame, k: int) -> np.ndarray:
@@ -209,9 +244,10 @@ def remaining_links(docs: DataFrame, groups: DataFrame, text_column: str = "text
     """(a, b) pairs of different roots that have texts which share `least` of their k-word shingles or more; none is lost.
 
     groups is (copy, root), the group of each different text. All texts' shingles are put in one order, rare ones first. Of two texts that are similar enough the
-    first shingle they share is among the first n - least * n + 1 of the larger one, and so many of the smaller one's first as a partner of its
-    size or more leaves; so texts meet by these. Shingles that a single group has are dropped first, and pairs are made between groups only, so
-    a large group of near copies makes none within itself. Pairs that meet are verified by their whole sets. The order is by counts of buckets of hashes, and any order finds all.
+    first shingle they share is among the first n - least * n + 1 of either, and what stands from it on in either is as many as they must share;
+    so texts meet by these. Shingles that a single group has are dropped first, and pairs are made between groups only, and only where the sizes
+    and places of a shingle in both allow it, so a large group of near copies makes none within itself. Pairs that meet are verified by their whole sets.
+    The order is by counts of buckets of hashes, and any order finds all.
     """
     text = F.col(text_column).cast("string")
     source = docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
@@ -221,17 +257,17 @@ def remaining_links(docs: DataFrame, groups: DataFrame, text_column: str = "text
         counts = order.value
         for batch in batches:
             for start, texts in text_batches(batch, "text", 1_000_000):
-                sizes, own, tokens = [], [], []
+                sizes, bits, tokens = [], [], []
                 for t in texts:
                     h = np.unique(_hashes(t, k, SEED))
                     n = h.size
-                    ends = [n - int(np.ceil(share * n - 1e-9)) + 1 if n else 0 for share in (least, 2 * least / (1 + least))]
+                    end = n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
                     sizes.append(n)
-                    own.append(ends[1])
-                    tokens.append(h[np.lexsort((h, counts[h & np.uint64(COUNTERS - 1)]))[: ends[0]]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("copy").slice(start, len(texts)), pa.array(sizes, pa.int32()), pa.array(own, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["copy", "n", "own", "tokens"])
+                    bits.append(_parity(h) if n else None)
+                    tokens.append(h[np.lexsort((h, counts[h & np.uint64(COUNTERS - 1)]))[:end]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("copy").slice(start, len(texts)), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, tokens))], names=["copy", "n", "bits", "tokens"])
 
-    heads = source.mapInArrow(first, "copy long, n int, own int, tokens array<long>").where("n > 0").dropDuplicates(["copy"])
+    heads = source.mapInArrow(first, "copy long, n int, bits array<long>, tokens array<long>").where("n > 0").dropDuplicates(["copy"])
     heads = stored(heads.join(shuffled(groups), "copy"), "heads")
     several = heads.select("root", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     several = stored(several.select("token"), "shared-shingles")
@@ -246,20 +282,27 @@ def remaining_links(docs: DataFrame, groups: DataFrame, text_column: str = "text
             place = np.arange(tokens.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             at = np.flatnonzero(bitmap_has(bitmap.value, tokens.view(np.uint64)))
             row = row[at]
-            owned = place[at] < batch.column("own").to_numpy()[row]
             copy, root, n = (batch.column(c).take(pa.array(row)) for c in ("copy", "root", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), root, copy, n, pa.array(owned)], names=["token", "root", "copy", "n", "owned"])
+            rest = (n.to_numpy() - place[at]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), root, copy, n, pa.array(rest)], names=["token", "root", "copy", "n", "rest"])
 
-    met = heads.mapInArrow(shared, "token long, root long, copy long, n int, owned boolean").join(shuffled(several), "token", "left_semi")
+    met = heads.select("copy", "root", "n", "tokens").mapInArrow(shared, "token long, root long, copy long, n int, rest int").join(shuffled(several), "token", "left_semi")
     met = stored(met, "shared-heads")
-    roots = met.select("token", "root").distinct()
-    two = roots.withColumnRenamed("root", "a").join(shuffled(roots.withColumnRenamed("root", "b")), "token").where("a < b")
-    x = met.select("token", F.col("root").alias("a"), F.struct("copy", "n", "owned").alias("p"))
-    y = met.select("token", F.col("root").alias("b"), F.struct("copy", "n", "owned").alias("q"))
-    fits = ((F.col("p.owned") & (F.col("p.n") <= F.col("q.n"))) | (F.col("q.owned") & (F.col("q.n") <= F.col("p.n")))) & (F.least("p.n", "q.n") >= least * F.greatest("p.n", "q.n"))
-    pairs = two.join(shuffled(x), ["token", "a"]).join(shuffled(y), ["token", "b"]).where(fits)
+    roots = met.groupBy("token", "root").agg(F.max("rest").alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    one, other = (roots.select("token", F.col("root").alias(r), F.struct("rest", "lo", "hi").alias(c)) for r, c in (("a", "p"), ("b", "q")))
+
+    def fits(small: str, large: str) -> Column:
+        """Of texts, or groups with these smallest and largest sizes: the sizes are near enough, and both have enough shingles left from this one on."""
+        must = F.lit(least / (1 + least)) * (F.col(f"p.{small}") + F.col(f"q.{small}")) - F.lit(1e-6)
+        sizes = (F.col(f"p.{large}") >= least * F.col(f"q.{small}")) & (F.col(f"q.{large}") >= least * F.col(f"p.{small}"))
+        return sizes & (F.col("p.rest") >= must) & (F.col("q.rest") >= must)
+
+    two = one.join(shuffled(other), "token").where((F.col("a") < F.col("b")) & fits("lo", "hi")).select("token", "a", "b")
+    x = met.select("token", F.col("root").alias("a"), F.struct("copy", "n", "rest").alias("p"))
+    y = met.select("token", F.col("root").alias("b"), F.struct("copy", "n", "rest").alias("q"))
+    pairs = two.join(shuffled(x), ["token", "a"]).join(shuffled(y), ["token", "b"]).where(fits("n", "n"))
     pairs = stored(pairs.select(F.col("p.copy").alias("x"), F.col("q.copy").alias("y"), "a", "b").distinct(), "shared-pairs")
-    return _verified(source, pairs, k, least)
+    return _verified(source, pairs, heads.select("copy", "n", "bits"), k, least)
 
 
 def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, similar: bool = False) -> DataFrame:

@@ -107,3 +107,38 @@ def test_no_link_is_lost_where_marks_miss(spark, monkeypatch):
     monkeypatch.setattr(simhash, "similar_links", lambda *_: none)
     root = {r.copy: r.root for r in simhash.near_duplicate_components(docs, similar=True).collect()}
     assert all(root[a] == root[b] for a, b in want)
+
+
+def test_whole_sets_travel_for_likely_pairs_only(spark, monkeypatch):
+    rng = random.Random(5)
+    blocks = [[f"b{i}w{rng.randrange(10**6)}" for _ in range(150)] for i in range(30)]
+    ring = [" ".join(blocks[i] + blocks[(i + 1) % 30]) for i in range(30)]  # neighbours share a third of their shingles, none of which is rarer than others
+    like = [f"c{i}" for i in range(300)]
+    texts = [*ring, " ".join(like), " ".join([*like[:-1], "other"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("copy", F.xxhash64("text"))
+    rows, stored = {}, simhash.stored
+
+    def counted(df, name, **options):
+        out = stored(df, name, **options)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    links = simhash.remaining_links(docs, docs.select("copy", F.col("doc_id").alias("root"))).collect()
+    assert [tuple(r) for r in links] == [(30, 31)] and rows["shared-pairs"] > 1 and rows["shingles"] == 2
+
+
+def test_parity_rules_out_no_similar_pair(spark):
+    rng = np.random.default_rng(3)
+    rows, sketches = [], []
+    for i in range(400):
+        n = int(rng.integers(1, 700))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.concatenate((x[: rng.integers(0, x.size + 1)], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 3)), dtype=np.uint64)))
+        y = np.unique(y) if y.size else x
+        rows.append((2 * i, 2 * i + 1, float(np.intersect1d(x, y).size / np.union1d(x, y).size)))
+        sketches += [(2 * i + j, int(h.size), simhash._parity(h).tolist()) for j, h in enumerate((x, y))]
+    pairs = spark.createDataFrame(rows, "x long, y long, shared double")
+    left = {r.x for r in simhash._may_share(pairs, spark.createDataFrame(sketches, "copy long, n int, bits array<long>"), 0.8).collect()}
+    assert {x for x, _, shared in rows if shared >= 0.8} <= left and not {x for x, _, shared in rows if shared < 0.3 and sketches[x][1] > 100} & left
+    assert len(left) < 400 and sum(shared >= 0.8 for *_, shared in rows) > 20
