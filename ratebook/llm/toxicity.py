@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import language_id
 from .common import bounded, fold_held_out, read_table, stored, text_batches
 
-__all__ = ["ToxicityModel", "op6_toxicity", "score", "train"]
+__all__ = ["ToxicityModel", "op6_toxicity", "score", "train", "trained"]
 
 #: Buckets of the hashed embeddings, their size, filters of each width, and the widths in words.
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
@@ -181,18 +181,30 @@ def _threshold(bins: np.ndarray, n: np.ndarray, hits: np.ndarray) -> float:
     return float(np.clip((bins[best] / BINS + after) / 2, 1e-3, 1 - 1e-3))
 
 
-def _calibrate(model: ToxicityModel, rows: DataFrame) -> None:
-    """Thresholds from all rows (y, text), by predicted language: counts of BINS bins of probability for each are what reaches the driver."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, model: ToxicityModel, id_column: str, text_column: str) -> DataFrame:
+    """(id, copy, p, lang) of every whole text: a hash of it, the probability before calibration and the predicted language. Texts are read where they are and not given back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, hasher = shared.value, _Hasher()
         for batch in batches:
             for start, texts in text_batches(batch, "text", 1_500_000):
-                bins = np.minimum((m.probability([hasher(t) for t in texts]) * BINS).astype(np.int64), BINS - 1)
-                yield pa.RecordBatch.from_arrays([batch.column("y").slice(start, len(texts)), pa.array(_languages(m.languages, texts), pa.string()), pa.array(bins)], names=["y", "lang", "bin"])
+                own = (batch.column(c).slice(start, len(texts)) for c in ("id", "copy"))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(m.probability([hasher(t) for t in texts]).astype(np.float64)), pa.array(_languages(m.languages, texts), pa.string())], names=["id", "copy", "p", "lang"])
+
+    text = F.col(text_column).cast("string")
+    picked = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, copy long, p double, lang string")
+
 
-    counts = rows.mapInArrow(run, "y int, lang string, bin long").groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).toArrow()
+def _calibrate(model: ToxicityModel, labelled: DataFrame, scored: DataFrame) -> None:
+    """Thresholds from all labelled rows (id, y), by predicted language: counts of BINS bins of probability for each are what reaches the driver.
+
+    scored is _scored() of the documents, so that labels meet a few numbers and no text is shuffled. Of rows that repeat an id the one with the least hash of its text counts.
+    """
+    met = scored.join(bounded(labelled), "id").groupBy("id", "y").agg(F.min(F.struct("copy", "p", "lang")).alias("s"))
+    cut = F.least(F.floor(F.col("s.p") * BINS), F.lit(BINS - 1)).cast("long")
+    counts = met.select("y", F.col("s.lang").alias("lang"), cut.alias("bin")).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).toArrow()
     langs = np.array(counts["lang"].to_pylist(), dtype=object)
     bins, n, hits = (counts[c].to_numpy().astype(np.int64) for c in ("bin", "n", "hits"))
     if not hits.sum():
@@ -206,16 +218,22 @@ def _calibrate(model: ToxicityModel, rows: DataFrame) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", lang_column: str = "lang", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, seed: int = 11) -> ToxicityModel | None:
+    """The model of trained()."""
+    return trained(docs, labels, id_column, text_column, label_column, lang_column, max_positive, max_negative, seed)[0]
+
+
+def trained(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", lang_column: str = "lang", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, seed: int = 11) -> tuple[ToxicityModel | None, DataFrame | None]:
     """A model from labelled documents that aren't held out: weights from about max_positive and max_negative of them by a hash of the id, less a fifth.
 
     All others, a fifth of the labelled documents at least, set the thresholds, by predicted language. A document's label is the
     largest of its labels; null labels count as none. Of rows that repeat an id only the text with the least hash is taken. None without documents of both labels.
+    The second value has every document's (id, copy, p, lang) before calibration, written: score() needn't read the texts again.
     """
     own = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & ~fold_held_out(F.col(id_column)))
     own = own.groupBy(F.col(id_column).alias("id")).agg((F.max(label_column) > 0).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        return None
+        return None, None
     lot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
     share = {y: int(1_000_000 * min(1.0, m / counts[y])) + 1 for y, m in ((0, max_negative), (1, max_positive))}
     aside = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(5)) == 0
@@ -229,41 +247,38 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
-    def once(marked: DataFrame) -> DataFrame:
-        return texts.join(marked, "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-
-    table = once(F.broadcast(own.where("learn").drop("learn"))).mapInArrow(run, "id string, y int, ids binary").toArrow()  # the sample is bounded
+    sample = texts.join(F.broadcast(own.where("learn").drop("learn")), "id")
+    table = sample.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).mapInArrow(run, "id string, y int, ids binary").toArrow()  # the sample is bounded
     rows = sorted(zip(*(table[c].to_pylist() for c in ("id", "y", "ids")), strict=True))
     x, y = [np.frombuffer(r[2], dtype=np.int32).reshape(-1, 3) for r in rows], np.array([r[1] for r in rows])
     if not y.size or y.min() == y.max():
-        return None
+        return None, None
     rng = np.random.default_rng(seed)
     model = _initial(x, y, language_id.train(docs, id_column, text_column, lang_column), rng)
     _learn(model, x, y, rng)
-    _calibrate(model, once(bounded(stored(own.where("not learn").drop("learn"), "calibration"))))
-    return model
+    scored = stored(_scored(docs, model, id_column, text_column), "scored")
+    _calibrate(model, stored(own.where("not learn").drop("learn"), "calibration"), scored)
+    return model, scored
 
 
-def score(docs: DataFrame, model: ToxicityModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, score, lang_pred) of every whole text: 0.5 is its predicted language's threshold. Null counts as empty; without a model all score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: ToxicityModel | None, id_column: str = "doc_id", text_column: str = "text", scored: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score, lang_pred) of every whole text: 0.5 is its predicted language's threshold. Null counts as empty; without a model all score 0. scored is what trained() gave for these docs, if it is there."""
+    if model is None:
+        return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(language_id.UNDETERMINED).alias("lang_pred"))
+    scored = _scored(docs, model, id_column, text_column) if scored is None else scored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher = shared.value, _Hasher()
         for batch in batches:
-            scores, langs = np.zeros(batch.num_rows), [language_id.UNDETERMINED] * batch.num_rows
-            for start, texts in text_batches(batch, "text", 1_500_000) if m else ():
-                end = start + len(texts)
-                langs[start:end] = _languages(m.languages, texts)
-                scores[start:end] = m.calibrated(m.probability([hasher(t) for t in texts]), langs[start:end])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(scores, 0, 1)), pa.array(langs, pa.string())], names=["doc_id", "score", "lang_pred"])
+            moved = shared.value.calibrated(batch.column("p").to_numpy(), batch.column("lang").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(moved, 0, 1)), batch.column("lang")], names=["doc_id", "score", "lang_pred"])
 
-    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, score double, lang_pred string")
+    shared = docs.sparkSession.sparkContext.broadcast(ToxicityModel(*[np.empty(0)] * 4, 0.0, None, model.thresholds, model.common))
+    return scored.select(F.col("id").cast("long").alias("doc_id"), "p", "lang").mapInArrow(run, "doc_id long, score double, lang_pred string")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, by a model of the labelled documents that aren't held out."""
     docs = read_table(spark, sf_dir, "documents")
-    found = score(docs, train(docs, read_table(spark, sf_dir, "labels")))
+    model, scored = trained(docs, read_table(spark, sf_dir, "labels"))
+    found = score(docs, model, scored=scored)
     return found.select("doc_id", fold_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_pred")

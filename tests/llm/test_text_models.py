@@ -219,3 +219,20 @@ def test_threshold_by_all_cuts():
         f1 = [2 * hits[i:].sum() / (n[i:].sum() + hits.sum()) for i in range(12)]
         above = bins / toxicity.BINS >= t - 1e-9
         assert abs(2 * hits[above].sum() / (n[above].sum() + hits.sum()) - max(f1)) < 1e-9 or t in (1e-3, 1 - 1e-3)
+
+
+def test_toxicity_thresholds_need_no_second_look_at_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["swine", "fool"] if i % 3 == 0 else ["garden", "river"], k=30)), "en") for i in range(600)]
+    docs = spark.createDataFrame(rows + [(3, None, "en"), (4, "river", "en")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    seen, calls = [], []
+    calibrate, scored = toxicity._calibrate, toxicity._scored
+    monkeypatch.setattr(toxicity, "_calibrate", lambda model, labelled, found: seen.append((labelled.columns, found.columns, found.count())) or calibrate(model, labelled, found))
+    monkeypatch.setattr(toxicity, "_scored", lambda *a: calls.append(1) or scored(*a))
+    monkeypatch.setattr(toxicity, "read_table", lambda spark, sf_dir, name: {"documents": docs, "labels": marks}[name])
+    got = sorted((r.doc_id, r.score) for r in toxicity.op6_toxicity(spark, "").collect())
+    assert len(calls) == 1 and seen == [(["id", "y"], ["id", "copy", "p", "lang"], 602)]
+    model = toxicity.train(docs, marks)
+    assert got == sorted((r.doc_id, r.score) for r in toxicity.score(docs, model).collect()) and model.thresholds
+    assert sum((s >= 0.5) == (i % 3 == 0) for i, s in got) >= 595
