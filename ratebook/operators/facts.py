@@ -10,6 +10,8 @@ from ..functions.packing import first_where, greedy_starts, let, slices
 __all__ = ["batch_rules", "fact_batches", "fact_uses", "resolve_facts", "rule_conditions", "rule_units", "units_of", "with_facts"]
 
 BATCH = 40
+#: Rules of a call up to which a fold that copies its list is quicker than jump pointers.
+FEW = 64
 
 
 def resolve_facts(candidates: DataFrame, decisions: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -17,14 +19,30 @@ def resolve_facts(candidates: DataFrame, decisions: DataFrame, failed: DataFrame
 
     candidates has call_id, charge_id, rule and overrides map<string,string>; decisions call_id, charge_id, fact, value, pos, of
     which the last counts. Facts that no rule of the call declares are dropped; facts without any value are absent. failed
-    (call_id, charge_id) are the charges whose batch wasn't answered: nothing but overrides is known of their facts.
+    (call_id, charge_id) are the charges whose batch wasn't answered: nothing but overrides is known of their facts. Facts are
+    resolved within the row of their charge, so the many facts aren't shuffled by themselves; inputs that are dealt by call_id and charge_id aren't dealt again.
     """
-    wanted = _with_failed(candidates, failed).select("call_id", "charge_id", "overrides", "__failed", F.explode("rule.facts").alias("f")).select("call_id", "charge_id", "overrides", "__failed", F.col("f.name").alias("fact"), F.col("f.default_value").alias("default_value"))
-    last = decisions.groupBy("call_id", "charge_id", "fact").agg(F.max_by("value", "pos").alias("decided"))
-    joined = wanted.join(last, ["call_id", "charge_id", "fact"], "left")
-    override, answered = F.try_element_at("overrides", F.col("fact")), ~F.col("__failed")
-    source = F.when(override.isNotNull(), "override").when(answered & F.col("decided").isNotNull(), "decision").when(answered & F.col("default_value").isNotNull(), "default")
-    return joined.select("call_id", "charge_id", "fact", F.coalesce(override, "decided", "default_value").alias("value"), source.alias("source")).where("source is not null")
+    joined = _with_failed(candidates, failed).join(_stated(decisions), ["call_id", "charge_id"], "left")
+
+    def told(f: Column) -> Column:
+        override, decided, default = F.try_element_at("overrides", f["name"]), F.try_element_at("__decided", f["name"]), f["default_value"]
+        answered = ~F.col("__failed")
+        source = F.when(override.isNotNull(), "override").when(answered & decided.isNotNull(), "decision").when(answered & default.isNotNull(), "default")
+        return F.struct(f["name"].alias("fact"), F.coalesce(override, decided, default).alias("value"), source.alias("source"))
+
+    named = let(F.concat(_keys("overrides"), _keys("__decided")), lambda names: F.filter("rule.facts", lambda f: f["default_value"].isNotNull() | F.array_contains(names, f["name"])))
+    known = F.filter(F.transform(named, told), lambda t: t["source"].isNotNull())
+    return joined.select("call_id", "charge_id", F.inline(known))
+
+
+def _keys(column: str) -> Column:
+    return F.coalesce(F.map_keys(column), F.array().cast("array<string>"))
+
+
+def _stated(decisions: DataFrame) -> DataFrame:
+    """(call_id, charge_id, __decided): a charge's last decisions as one map by fact."""
+    last = decisions.where("fact is not null").groupBy("call_id", "charge_id", "fact").agg(F.max_by("value", "pos").alias("value"))
+    return last.groupBy("call_id", "charge_id").agg(F.map_from_entries(F.collect_list(F.struct("fact", "value"))).alias("__decided"))
 
 
 def _with_failed(candidates: DataFrame, failed: DataFrame | None) -> DataFrame:
@@ -40,9 +58,7 @@ def with_facts(candidates: DataFrame, decisions: DataFrame, failed: DataFrame |
     In an answered batch what wasn't decided is given at its default, so rating records no assumption for it. Of failed charges (as in
     resolve_facts) only overrides are given; rating falls back on defaults itself and says so.
     """
-    w = decisions.groupBy("call_id", "charge_id", "fact").agg(F.max_by("value", "pos").alias("value"))
-    stated = w.groupBy("call_id", "charge_id").agg(F.map_from_entries(F.collect_list(F.struct("fact", "value"))).alias("__decided"))
-    joined = _with_failed(candidates, failed).join(stated, ["call_id", "charge_id"], "left")
+    joined = _with_failed(candidates, failed).join(_stated(decisions), ["call_id", "charge_id"], "left")
     answer = lambda f: F.when(~F.col("__failed"), F.coalesce(F.try_element_at("__decided", f["name"]), f["default_value"]))
     given = F.transform(F.coalesce("rule.facts", F.array()), lambda f: F.struct(f["name"].alias("key"), F.coalesce(F.try_element_at("overrides", f["name"]), answer(f)).alias("value")))
     return joined.withColumn("facts", F.map_from_entries(F.array_distinct(F.filter(given, lambda e: e["value"].isNotNull())))).drop("__decided", "__failed")
@@ -50,20 +66,25 @@ def with_facts(candidates: DataFrame, decisions: DataFrame, failed: DataFrame |
 
 def fact_batches(candidates: DataFrame, limit: int = BATCH) -> DataFrame:
     """(call_id, charge_id, batch, n_facts): the charges with facts that no override gives, in order of pos, packed as batch_rules does."""
-    overrides = F.coalesce("overrides", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    pending = candidates.select("call_id", "charge_id", "pos", F.size(F.filter("rule.facts", lambda f: ~F.map_contains_key(overrides, f["name"]))).alias("n_facts")).where("n_facts > 0")
-    return batch_rules(pending, limit).join(pending.select("call_id", "charge_id", "n_facts"), ["call_id", "charge_id"])
+    size = let(_keys("overrides"), lambda names: F.size(F.filter("rule.facts", lambda f: ~F.array_contains(names, f["name"]))))
+    pending = candidates.select("call_id", "charge_id", "pos", F.explode(F.filter(F.array(size), lambda n: n > 0)).alias("n_facts"))  # counted once: a where would count again
+    return _batched(pending, limit).where("call_id is not null and charge_id is not null")
 
 
 def batch_rules(rules: DataFrame, limit: int = BATCH) -> DataFrame:
     """(call_id, charge_id, batch): rules in order of pos, each whole; a batch is closed if the next rule's facts would exceed limit.
 
     rules has call_id, charge_id, pos and n_facts (null: none). Rules without facts close no batch. Sums up to each rule come from a window; where a batch
-    ends is searched in them, and batches are found by jump pointers.
+    ends is searched in them, and batches are found by jump pointers, of a few rules by a fold.
     """
+    return _batched(rules, limit).drop("n_facts")
+
+
+def _batched(rules: DataFrame, limit: int) -> DataFrame:
+    """(call_id, charge_id, batch, n_facts) of batch_rules: counts go with their rules, so no join brings them back."""
     order = Window.partitionBy("call_id").orderBy("pos", "charge_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = rules.select("call_id", "pos", "charge_id", F.sum(F.coalesce("n_facts", F.lit(0)).cast("long")).over(order).alias("total"))
-    grouped = summed.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("pos", "charge_id", "total"))).alias("rs"))
+    summed = rules.select("call_id", "pos", "charge_id", "n_facts", F.sum(F.coalesce("n_facts", F.lit(0)).cast("long")).over(order).alias("total"))
+    grouped = summed.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("pos", "charge_id", "total", "n_facts"))).alias("rs"))
 
     def batches(totals: Column) -> Column:
         def total(i: Column) -> Column:
@@ -72,10 +93,16 @@ def batch_rules(rules: DataFrame, limit: int = BATCH) -> DataFrame:
         def follow(i: Column) -> Column:
             return let(total(i - 1), lambda before: first_where(i + 1, F.size(totals), lambda j: (total(j - 1) > before) & (total(j) > before + limit)))
 
-        return greedy_starts(F.size(totals), follow)
+        def step(s: Column, t: Column) -> Column:
+            closes = (s["last"] > s["before"]) & (t > s["before"] + limit)
+            return F.struct((s["i"] + 1).alias("i"), F.when(closes, s["last"]).otherwise(s["before"]).alias("before"), t.alias("last"), F.when(closes, F.concat(s["found"], F.array(s["i"]))).otherwise(s["found"]).alias("found"))
+
+        none = F.lit(0).cast("long")
+        start = F.struct(F.lit(0).alias("i"), none.alias("before"), none.alias("last"), F.array(F.lit(0)).alias("found"))
+        return F.when(F.size(totals) <= FEW, F.aggregate(totals, start, step)["found"]).otherwise(greedy_starts(F.size(totals), follow))
 
     packed = grouped.select("call_id", F.posexplode(slices(F.col("rs"), let(F.col("rs.total"), batches))).alias("batch", "own"))
-    return packed.select("call_id", (F.col("batch") + 1).alias("batch"), F.explode("own.charge_id").alias("charge_id")).select("call_id", "charge_id", "batch")
+    return packed.select("call_id", (F.col("batch") + 1).alias("batch"), F.explode("own").alias("r")).select("call_id", "r.charge_id", "batch", "r.n_facts")
 
 
 def fact_uses(rules: DataFrame) -> DataFrame:
