@@ -27,3 +27,19 @@ def test_facts_are_opened_after_the_joins(spark):
         (4, "p", "a", "o", "override"), (4, "p", "b", "o", "override"), (4, "p", "c", "o", "override"),
     ]
     assert plan(told).index("Generate") < plan(told).index("Join")
+
+
+def test_batches_of_facts_are_dealt_once(spark):
+    found = FA.fact_batches(charges(spark), 3)
+    assert sorted(map(tuple, found.select("call_id", "charge_id", "batch", "n_facts").collect())) == [(1, "p", 1, 2), (1, "q", 2, 3), (2, "p", 1, 3), (3, "p", 1, 2)]
+    assert "Join" not in plan(found) and plan(found).count("Exchange") == 1
+    rng = random.Random(6)
+    calls = {c: [rng.choice([0, 0, 1, 3, 9, 10, 11, 25]) for _ in range(rng.choice([3, 63, 64, 65, 200]))] for c in range(40)}
+    want = {}
+    for c, sizes in calls.items():
+        size, no = 0, 1
+        for i, n in enumerate(sizes):
+            no, size = (no + 1, n) if size > 0 and size + n > 10 else (no, size + n)
+            want[c, i] = no
+    rows = spark.createDataFrame([(c, str(i), i, n) for c, sizes in calls.items() for i, n in enumerate(sizes)], "call_id int, charge_id string, pos int, n_facts int")
+    assert {(r.call_id, int(r.charge_id)): r.batch for r in FA.batch_rules(rows, 10).collect()} == want
