@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ratebook.functions.schemas import RULE
 from ratebook.operators import facts as FA
+from ratebook.operators import search as S
 
 
 def plan(df):
@@ -43,3 +44,20 @@ def test_batches_of_facts_are_dealt_once(spark):
             want[c, i] = no
     rows = spark.createDataFrame([(c, str(i), i, n) for c, sizes in calls.items() for i, n in enumerate(sizes)], "call_id int, charge_id string, pos int, n_facts int")
     assert {(r.call_id, int(r.charge_id)): r.batch for r in FA.batch_rules(rows, 10).collect()} == want
+
+
+def test_tiles_agree_with_pairs_and_cut_ties(spark, monkeypatch):
+    rng = random.Random(8)
+    vector = lambda: rng.choice([[rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)], [1.0, 0.0, 0.0, 0.0], [0.5, None, 1.0, 1.0]])
+    c = spark.createDataFrame([(f"c{i}", rng.choice(["a", "b"]), vector()) for i in range(300)], "chunk_id string, document_id string, embedding array<float>")
+    q = spark.createDataFrame([(i, rng.choice(["a", "b"]), vector()) for i in range(90)], "query_id long, document_id string, embedding array<double>")
+    monkeypatch.setattr(S, "TILE_BYTES", 640)
+    for k in (1, 3, 50):
+        want, got = S.semantic_top(q, c, k, digits=6), S.semantic_top_blocks(q, c, k, digits=6, block=5)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_queries_travel_once_for_each_tile(spark):
+    """300 chunks and 300 queries of one document in blocks of 5 are one tile each, not 3,600 pairs of blocks."""
+    rows = spark.range(300).select(F.col("id").alias("vec"), F.lit("d").alias("document_id"), F.array(F.col("id").cast("float"), F.lit(1).cast("float")).alias("embedding"))
+    assert S._tiles(rows, "vec", 5).count() == 1
