@@ -249,7 +249,7 @@ SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_queries, (SE
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-8, J-15: the share of queries with a hit of their label among the nearest."""
     queries, chunks = _vectors(spark, sf_dir, "'all'")
-    hits = S.semantic_top(queries, chunks, 5, digits=6).withColumnRenamed("sem_rank", "rank")
+    hits = S.semantic_top_blocks(queries, chunks, 5, digits=6).withColumnRenamed("sem_rank", "rank")
     labels = chunks.select("chunk_id", "label")
     own = hits.select("query_id", "chunk_id").join(labels, "chunk_id").join(labels.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("wanted")), "query_id").where("label = wanted AND chunk_id <> query_id")
     return Q.recall(hits, own.select("query_id", "chunk_id"), queries, 5)
