@@ -70,3 +70,17 @@ def test_recall_multiplies_blocks(spark):
     assert "MapInArrow" in plan(out)
     n, found, share = out.first()
     assert n > 0 and 0 <= found <= n and share == round(found / n, 6)
+
+
+def test_nearest_ids_agree_with_sorting(spark):
+    rng = random.Random(4)
+    ids = {d: rng.sample(range(300), n) for d, n in (("a", 90), ("b", 3), ("c", 40))}
+    chunks = spark.createDataFrame([(d, i) for d, own in ids.items() for i in own] + [("b", None), (None, 20)], "document_id string, chunk_id long")
+    want = []
+    for d, own in ids.items():
+        for q in (i for i in own if i % 4 == 0):
+            want += [(d, q, i, r + 1) for r, i in enumerate(sorted(own, key=lambda i: (abs(i - q), i))[:5])]
+    got = CQ._nearest_ids(chunks.where("document_id = 'a'"), "chunk_id % 4 = 0", 5)
+    assert sorted(map(tuple, got.collect())) == sorted((q, i, r) for d, q, i, r in want if d == "a")
+    few = CQ._nearest_ids(chunks.where("document_id = 'b' or document_id is null"), f"chunk_id = {ids['b'][0]}", 5)
+    assert [r.chunk_id for r in few.orderBy("lex_rank").collect()] == [*sorted(ids["b"], key=lambda i: (abs(i - ids["b"][0]), i)), None]
