@@ -228,7 +228,7 @@ def lexical_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-2, R-3: chunks by weighted words of a query."""
     docs = table(spark, sf_dir, "documents").select(F.lit("d").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ordinal"), F.concat_ws("/", "lang", "source").alias("path"), F.col("text").alias("body"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("d").alias("document_id"), F.concat("text", F.lit(" en")).alias("text"))
-    return S.lexical_top(asked, S.lexical_index(docs), 10, digits=6).select("query_id", "chunk_id", "score")
+    return S.lexical_top(asked, S.lexical_index(docs), 10, digits=6, sizes=S.lexical_sizes(docs)).select("query_id", "chunk_id", "score")
 
 
 @query(f"""WITH {SEMANTIC_SQL.format(on='q.label = c.label', k=20)}, lex AS (SELECT query_id, chunk_id, lex_rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(c.vec_id - q.vec_id), c.vec_id) AS lex_rank FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 20 = 0) WHERE lex_rank <= 20),

@@ -84,3 +84,15 @@ def test_nearest_ids_agree_with_sorting(spark):
     assert sorted(map(tuple, got.collect())) == sorted((q, i, r) for d, q, i, r in want if d == "a")
     few = CQ._nearest_ids(chunks.where("document_id = 'b' or document_id is null"), f"chunk_id = {ids['b'][0]}", 5)
     assert [r.chunk_id for r in few.orderBy("lex_rank").collect()] == [*sorted(ids["b"], key=lambda i: (abs(i - ids["b"][0]), i)), None]
+
+
+def test_lexical_top_moves_asked_words_only(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n))
+    rows = [(f"d{i % 2}", i, 100 - i, text(2), text(rng.randrange(0, 12))) for i in range(80)] + [("d0", 90, 1, "...", None), ("d0", 91, 2, None, "ß")]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_id long, ordinal long, path string, body string")
+    asked = spark.createDataFrame([(i, f"d{i % 3}", text(3)) for i in range(12)], "query_id int, document_id string, text string")
+    index = S.lexical_index(chunks)
+    counted, given = S.lexical_top(asked, index, 4, digits=6), S.lexical_top(asked, index, 4, digits=6, sizes=S.lexical_sizes(chunks))
+    assert sorted(map(tuple, given.collect())) == sorted(map(tuple, counted.collect())) and given.count() > 20
+    assert 0 <= plan(given).find("hashpartitioning(document_id", plan(given).index("REPARTITION_BY_COL")) < plan(given).index("LeftSemi")
