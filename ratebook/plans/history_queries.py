@@ -12,7 +12,7 @@ from ..operators import quality as Q
 from ..operators import search as S
 from ..operators.shared import scratch
 from ..sources import files as IO
-from .standins import table
+from .standins import spread, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -120,7 +120,7 @@ def read_profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "profiles")
     tonnage = F.concat((F.col("s_nationkey") * 100).cast("string"), F.lit(".25"))
     profile = F.concat(F.lit('{\n "vessel_metadata": {"name": "'), "s_name", F.lit('"},\n "technical_specs": {"gross_tonnage": '), tonnage, F.lit("}\n}"))
-    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("call_id"), profile.alias("value")).write.partitionBy("call_id").text(path)
+    spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("call_id"), profile.alias("value"))).write.partitionBy("call_id").option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)  # tasks move their files, not the driver alone
     read = C.canonical(IO.read_profiles(spark, path), "call_id")
     return read.select(F.col("call_id").cast("long").alias("call_id"), "name", F.col("gross_tonnage").cast("double").alias("gross_tonnage"))
 

@@ -13,7 +13,7 @@ __all__ = ["append_history", "append_steps", "find_rulebook", "read_binary_docum
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """(call_id, profile): each JSON file under path as one text; numbers stay as printed. call_id is the folder's (call_id=…), else the file's name."""
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.text(path, wholetext=True).coalesce(4 * spark.sparkContext.defaultParallelism)  # else a task for each few small files
     named = F.col("call_id").cast("string") if "call_id" in files.columns else F.regexp_replace(F.col("_metadata.file_name"), "\\.json$", "")
     return files.select(named.alias("call_id"), F.col("value").alias("profile"))
 

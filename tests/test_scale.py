@@ -1,6 +1,7 @@
 """What large tables asked for: the same rows by plans that move and compute less."""
 
 import random
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from ratebook.functions.schemas import RULE
 from ratebook.operators import facts as FA
 from ratebook.operators import search as S
 from ratebook.plans import corpus_queries as CQ
+from ratebook.sources import files as IO
 
 
 def plan(df):
@@ -96,3 +98,18 @@ def test_lexical_top_moves_asked_words_only(spark):
     counted, given = S.lexical_top(asked, index, 4, digits=6), S.lexical_top(asked, index, 4, digits=6, sizes=S.lexical_sizes(chunks))
     assert sorted(map(tuple, given.collect())) == sorted(map(tuple, counted.collect())) and given.count() > 20
     assert 0 <= plan(given).find("hashpartitioning(document_id", plan(given).index("REPARTITION_BY_COL")) < plan(given).index("LeftSemi")
+
+
+def test_small_files_share_tasks(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for i in range(40):
+        with open(f"{folder}/{i}.json", "w") as f:
+            f.write(f'{{"n":\n{i}}}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        read = IO.read_profiles(spark, folder)
+        assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 40
+        assert {r.call_id: r.profile for r in read.collect()} == {str(i): f'{{"n":\n{i}}}' for i in range(40)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
